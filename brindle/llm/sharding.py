@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 STRIDE = 12
 KEY_BITS = 60
@@ -77,8 +77,9 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def write_shards(docs: DataFrame, shards: DataFrame, path: str) -> None:
     """Write docs by shard, one folder each; doc_id must be unique. Rows reach a shard's files by its name, so no task holds more than some shards."""
-    named = shards.select(F.col("doc_id").alias("__id"), F.concat(F.lit("s"), "prefix").alias("shard"))
-    docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)
+    id_ = unused(docs, "__id")
+    named = shards.select(F.col("doc_id").alias(id_), F.concat(F.lit("s"), "prefix").alias("shard"))
+    docs.join(named, F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 #: The same assignment in DuckDB, for tables whose doc_ids are unique and whose shards need at most 16 bits.

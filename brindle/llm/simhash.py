@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, raw
+from .common import cut, map_arrow, raw, unused
 
 DISTANCE = 3
 SHINGLE = 3
@@ -178,7 +178,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = cut(fingerprints(docs))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     ids = prints.groupBy("fp").agg(F.min(key).alias("k"))
-    first = cut(_groups(prints).join(ids, "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__h")))
-    tagged = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = tagged.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    id_, hash_, own = (unused(docs, n) for n in ("__id", "__kept", "__hash"))
+    first = cut(_groups(prints).join(ids, "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_)))
+    tagged = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = tagged.join(first, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
