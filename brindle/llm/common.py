@@ -67,6 +67,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, beginning with the given one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A string column as Python strings, null as the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
