@@ -63,4 +63,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_token_counts, op6_url_filter, op7_simhash, op8_quality_rules, op9_decontamination, op10_html)
 }
-ORACLES: dict[str, str] = {"op2_sharding": sharding.SQL}
+ORACLES: dict[str, str] = {"op2_sharding": sharding.SQL, "op8_quality_rules": rules.sql()}

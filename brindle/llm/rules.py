@@ -25,7 +25,7 @@ RULES: list[tuple[str, str]] = [
     ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     ("shouting", "2 * n_upper_words > n_words"),
-    ("long_word", "longest_word > 1000"),
+    ("long_word", "longest_word_bytes > 1000"),
 ]
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -38,7 +38,7 @@ POLICIES: dict[str, int] = {
 }
 CURRENT = "v2"
 
-_LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "longest_word"]
+_LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "longest_word_bytes"]
 
 
 def measure(text: bytes) -> list[int]:
@@ -59,9 +59,8 @@ def measure(text: bytes) -> list[int]:
                 duplicates += 1
             else:
                 seen.add(line)
-    upper = sum(map(bytes.isupper, words))
-    longest = max(words, key=len)
-    return [n, chars, len(text) - len(text.translate(None, SYMBOLS)), duplicates, _repeated(words), lines, upper, len(longest.decode("utf-8", "replace"))]
+    upper = sum(map(bytes.isupper, words))  # with A-Z and without a-z
+    return [n, chars, len(text) - len(text.translate(None, SYMBOLS)), duplicates, _repeated(words), lines, upper, max(map(len, words))]
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -115,3 +114,23 @@ def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     used = [(n, b) for n, b in BIT.items() if b & mask]
     sums = rows.agg(*[F.count_if(failed.bitwiseAND(F.lit(b)) != 0).alias(f"f_{n}") for n, b in used], *[F.count_if(failed == b).alias(f"o_{n}") for n, b in used], F.count_if(failed == 0).alias("kept"))
     return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"f_{n}").alias("failed"), F.col(f"o_{n}").alias("only"), (F.col("kept") + F.col(f"o_{n}")).alias("kept_without")) for n, _ in used])).alias("x")).select("x.*")
+
+
+def sql(policy: str = CURRENT) -> str:
+    """The ledger under a policy in DuckDB, for tables whose doc_ids are unique."""
+    conditions = " | ".join(f"CASE WHEN {cond} THEN {BIT[name]} ELSE 0 END" for name, cond in RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+w AS (SELECT doc_id, generate_subscripts(ws, 1) i, unnest(ws) w FROM d),
+v AS (SELECT *, lead(w, 1) OVER o w1, lead(w, 2) OVER o w2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w1, w2) n FROM v WHERE w2 IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + k) n_repeat_words FROM c, (SELECT unnest([0, 1, 2]) k) WHERE n > 1 GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) x FROM d),
+g AS (SELECT doc_id, x, count(*) n FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+m AS (SELECT doc_id, sum(n)::BIGINT n_lines, sum(n - 1)::BIGINT n_dup_lines FROM g GROUP BY 1),
+a AS (SELECT doc_id, len(ws)::BIGINT n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT n_repeat_words, coalesce(n_lines, 0)::BIGINT n_lines,
+  len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT n_upper_words, coalesce(list_max(list_transform(ws, lambda x: octet_length(encode(x)))), 0)::BIGINT longest_word_bytes
+  FROM d LEFT JOIN m USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT * EXCLUDE (f), f::BIGINT failures, f & {BASE} <> 0 base_failed, f & {POLICIES[policy]} = 0 kept FROM (SELECT *, ({conditions}) f FROM a)
+"""
