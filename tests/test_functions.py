@@ -220,3 +220,32 @@ def test_streams(spark, tmp_path, data):
     q.processAllAvailable()
     q.stop()
     assert spark.table("kal").count() == e.count()
+
+
+def test_json_items_and_order(spark, ev):
+    df = spark.createDataFrame([(1, '{"a": 1, "b": [2]}'), (2, "[5]"), (3, None)], "id int, j string")
+    got = sorted((r.id, r.key, r.value) for r in jsons.items(df, "j").select("id", "key", F.col("value").cast("string").alias("value")).where("value is not null").collect() if r.id == 1)
+    assert [g[:2] for g in got] == [(1, "a"), (1, "b")]
+    values = ['"x"', "2", "1.5", "null", "true", "[1]"]
+    rows = spark.createDataFrame([(v,) for v in values], "j string").orderBy(jsons.order_key(F.col("j"))).collect()
+    assert [r.j for r in rows] == ["null", "true", "1.5", "2", '"x"', "[1]"]
+    assert ev(jsons.length(L("[1,2]"))) == 2 and ev(jsons.length(L('{"a":1}'))) == 1 and ev(jsons.length(L("3"))) == 0
+    assert ev(jsons.patch("add", "a/b", L("1"))).asDict() == {"op": "add", "path": "/a/b", "value": "1"}
+
+
+def test_derivative(ev):
+    n = expr.derivative(expr.parse("x * x * x - 2 / x"), "x")
+    assert abs(ev(expr.real_column(n, {"x": L(2.0)})) - 12.5) < 1e-9
+
+
+def test_formats_of_dates(ev):
+    t = L("2024-02-05 13:04:05.250").cast("timestamp")
+    assert ev(dates.format_iso(t)) == "2024-02-05T13:04:05.250000Z" and ev(dates.format_12h(t)) == "1:04:05 PM" and ev(dates.format_short(t)) == "5/2/2024 13:04"
+
+
+def test_ods():
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("mimetype", "application/vnd.oasis.opendocument.spreadsheet")
+        f.writestr("content.xml", '<d xmlns:t="t" xmlns:o="o" xmlns:x="x"><t:table t:name="S"><t:table-row t:number-rows-repeated="2"/><t:table-row><t:table-cell/><t:table-cell o:value-type="float" o:value="2.5" t:number-columns-repeated="2"><x:p>2,5</x:p></t:table-cell></t:table-row></t:table></d>')
+    assert list(formats.ods_rows(z.getvalue())) == [("S", 2, 1, "number", 2.5, "2,5"), ("S", 2, 2, "number", 2.5, "2,5")]
