@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, texts
 
-PATH_DIM, WORD_DIM, HIDDEN = 192, 32, 24
+PATH_DIM, WORD_DIM, HIDDEN = 256, 32, 24
 MEASURES = 7
 DIM = PATH_DIM + WORD_DIM + MEASURES
 #: Block steps of one padded batch, which bounds memory.
@@ -299,8 +299,8 @@ class _Pages:
 
     MENUS = ("nav", "div.nav", "div.menu", "ul.menu", "div.navbar", "div.navigation", "div.breadcrumb", "div.breadcrumbs", "nav.nav", "div.topnav", "div.tabs", "nav.pagination", "div.pager", "div.toc")
     HEADERS = ("header", "div.header", "div.masthead", "div.top", "div.site.header", "header.header", "div.logo", "div.branding", "div.banner", "hgroup")
-    FOOTERS = ("footer", "div.footer", "div.site.footer", "footer.footer", "div.bottom", "div.copyright", "div.legal", "div.colophon")
-    SIDES = ("aside", "div.sidebar", "aside.sidebar", "div.widget", "div.related", "section.related", "div.recommended", "div.side", "div.popular", "div.trending", "div.author.bio", "div.tags", "div.share", "div.social", "ul.share", "div.more", "div.rail")
+    FOOTERS = ("footer", "div.contentinfo", "div.footer", "div.site.footer", "footer.footer", "div.bottom", "div.copyright", "div.legal", "div.colophon")
+    SIDES = ("aside", "aside", "aside", "div.sidebar", "aside.sidebar", "div.widget", "div.related", "section.related", "div.recommended", "div.side", "div.popular", "div.trending", "div.author.bio", "div.tags", "div.share", "div.social", "ul.share", "div.more", "div.rail")
     NOTICES = ("div.cookie", "div.cookies", "div.notice", "div.consent", "div.gdpr", "div.alert", "div.banner.cookie", "section.notice", "div.popup", "div.modal", "dialog", "div.paywall", "div.toast", "div.disclaimer", "p.notice", "div.message", "div.privacy")
     ADS = ("div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "section.ad", "aside.ad", "div.banner.ad", "div.adsense", "p.ad", "div.sponsor", "div.promotion", "ins.adsbygoogle", "div.ad.slot", "div.ad.box")
     FORMS = ("form", "form.search", "div.search.form", "form.newsletter", "div.newsletter", "div.subscribe", "form.login", "form.contact", "form.comment.form", "fieldset", "div.signup")
@@ -369,7 +369,7 @@ class _Pages:
         if self.chance(0.85):
             head = self.pick([("header",), ("div", ".header"), ("div", ".title")]) if self.chance(0.12) else ()
             self.block(page, at + head, self.pick(["h1", "h1", "h1", "h2"]), self.rng.integers(1, 14), True)
-        inside = self.chance(0.4)
+        inside = self.chance(0.55)
         for _ in range(self.rng.integers(1, 16)):
             part = at + (("section",) if self.chance(0.1) else ("div",) if self.chance(0.08) else ())
             kind = self.rng.random()
@@ -401,7 +401,7 @@ class _Pages:
         return page
 
 
-def train(seed: int = 5, pages: int = 1500, epochs: int = 8, batch: int = 48) -> Labeller:
+def train(seed: int = 5, pages: int = 2000, epochs: int = 12, batch: int = 100) -> Labeller:
     """Fit a labeller on generated pages; the same seed gives the same model."""
     source = _Pages(seed)
     made = [source.page() for _ in range(pages)]
@@ -418,7 +418,7 @@ def train(seed: int = 5, pages: int = 1500, epochs: int = 8, batch: int = 48) ->
     model, rng, step = Labeller(seed), np.random.default_rng(seed), 0
     m, v = ({k: np.zeros_like(p) for k, p in model.p.items()} for _ in range(2))
     for epoch in range(epochs):
-        rate = 0.02 * 0.7**epoch
+        rate = 0.03 * 0.8**epoch
         for g in rng.permutation(len(groups)):
             step += 1
             grads = model.gradients(*groups[g])
