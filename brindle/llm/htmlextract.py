@@ -389,7 +389,7 @@ class _Pages:
             else:
                 self.block(page, part, "", self.rng.integers(2, 40), True)
             if inside and self.chance(0.2):
-                self.other(page, at, [self.ADS, self.NOTICES, self.SIDES, self.FORMS])
+                self.other(page, part, [self.ADS, self.NOTICES, self.SIDES, self.FORMS, ("aside", "aside", "nav", "form")])
         if self.chance(0.15):
             self.other(page, at, [self.COMMENTS])
         if self.chance(0.06):
@@ -401,7 +401,7 @@ class _Pages:
         return page
 
 
-def train(seed: int = 5, pages: int = 2000, epochs: int = 12, batch: int = 100) -> Labeller:
+def train(seed: int = 5, pages: int = 2500, epochs: int = 14, batch: int = 64) -> Labeller:
     """Fit a labeller on generated pages; the same seed gives the same model."""
     source = _Pages(seed)
     made = [source.page() for _ in range(pages)]
