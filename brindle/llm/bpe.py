@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, texts
 
 #: Entries of a worker's caches of chunks, words and token pairs; at its bound a cache starts anew.
-CACHE = 1_000_000
-WORD_CACHE = 300_000
-PAIRS = 1_000_000
+CACHE = 600_000
+WORD_CACHE = 200_000
+PAIRS = 600_000
 
 #: White space of Unicode (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -240,12 +240,13 @@ def encode_documents(docs: DataFrame, vocab: str, ids: bool = False) -> DataFram
             enc.append(hashlib.sha256(" ".join([decimal[i] for i in got]).encode()).hexdigest())
             dec.append(hashlib.sha256(decoded.encode()).hexdigest())
             if ids:
-                all_ids.append(got)
+                all_ids.append(np.array(got, np.int32))
                 all_text.append(decoded)
         cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if ids:
-            cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
+            ends = np.cumsum([0, *n]).astype(np.int32)
+            cols += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids))), pa.array(all_text, pa.string())]
             names += ["ids", "decoded"]
         return pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -13,6 +13,10 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a batch that are turned into Python objects at once.
+SLICE = 400
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -22,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, so that Python workers can import it.
+    """Send the package to the executors once per application, so that Python workers can import it, and bound their batches.
 
     The archive is staged on the driver and served by Spark's own file server;
     executors never read the driver's folder.
     """
+    if spark.conf.get(_BATCH) == "10000":  # the default: too many rows at once where texts are long
+        spark.conf.set(_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -86,13 +92,13 @@ def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply f to every Arrow batch; nothing is kept between batches."""
+    """Apply f to slices of the Arrow batches; nothing is kept between them."""
     ship(df.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            for at in range(0, b.num_rows, SLICE):
+                yield f(b.slice(at, SLICE))
 
     return df.mapInArrow(over, schema)
 
@@ -103,7 +109,8 @@ def keep_rows(df: DataFrame, mask: Callable[[pa.RecordBatch], pa.Array]) -> Data
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield b.filter(mask(b))
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                yield part.filter(mask(part))
 
     return df.mapInArrow(over, df.schema)

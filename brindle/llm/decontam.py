@@ -36,7 +36,7 @@ LEAST_WORDS = 8
 NEED_WORDS, NEED_SHARE = 13, 0.7
 #: Diagonals this close belong to one overlap.
 DRIFT = 4
-CACHE = 500_000
+CACHE = 200_000
 _BITS = 22
 _WORD = re.compile(r"[\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
