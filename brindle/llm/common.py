@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a batch that are turned into Python objects at once.
 SLICE = 400
@@ -73,6 +74,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_hash(doc_id: Column, share: Column | float) -> Column:
+    """Whether a row is in a fixed share of all ids, chosen by their hash."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << 40)) < F.lit(float(1 << 40)) * share
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have, beginning with the given one."""
     taken = {c.lower() for c in df.columns}

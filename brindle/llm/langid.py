@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_arrow, texts
+from .common import by_hash, keep_rows, map_arrow, texts
 
 #: Most training rows for each language, those with the smallest hash of the id.
 TRAIN_ROWS = 500
@@ -170,15 +170,17 @@ def train(docs: DataFrame) -> Decoder:
     the smallest hash of the id. Rows without a letter are left out.
     """
     part = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = sorted(r[0] for r in part.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect())
+    counts = {r[0]: r[1] for r in part.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
+    langs = sorted(counts)
     if len(langs) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    # a bounded sample without sorting the corpus: each partition keeps its own smallest, then the smallest of all
-    key = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id"))
-    cheap = part.select("lang", key.alias("k"), F.spark_partition_id().alias("p"))
-    first = cheap.withColumn("r", F.row_number().over(Window.partitionBy("lang", "p").orderBy("k"))).where(F.col("r") <= TRAIN_ROWS)
-    small = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("r") <= TRAIN_ROWS).select(F.col("lang").alias("l"), F.col("k.doc_id").alias("doc_id"))
-    rows = part.join(F.broadcast(small), ["doc_id"]).where(F.col("lang") == F.col("l")).select("doc_id", "lang", "text")  # LANGUAGES x TRAIN_ROWS ids at most
+    if not langs:
+        return fit(np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64), langs)
+    # the smallest hashes of each language: a share by its count leaves few ids to rank, however large the table
+    share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, (2 * TRAIN_ROWS + 200) / counts[g])))])
+    few = part.where(by_hash(F.col("doc_id"), share[F.col("lang")])).select("lang", "doc_id").distinct()
+    small = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= TRAIN_ROWS).select(F.col("lang").alias("l"), "doc_id")
+    rows = part.join(F.broadcast(small), ["doc_id"]).where(F.col("lang") == F.col("l")).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text")  # LANGUAGES x TRAIN_ROWS ids at most
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [ngrams(t) for t in texts(b)]
