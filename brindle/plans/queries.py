@@ -87,7 +87,7 @@ def expression_text(spark, d):
     return table(spark, d, "part").select("p_partkey", expr.evaluate("p_size > 25 && p_partkey % 2 == 0 ? p_size * 2 : p_size - 1").cast("long").alias("v"), expr.evaluate("p_size / 3 + (p_size << 1)").cast("long").alias("w"))
 
 
-@query("SELECT p_partkey, round(2.0 * p_size + 3, 6) slope FROM part")
+@query("SELECT p_partkey, round(2.0 * p_size + 3, 6)::DOUBLE slope FROM part")
 def derivative_formula(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(expr.real_column(expr.derivative(expr.parse("p_size * p_size + 3 * p_size - 7"), "p_size")), 6).alias("slope"))
 
@@ -574,7 +574,7 @@ def find_by_value(spark, d):
     return jsons.find_by_value(table(spark, d, "events").select("event_id", "props"), "props", "6?").select("event_id", "value")
 
 
-@query("""SELECT p_partkey, bit_count(p_size)::INT bits, xor(p_size, 5)::BIGINT flipped, gcd(p_size, 36)::BIGINT g, least(greatest(p_size, 10), 20) c, round(1 / (1 + exp(-p_size / 10.0)), 8) s, round(p_size * 0.25 + 3 * 0.75, 6) l FROM part""")
+@query("""SELECT p_partkey, bit_count(p_size)::INT bits, xor(p_size, 5)::BIGINT flipped, gcd(p_size, 36)::BIGINT g, least(greatest(p_size, 10), 20) c, round(1 / (1 + exp(-p_size / 10.0)), 8) s, round(p_size * 0.25 + 3 * 0.75, 6)::DOUBLE l FROM part""")
 def math_functions(spark, d):
     s = C("p_size")
     return table(spark, d, "part").select("p_partkey", F.bit_count(s).alias("bits"), maths.bit_flip(maths.bit_flip(s, 0), 2).alias("flipped"), maths.gcd(s, F.lit(36)).alias("g"), maths.clamp(s, 10, 20).alias("c"), F.round(maths.sigmoid(s / 10.0), 8).alias("s"), F.round(maths.lerp(F.lit(3.0), s, F.lit(0.25)), 6).alias("l"))
