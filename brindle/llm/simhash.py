@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import cut, map_arrow, raw, unused
 
 DISTANCE = 3
@@ -67,6 +68,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(part, run, f"doc_id {kind}, fp long, text_hash long")
 
 
+def _prints_and_sets(docs: DataFrame) -> DataFrame:
+    """As fingerprints, and of each text's set of 5-word shingles the id, the size n and the band keys."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = raw(b)
+        fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        sets = [shingles.shingles(t) for t in texts]
+        more = [pa.array([shingles.set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([shingles.bands(x) for x in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), b.column("text_hash"), *more], names=["doc_id", "fp", "text_hash", "set_id", "n", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    part = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return map_arrow(part, run, f"doc_id {kind}, fp long, text_hash long, set_id long, n long, keys array<long>")
+
+
+def _similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (u, v) between fingerprints of texts whose 5-word shingles are similar or the same."""
+    sets = cut(prints.where("n > 0").dropDuplicates(["set_id"]).select("set_id", "n", "fp", "keys"))
+    of = sets.select("set_id", F.col("fp").alias("own"))
+    same = prints.where("n > 0").select("set_id", "fp").distinct().join(of, "set_id").select(F.col("fp").alias("u"), F.col("own").alias("v"))
+    pairs = cut(shingles.similar(docs, sets.select("set_id", "n", "keys")))
+    a, b = of.toDF("a", "u"), of.toDF("b", "v")
+    return same.unionByName(pairs.join(a, "a").join(b, "b").select("u", "v")).where("u != v").distinct()
+
+
 def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
 
@@ -148,10 +174,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _groups(prints: DataFrame) -> DataFrame:
-    """fp and its component's root, for every fingerprint."""
+def _groups(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """fp and its component's root, for every fingerprint; more are links (u, v) besides those within DISTANCE bits."""
     nodes = prints.select("fp").distinct()
-    roots = components(links(nodes))
+    edges = links(nodes)
+    roots = components(edges if more is None else edges.unionByName(more))
     return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -174,12 +201,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, with all its columns: the smallest doc_id, rows without one last, then the smallest text hash."""
-    prints = cut(fingerprints(docs))
+    """One document of each near-duplicate group, with all its columns: the smallest doc_id, rows without one last, then the smallest text hash.
+
+    Linked are texts of fingerprints within DISTANCE bits, as in near_duplicates,
+    and all texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    prints = cut(_prints_and_sets(docs))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     ids = prints.groupBy("fp").agg(F.min(key).alias("k"))
     id_, hash_, own = (unused(docs, n) for n in ("__id", "__kept", "__hash"))
-    first = cut(_groups(prints).join(ids, "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_)))
+    first = cut(_groups(prints, _similar(docs, prints)).join(ids, "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_)))
     tagged = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = tagged.join(first, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)), "left_semi")
     return kept.dropDuplicates(["doc_id", own]).drop(own)

@@ -326,6 +326,60 @@ def test_simhash_edges(spark, edge, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def close_pairs(texts):
+    """All pairs (i, j) of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, by brute force."""
+    sets = [five_words(t) for t in texts]
+    return {(j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and 5 * len(a & b) >= 4 * len(a | b)}
+
+
+def plain_groups(texts):
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    fps = [plain_fingerprint(t) for t in texts]
+    near = {(j, i) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    for j, i in close_pairs(texts) | near:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("crowd,half", [(16, 400), (2, 400), (2, 5)])
+def test_near_dedup_keeps_one_of_edited_copies(spark, monkeypatch, crowd, half):
+    from brindle.llm import shingles
+
+    monkeypatch.setattr(shingles, "CROWD", crowd)
+    monkeypatch.setattr(shingles, "HALF_SETS", half)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for n in (3, 5, 30, 60, 120, 300, 900, 3000):
+        for _ in range(3):
+            w = [word() for _ in range(n)]
+            texts += [" ".join(w), " ".join(w).upper()]
+            for share in (0.005, 0.01, 0.02, 0.02, 0.03, 0.08):
+                v = list(w)
+                for at in rng.sample(range(n), max(1, int(n * share))):
+                    v[at] = word()
+                texts.append(" ".join(v))
+            texts.append(" ".join(w[: int(n * 0.85)]))
+    fps = [plain_fingerprint(t) for t in texts]
+    far = [(i, j) for i, j in close_pairs(texts) if (fps[i] ^ fps[j]).bit_count() > 3]
+    assert len(far) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert kept == set(plain_groups(texts))
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
