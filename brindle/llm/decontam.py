@@ -6,6 +6,8 @@ every mask are hashed and joined with the same hashes of each document; around
 a hit the words are compared along its diagonal, and close diagonals of one
 item, which insertions and deletions make, count together.
 
+Items too short for the masks count where a text holds all their words in order.
+
 The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one
 pass over the documents for each, so what is sent has a fixed bound.
 """
@@ -30,7 +32,7 @@ from .common import keep_rows, map_arrow, ship, texts
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
 #: Most benchmark words sent at once.
 BLOCK_WORDS = 1_000_000
-#: Items of fewer words are left out: any text holds them.
+#: Items of fewer words must occur whole and in order.
 LEAST_WORDS = 8
 #: Words that must agree: this many, or this share of a shorter item.
 NEED_WORDS, NEED_SHARE = 13, 0.7
@@ -75,28 +77,35 @@ def _seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     w = words.view(np.uint64)
     h = np.zeros(n, np.uint64)
     for k, at in enumerate(mask):
-        h = (h ^ w[at : at + n]) * _MIX[k]
+        h = (h ^ w[at : at + n]) * _MIX[k % len(_MIX)]
         h ^= h >> np.uint64(29)
     return h
 
 
 @dataclass(frozen=True)
 class Block:
-    """Part of a benchmark: its words by item, and its seeds, sorted by hash for each mask."""
+    """Part of a benchmark: its words by item, and its seeds, sorted by hash for each mask; short items by length, as sorted hashes and ids."""
 
-    ids: list[int]
+    ids: list[int | None]
     starts: np.ndarray
     words: np.ndarray
     seeds: list[tuple[np.ndarray, np.ndarray]]
     present: np.ndarray
+    short: dict[int, tuple[np.ndarray, list[int | None]]]
 
     def item(self, k: int) -> np.ndarray:
         return self.words[self.starts[k] : self.starts[k + 1]]
 
 
-def _block(items: list[tuple[int, np.ndarray]]) -> Block:
+def _block(all_items: list[tuple[int | None, np.ndarray]]) -> Block:
+    items = [x for x in all_items if len(x[1]) >= LEAST_WORDS]
+    short = {}
+    for length in sorted({len(w) for _, w in all_items if len(w) < LEAST_WORDS}):
+        some = [(_seeds(w, tuple(range(length)))[0], i) for i, w in all_items if len(w) == length]
+        some.sort(key=lambda x: x[0])
+        short[length] = np.array([h for h, _ in some], np.uint64), [i for _, i in some]
     starts = np.cumsum([0, *[len(w) for _, w in items]])
-    words = np.concatenate([w for _, w in items])
+    words = np.concatenate([np.zeros(0, np.int64), *[w for _, w in items]])
     present = np.zeros(1 << _BITS, bool)
     seeds = []
     item_of = np.repeat(np.arange(len(items)), np.diff(starts))
@@ -106,17 +115,17 @@ def _block(items: list[tuple[int, np.ndarray]]) -> Block:
         at = at[np.argsort(h[at], kind="stable")]
         seeds.append((h[at], at))
         present[(h[at] >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Block([i for i, _ in items], starts, words, seeds, present)
+    return Block([i for i, _ in items], starts, words, seeds, present, short)
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark's items in blocks, read one after another from the table; null and short ones are left out."""
-    held: list[tuple[int, np.ndarray]] = []
+    """The benchmark's items in blocks, read one after another from the table; those without a word are left out."""
+    held: list[tuple[int | None, np.ndarray]] = []
     size = 0
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     for item_id, text in rows.toLocalIterator():
         w = word_hashes(text)
-        if len(w) < LEAST_WORDS:
+        if not len(w):
             continue
         if held and size + len(w) > block_words:
             yield _block(held)
@@ -144,6 +153,19 @@ def _hits(words: np.ndarray, doc_of: np.ndarray, block: Block) -> dict[tuple[int
     return found
 
 
+def _whole(words: np.ndarray, doc_of: np.ndarray, block: Block) -> Iterator[tuple[int, int | None, int, int]]:
+    """(document, item id, words, first place) of every short item that occurs whole, once for each document."""
+    for length, (hashes, ids) in block.short.items():
+        h = _seeds(words, tuple(range(length)))
+        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        at = np.flatnonzero(hi > lo)
+        at = at[doc_of[at] == doc_of[at + length - 1]]
+        _, first = np.unique(doc_of[at] * len(hashes) + lo[at], return_index=True)
+        for k in at[first].tolist():
+            for i in ids[lo[k] : hi[k]]:
+                yield int(doc_of[k]), i, length, k
+
+
 def _overlap(words: np.ndarray, item: np.ndarray, diagonals: set[int]) -> tuple[int, int, int] | None:
     """Words that agree, and where they begin and end in the text, for the best cluster of diagonals; None if too few."""
     best = None
@@ -181,7 +203,7 @@ def _dense(same: np.ndarray) -> tuple[int, int] | None:
     return int(np.flatnonzero(c[: end + 1] == low[end])[-1]), end
 
 
-def _search(texts_: list[str], block: Block) -> list[tuple[int, int, int, int, int, int]]:
+def _search(texts_: list[str], block: Block) -> list[tuple[int, int | None, int, int, int, int]]:
     """(row, item, agreeing words, item's words, first word, end) of every overlap in a batch."""
     out = []
     arrays = [word_hashes(t) for t in texts_]
@@ -195,7 +217,11 @@ def _search(texts_: list[str], block: Block) -> list[tuple[int, int, int, int, i
         lengths = [len(a) for a in group]
         starts = np.cumsum([0, *lengths])
         words = np.concatenate(group) if size else np.zeros(0, np.int64)
-        for (doc, item), diagonals in sorted(_hits(words, np.repeat(np.arange(len(group)), lengths), block).items()):
+        doc_of = np.repeat(np.arange(len(group)), lengths)
+        for doc, item_id, n, first in _whole(words, doc_of, block):
+            first -= int(starts[doc])
+            out.append((at + doc, item_id, n, n, first, first + n))
+        for (doc, item), diagonals in sorted(_hits(words, doc_of, block).items()):
             base = int(starts[doc])
             if got := _overlap(group[doc], block.item(item), {d - base for d in diagonals}):
                 out.append((at + doc, block.ids[item], got[0], len(block.item(item)), got[1], got[2]))
@@ -207,8 +233,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that overlap: doc_id, item_id, n_agree, item_words, first_word, end_word.
 
     Null and empty texts overlap nothing; repeated documents come back
-    repeated, repeated benchmark rows count once; an empty table on either
-    side gives an empty result; other columns are ignored.
+    repeated, repeated benchmark rows count once, and an item without an id has
+    a null item_id; an empty table on either side gives an empty result; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)

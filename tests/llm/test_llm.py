@@ -449,6 +449,19 @@ def test_decontamination_finds_planted(spark, bench):
     assert decontam.contaminated(df, b.where("false")).count() == 0 and decontam.contaminated(df.where("false"), b).count() == 0
 
 
+def test_decontamination_of_short_and_nameless_items(spark, bench):
+    long = bench[0][1]
+    items = [(1, "Who wrote that odd book?"), (2, "who wrote that odd book"), (3, "Zanzibar"), (4, "one two three four five six seven"), (5, "..."), (None, long), (None, "quiet nameless words")]
+    docs = [(1, "x y who wrote, that ODD book z z who wrote that odd book"), (2, "who wrote that book odd"), (3, f"a b {long} c"), (4, "it is quiet. Nameless words"), (5, "zanzibar"), (6, "one two three four five six"), (7, "seven"), (8, ""), (9, "that odd book"), (10, "x one two three four five six seven")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.contaminated(df, b).fillna(-1, ["item_id"]).collect())
+    n = len(long.split())
+    assert got == [(1, 1, 5, 5, 2, 7), (1, 2, 5, 5, 2, 7), (3, -1, n, n, 2, 2 + n), (4, -1, 3, 3, 2, 5), (5, 3, 1, 1, 0, 1), (10, 4, 7, 7, 1, 8)]
+    assert sorted(r.doc_id for r in decontam.keep_clean(df, b).collect()) == [2, 6, 7, 8, 9]
+    assert sorted(r.doc_id for r in decontam.keep_clean(df, b.where("item_id = 3")).collect()) == [1, 2, 3, 4, 6, 7, 8, 9, 10]
+
+
 def test_decontamination_blocks_agree(spark, data, docs):
     b = spark.read.parquet(f"{data}/benchmark.parquet")
     many = list(decontam.blocks(b, block_words=200))
