@@ -22,12 +22,16 @@ from .common import by_hash, keep_rows, map_arrow, texts
 
 #: Most training rows for each language, those with the smallest hash of the id.
 TRAIN_ROWS = 500
-#: Most languages of a model; more than that raise an error.
-LANGUAGES = 40
+#: Most training rows together: with more than 40 languages each has an equal part.
+ALL_ROWS = 20_000
+#: Most languages of a model, for the driver's memory; more than that raise an error.
+LANGUAGES = 2000
 BUCKETS = 1 << 12
 #: Score differences below this leave a text ambiguous.
 AMBIGUOUS = 0.02
 _BLOCK = 1 << 18
+#: Losses held at once in decoding.
+_LOSSES = 1 << 20
 
 
 def _letters() -> np.ndarray:
@@ -125,7 +129,10 @@ class Decoder:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index, its share of belief, and its lead over the next one."""
         margin = np.clip(x @ self.weight + self.bias, -20, 20)
-        loss = (np.logaddexp(0, -margin[:, None, :] * self.code[None]) * self.bit_weight).sum(2)
+        loss = np.zeros((len(x), len(self.code)))
+        step = max(1, _LOSSES // max(1, self.code.size))
+        for at in range(0, len(x), step):
+            loss[at : at + step] = (np.logaddexp(0, -margin[at : at + step, None, :] * self.code[None]) * self.bit_weight).sum(2)
         z = np.exp(-(loss - loss.min(1, keepdims=True)))
         p = z / z.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -164,7 +171,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Decoder:
-    """Fit on at most TRAIN_ROWS documents for each language, outside the held-out part.
+    """Fit on at most TRAIN_ROWS documents for each language and ALL_ROWS in all, outside the held-out part.
 
     The languages are all non-null values of lang there; rows are those with
     the smallest hash of the id. Rows without a letter are left out.
@@ -176,11 +183,12 @@ def train(docs: DataFrame) -> Decoder:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not langs:
         return fit(np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64), langs)
+    most = min(TRAIN_ROWS, ALL_ROWS // len(langs))
     # the smallest hashes of each language: a share by its count leaves few ids to rank, however large the table
-    share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, (2 * TRAIN_ROWS + 200) / counts[g])))])
+    share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, (2 * most + 200) / counts[g])))])
     few = part.where(by_hash(F.col("doc_id"), share[F.col("lang")])).select("lang", "doc_id").distinct()
-    small = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= TRAIN_ROWS).select(F.col("lang").alias("l"), "doc_id")
-    rows = part.join(F.broadcast(small), ["doc_id"]).where(F.col("lang") == F.col("l")).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text")  # LANGUAGES x TRAIN_ROWS ids at most
+    small = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= most).select(F.col("lang").alias("l"), "doc_id")
+    rows = part.join(F.broadcast(small), ["doc_id"]).where(F.col("lang") == F.col("l")).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text")  # ALL_ROWS ids at most
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [ngrams(t) for t in texts(b)]

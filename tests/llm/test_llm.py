@@ -172,6 +172,19 @@ def test_language_edges(edge, none):
     assert langid.keep_identified(edge, m).columns == edge.columns
 
 
+def test_language_of_many(spark):
+    rng = random.Random(3)
+    words = {f"l{g:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for g in range(130)}
+    rows = [(100 * n + k, " ".join(rng.choices(w, k=40)), g) for n, (g, w) in enumerate(words.items()) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(df)
+    assert m.langs == sorted(words)
+    want = {i: g for i, _, g in rows}
+    got = langid.predict_languages(df, m).where("held_out").collect()
+    assert len(got) > 200 and sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.9 * len(got)
+    assert langid.keep_identified(df, m).count() > 0
+
+
 def test_token_counts(spark, data, docs, lib, edge, none, tmp_path, monkeypatch):
     want = sorted((r.doc_id, len(lib.encode(r.text, add_special_tokens=False).ids)) for r in docs.collect())
     assert sorted((r.doc_id, r.n_tokens) for r in queries.op5_token_counts(spark, data).collect()) == want
