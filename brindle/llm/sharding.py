@@ -13,7 +13,7 @@ rows go on splitting by a second hash of key, size and place in the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, unused
@@ -76,10 +76,22 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, shards: DataFrame, path: str) -> None:
-    """Write docs by shard, one folder each; doc_id must be unique. Rows reach a shard's files by its name, so no task holds more than some shards."""
-    id_ = unused(docs, "__id")
-    named = shards.select(F.col("doc_id").alias(id_), F.concat(F.lit("s"), "prefix").alias("shard"))
-    docs.join(named, F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs by shard, one folder each.
+
+    Rows of one id and size are dealt one to one over its assignments, so
+    repeated rows stay as many and each shard gets the bytes assigned to it.
+    Rows reach a shard's files by its name, so no task holds more than some
+    shards; only rows of one id and size are numbered together.
+    """
+    id_, size, nth = (unused(docs, n) for n in ("__id", "__size", "__nth"))
+    at = Window.partitionBy(id_, size)
+    named = shards.select(F.col("doc_id").alias(id_), F.col("n_bytes").alias(size), F.concat(F.lit("s"), "prefix").alias("shard"))
+    named = named.withColumn(nth, F.row_number().over(at.orderBy("shard")))
+    rows = docs.withColumns({id_: F.col("doc_id"), size: F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    rows = rows.withColumn(nth, F.row_number().over(at.orderBy(F.xxhash64("text"))))
+    one = F.col(f"d.{id_}").eqNullSafe(F.col(f"s.{id_}")) & (F.col(f"d.{size}") == F.col(f"s.{size}")) & (F.col(f"d.{nth}") == F.col(f"s.{nth}"))
+    whole = rows.alias("d").join(named.alias("s"), one).select(*[F.col(f"d.`{c}`") for c in docs.columns], "s.shard")
+    whole.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 #: The same assignment in DuckDB, for tables whose doc_ids are unique and whose shards need at most 16 bits.

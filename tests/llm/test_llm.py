@@ -123,6 +123,18 @@ def test_write_shards(spark, docs, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == s.select("prefix").distinct().count() > 4
 
 
+def test_write_shards_of_repeated_ids(spark, tmp_path):
+    rows = [(i, t * 40) for i in (7, None) for t in "xxxyz" for _ in range(8)] + [(7, None), (None, ""), (1, "é" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s = sharding.assign(df, 100)
+    sharding.write_shards(df, s, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=key) == sorted(rows, key=key)
+    got = {r.shard: (r.b, r.n) for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n")).collect()}
+    assert got == {"s" + r.prefix: (r.shard_bytes, r.shard_rows) for r in s.collect()} and max(b for b, _ in got.values()) <= 100
+
+
 def test_quality(spark, data, docs):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     scored = quality.score_documents(docs, quality.train(docs, labels))
