@@ -405,6 +405,26 @@ def test_near_dedup_keeps_one_of_edited_copies(spark, monkeypatch, crowd, half):
     assert kept == set(plain_groups(texts))
 
 
+def test_near_dedup_stage_by_brute_force(spark, data, docs):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = sorted(docs.collect())
+    copies = []
+    for r in [r for r in rows if len(r.text.split()) >= 80][:40]:
+        w = r.text.split()
+        for at in rng.sample(range(len(w)), max(1, len(w) // 60)):
+            w[at] = "edited"
+        copies.append((10_000 + r.doc_id, " ".join(w), r.lang, r.source, r.n_chars))
+    df = docs.unionByName(spark.createDataFrame(copies, docs.schema))
+    every = [(r.doc_id, r.text) for r in rows] + [c[:2] for c in copies]
+    groups = plain_groups([t for _, t in every])
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, data).collect()}
+    assert kept == {every[g][0] for g in groups}
+    texts = [t for i, t in every if i in kept]
+    assert not close_pairs(texts) and len(kept) < len(every) - 20
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
