@@ -673,7 +673,8 @@ def spanning_forest(spark, d):
 
 @query()
 def colour_graph(spark, d):
-    return graph.colour(_edges(spark, d))
+    o = table(spark, d, "orders")
+    return graph.colour(o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("d"), "o_orderkey").alias("dst")).distinct())
 
 
 @query()

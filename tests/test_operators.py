@@ -200,3 +200,13 @@ def test_components_of_a_long_chain(spark):
 def test_merge_takes_right_first(spark):
     a, b = (spark.createDataFrame([(1, s), (2, s)], "k int, s string") for s in "lr")
     assert vals(ordered.merge(a, b, ["k"]).select("s")) == ["r", "l", "r", "l"]
+
+
+def test_colour_graph_of_all_orders(spark, data):
+    from brindle.plans.queries import QUERIES
+
+    orders = spark.read.parquet(f"{data}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    got = QUERIES["colour_graph"](spark, data).collect()
+    col = {r.node: r.colour for r in got}
+    assert len(got) == len(col) and set(col) == {f"c{r[0]}" for r in orders} | {f"d{r[1]}" for r in orders}
+    assert all(col[f"c{a}"] != col[f"d{b}"] for a, b in orders)
