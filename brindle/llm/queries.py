@@ -41,7 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urlfilter.judge(pages, urlfilter.mine(pages, table(spark, sf_dir, "labels")))
+    return urlfilter.judge(pages, urlfilter.mine(urlfilter.labelled(pages, table(spark, sf_dir, "labels"))))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_token_counts, op6_url_filter, op7_simhash, op8_quality_rules, op9_decontamination, op10_html)
 }
-ORACLES: dict[str, str] = {"op2_sharding": sharding.SQL, "op8_quality_rules": rules.sql()}
+ORACLES: dict[str, str] = {"op2_sharding": sharding.SQL, "op6_url_filter": urlfilter.SQL, "op8_quality_rules": rules.sql()}

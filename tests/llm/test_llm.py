@@ -5,6 +5,7 @@ import html
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -251,26 +252,81 @@ def test_url_rules(spark):
 
 
 def test_url_mining(spark):
-    rows = [(i, f"http://{'bad' if i % 2 else 'fine'}.net/{'casino' if i % 2 and i % 4 == 1 else 'news'}/{i}") for i in range(400)]
-    pages = spark.createDataFrame(rows + [(None, None)], "page_id long, url string")
-    labels = spark.createDataFrame([(i, 0 if i % 2 and i % 4 == 1 else 1, 0) for i in range(400)] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
-    found = urlfilter.mine(pages, labels)
-    assert ["p:casino"] in found
-    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, found).collect()}
-    assert all((got[i] == "block") == (i % 4 == 1) for i in range(400)) and got[None] == "allow"
-    assert urlfilter.mine(pages.where("false"), labels) == [] and urlfilter.mine(pages, labels.where("false")) == []
-
-
-def test_index_as_plain_containment(spark):
+    rows = [(i, f"http://{'bad' if i % 2 else 'fine'}.net/{'casino' if i % 4 == 1 else 'news'}/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows + [(None, None), (None, "http://x.net/casino/")], "page_id long, url string").withColumn("id", F.lit(1)).withColumn("label", F.lit("x"))
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 1 else 1, 0) for i in range(400)] + [(None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    found = urlfilter.mine(urlfilter.labelled(pages, labels))
+    assert (("p:casino",), "block", 100, 100) in {(r.tokens, r.verdict, r.n, r.k) for r in found}
+    got = sorted((r.page_id or -1, r.url, r.verdict) for r in urlfilter.judge(pages, found).join(pages.select("page_id", "url"), "page_id").collect())
+    assert len(got) == 400 and all((v == "block") == (i % 4 == 1) for i, _, v in got)
+    loose = [r for r in urlfilter.judge(pages, found).collect() if r.page_id is None]
+    assert sorted(r.verdict for r in loose) == ["allow", "block"]
+    assert urlfilter.mine(urlfilter.labelled(pages.where("false"), labels)) == [] and urlfilter.mine(urlfilter.labelled(pages, labels.where("false"))) == []
+
+
+def plain_tokens(url):
+    if not url or "://" not in url:
+        return set()
+    host, path, _ = judge_plainly(url)
+    query = re.search(r"\?([^#]*)", url, re.S)
+    parts = ["s:" + url.split("://")[0], *("h:" + x for x in re.split(r"[.:]", host)), *("p:" + x for x in path.split("/")), *("q:" + x.split("=")[0] for x in (query[1] if query else "").split("&"))]
+    return {x for x in parts if len(x) > 2}
+
+
+def plain_rules(pages, labels):
+    """All rules by counting every subset of every labelled url, unpruned: {tokens: (verdict, n, k)}, possibly both verdicts."""
+    fixed = {h + p: v for h, p, v in urlfilter.RULES}
+    bad = {}
+    for r in labels:
+        bad[r.doc_id] = bad.get(r.doc_id, False) or r.toxic == 1 or r.quality == 0
+    rows = [(plain_tokens(u), fixed.get(judge_plainly(u)[2]) or {True: "block", False: "allow", None: None}[bad.get(i)]) for i, u in pages]
+    rows = [(t, y) for t, y in rows if t and y]
+    least = max(urlfilter.MIN_COUNT, -(-len(rows) // 500))
+    often = {t for t in {t for x, _ in rows for t in x} if sum(t in x for x, _ in rows) >= least}
+    counts, agree = {}, {}
+    for t, y in rows:
+        for size in range(1, len(t & often) + 1):
+            for c in combinations(sorted(t & often), size):
+                counts[c] = counts.get(c, 0) + 1
+                agree[c, y] = agree.get((c, y), 0) + 1
+    return [(c, y, counts[c], k) for (c, y), k in agree.items() if k >= least and 2 * k >= counts[c]]
+
+
+def test_url_query_by_brute_force(spark, data):
+    path = data.replace("sf0.001", "sf0.01")
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{path}/pages.parquet").collect()]
+    every = plain_rules(pages, spark.read.parquet(f"{path}/labels.parquet").collect())
+    ranked = sorted(every, key=lambda r: (-urlfilter.lower_bound(r[2], r[3]), len(r[0]), r[1] != "block", r[0]))
+    mined = urlfilter.mine(urlfilter.labelled(spark.read.parquet(f"{path}/pages.parquet"), spark.read.parquet(f"{path}/labels.parquet")))
+    assert mined and any(r.verdict == "block" for r in mined)  # the supplied tables must give rules of both kinds
+    assert {(r.tokens, r.verdict, r.n, r.k) for r in mined} <= set(every)
+    fixed = {h + p: v for h, p, v in urlfilter.RULES}
+    got = {r.page_id: r for r in queries.op6_url_filter(spark, path).collect()}
+    assert len(got) == len(pages)
+    decided = 0
+    for i, url in pages:
+        host, p, rule = judge_plainly(url)
+        first = None if rule else next((r for r in ranked if set(r[0]) <= plain_tokens(url)), None)
+        decided += first is not None
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict, got[i].mined_rule) == (host, p, rule, fixed.get(rule) or (first[1] if first else "allow"), first and " ".join(first[0]))
+    assert decided > 0.5 * len(pages)
+
+
+def test_url_rules_held_out(spark, data):
+    path = data.replace("sf0.001", "sf0.1")
+    r = urlfilter.held_out_report(spark.read.parquet(f"{path}/pages.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    assert r["block_rules"] > 0 and r["blocked"] >= 20 and r["hit"] >= 0.9 * r["blocked"]
+
+
+def test_index_as_plain_containment():
     rng = random.Random(8)
     names = [f"p:{c}" for c in "abcdef"]
-    rules_ = sorted({tuple(sorted(rng.sample(names, rng.randint(1, 3)))) for _ in range(8)})
-    sets_ = [rng.sample(names, rng.randint(0, 6)) for _ in range(60)]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets_)], "i int, t array<string>")
-    for size in (2, 500):
-        urlfilter.INDEX_RULES = size
-        got = {r.i: r.m for r in df.select("i", urlfilter.matches(F.col("t"), [list(r) for r in rules_]).alias("m")).collect()}
-        assert got == {i: any(set(r) <= set(x) for r in rules_) for i, x in enumerate(sets_)}
+    rules_ = [urlfilter.Rule(t, rng.choice(["block", "allow"]), 9, 9, 0.5) for t in sorted({tuple(sorted(rng.sample(names, rng.randint(1, 3)))) for _ in range(14)})]
+    rng.shuffle(rules_)
+    index = urlfilter.Index(rules_)
+    for _ in range(300):
+        have = set(rng.sample(names, rng.randint(0, 6)))
+        assert index.best(have) == next((r for r in rules_ if set(r.tokens) <= have), None)
 
 
 def plain_fingerprint(text):
