@@ -8,8 +8,9 @@ of documents before it and the place of the last separator, which joins the
 documents that reach across blocks and files.
 
 Files are written by Spark's text sink, on any file system Spark can write: a
-row is a document's bytes and the first byte of its separator, and the line
-separator is the second byte.
+row holds the bytes of some documents, each with its separator, save the last
+byte of all, and the line separator is that byte. Rows are bounded in tokens and
+files in rows, so a file's size is bounded by the longest document.
 """
 
 from __future__ import annotations
@@ -22,28 +23,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import map_arrow, ship, texts
+from .common import SLICE, cut, ship, texts
 
 #: The separator: no vocabulary that fits 16 bits here has this id, so no text can hold it. Its low byte ends a line.
 EOD = 0xC10A
-#: Documents in a file, which bounds its size.
-FILE_DOCS = 20_000
+#: A row is closed once it has so many bytes, and a file once it has so many rows.
+ROW_BYTES, FILE_ROWS = 1 << 20, 16
 #: Tokens searched at once.
 BLOCK = 1 << 20
 
 
-def write_tokens(docs: DataFrame, vocab: str, path: str, file_docs: int = FILE_DOCS) -> None:
+def write_tokens(docs: DataFrame, vocab: str, path: str, row_bytes: int = ROW_BYTES, file_rows: int = FILE_ROWS) -> None:
     """Encode every whole text and write one stream of flat files for each partition, in the order of its rows. A null text is an empty document."""
+    ship(docs.sparkSession)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocab)
         if len(e.shown) > EOD:
             raise ValueError("the vocabulary reaches the separator's id")
-        end = bytes([EOD >> 8])
-        return pa.RecordBatch.from_arrays([pa.array([np.frombuffer(e.encode_bytes(t), e.dtype).astype(">u2").tobytes() + end for t in texts(b)], pa.binary())], names=["tokens"])
+        end, row, size = EOD.to_bytes(2, "big"), [], 0
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(row)[:-1]], pa.binary())], names=["tokens"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                for t in texts(b.slice(at, SLICE)):
+                    ids = np.frombuffer(e.encode_bytes(t), e.dtype).astype(">u2").tobytes()
+                    row += [ids, end]
+                    size += len(ids) + 2
+                    if size >= row_bytes:
+                        yield closed()
+                        row, size = [], 0
+        if row:
+            yield closed()
 
-    rows = map_arrow(docs.select("text"), run, "tokens binary")
-    rows.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", chr(EOD & 0xFF)).option("maxRecordsPerFile", file_docs).text(path)
+    rows = docs.select("text").mapInArrow(run, "tokens binary")
+    rows.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", chr(EOD & 0xFF)).option("maxRecordsPerFile", file_rows).text(path)
 
 
 def scan(spark: SparkSession, path: str, eod: int = EOD, block: int = BLOCK) -> DataFrame:
@@ -71,7 +87,7 @@ def scan(spark: SparkSession, path: str, eod: int = EOD, block: int = BLOCK) ->
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    files = files.select(F.regexp_extract(name, r"^part-(\d+)-", 1).cast("long").alias("stream"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"-c(\d+)", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("long").alias("number"), "content")
+    files = files.select(F.regexp_extract(name, r"^part-(\d+)-", 1).cast("long").alias("stream"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"-c(\d+)\.[^-]*$", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("long").alias("number"), "content")
     found = files.mapInArrow(run, "stream long, number long, block long, n long, at array<int>")
     order = Window.partitionBy("stream").orderBy("number", "block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -87,14 +103,34 @@ def scan(spark: SparkSession, path: str, eod: int = EOD, block: int = BLOCK) ->
     return placed.select("stream", "docs", F.posexplode(counts)).select("stream", (F.col("docs") + F.col("pos")).alias("ordinal"), "col.n_tokens", "col.terminated")
 
 
+def fixed_places(docs: DataFrame) -> bool:
+    """Whether docs is a scan of files, with projections and filters at most, so that every evaluation puts its rows at the same places."""
+    left = [docs._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind not in ("Project", "Filter", "LogicalRelation") or not node.deterministic():
+            return False
+        below = node.children()
+        if kind == "LogicalRelation" and node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return False
+        left += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def count_tokens(docs: DataFrame, vocab: str, path: str) -> DataFrame:
     """Write the documents' flat files below path, scan them, and give each document its count: doc_id, n_tokens.
 
-    The n-th document of stream k is the n-th row of partition k of docs, which
-    must be a plain scan; a count without a document, or the other way round,
-    is an error. Null and empty texts count 0 tokens; repeated rows come back
-    repeated, an empty table gives an empty result, other columns are ignored.
+    The n-th document of stream k is the n-th row of partition k. A plain scan of
+    files has the same rows there whenever it is read; anything else, such as a
+    join, a sort or a repartitioned table, is written to a work table first. A
+    count without a document, or the other way round, is an error. Null and empty
+    texts count 0 tokens, a text of any length is one document; repeated rows come
+    back repeated, an empty table gives an empty result, other columns are ignored.
     """
+    docs = docs.select("doc_id", "text")
+    if not fixed_places(docs):
+        docs = cut(docs)
     write_tokens(docs, vocab, path)
     place = F.monotonically_increasing_id()
     rows = docs.select("doc_id", F.shiftright(place, 33).alias("stream"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), F.lit(True).alias("there"))

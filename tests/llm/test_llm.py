@@ -206,6 +206,37 @@ def test_token_counts(spark, data, docs, lib, edge, none, tmp_path, monkeypatch)
     assert tokencount.count_tokens(none, PATH, str(tmp_path / "n")).count() == 0
 
 
+@pytest.mark.parametrize("rows,files", [(1, 1), (500, 3), (1 << 20, 16)])
+def test_token_counts_of_any_table(spark, docs, lib, tmp_path, monkeypatch, rows, files):
+    monkeypatch.setattr(tokencount.write_tokens, "__defaults__", (rows, files))
+    want = sorted((r.doc_id, len(lib.encode(r.text, add_special_tokens=False).ids)) for r in docs.collect())
+    many = docs.unionByName(docs)
+    made = {
+        "dealt": many.repartition(3),
+        "sorted": many.orderBy("n_chars"),
+        "joined": many.join(spark.range(10_000).withColumnRenamed("id", "doc_id"), "doc_id"),
+        "filtered": many.where("doc_id % 3 = 1").repartition(5, "lang"),
+    }
+    for name, df in made.items():
+        ids = {r[0] for r in df.select("doc_id").collect()}
+        got = sorted(tuple(r) for r in tokencount.count_tokens(df, PATH, str(tmp_path / name)).collect())
+        assert got == sorted(2 * [w for w in want if w[0] in ids]), name
+    assert not tokencount.fixed_places(many.repartition(3)) and not tokencount.fixed_places(docs.limit(3))
+
+
+def test_plain_scans_have_fixed_places(spark, data):
+    scan = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    assert tokencount.fixed_places(scan) and tokencount.fixed_places(scan.where("doc_id > 3"))
+    assert not tokencount.fixed_places(scan.where(F.rand() > 0.5)) and not tokencount.fixed_places(scan.sample(0.5, seed=1))
+
+
+def test_token_files_are_bounded(spark, docs, tmp_path):
+    tokencount.write_tokens(docs.coalesce(1), PATH, str(tmp_path / "f"), row_bytes=10_000, file_rows=2)
+    longest = 2 * max(r.n_tokens for r in bpe.encode_documents(docs, PATH).collect()) + 2
+    sizes = [p.stat().st_size for p in (tmp_path / "f").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) <= 2 * (10_000 + longest)
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_separator_scan_stitches(spark, tmp_path, block):
     rng = np.random.default_rng(block)
@@ -214,7 +245,7 @@ def test_separator_scan_stitches(spark, tmp_path, block):
         a = np.where(rng.random(60) < 0.2, tokencount.EOD, rng.integers(0, 900, 60)).astype(">u2")
         cuts = [0, 0, 17, 18, 60]
         for n, (x, y) in enumerate(zip(cuts, cuts[1:])):
-            (tmp_path / f"part-{stream:05d}-x-c{n:03d}.txt").write_bytes(a[x:y].tobytes())
+            (tmp_path / f"part-{stream:05d}-1a2b-c4d5-x-c{n:03d}.txt").write_bytes(a[x:y].tobytes())
         lengths, run = [], 0
         for t in a.tolist():
             if t == tokencount.EOD:
