@@ -2,121 +2,151 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import cut
+
+#: Parts into which a hub's neighbours are dealt.
+SALTS = 16
+#: A hub has more neighbours than this, and than this share of all edges, so that there are at most 2 / HUB_SHARE hubs.
+HUB_LEAST, HUB_SHARE = 1000, 1e-4
+
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed to the folder that the cluster names, so that rounds do not pile up; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"brindle-{uuid.uuid4().hex[:8]}-"))
-        atexit.register(lambda: None)
-    return df.checkpoint()
+def with_least(rows: DataFrame, n_edges: int) -> DataFrame:
+    """rows (u, v) with m, the least of u and all its v. Only hubs are salted."""
+    limit = max(HUB_LEAST, int(n_edges * HUB_SHARE))
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), F.col("d") > limit)
+    least = least.toDF("u", "m", "hub")
+    hubs = F.broadcast(least.where("hub").select(F.col("u").alias("h")))  # at most 2 / HUB_SHARE rows
+    salt = F.when(F.col("h").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(hubs, F.col("u") == F.col("h"), "left").select("u", "v", salt.alias("s"))
+    return dealt.join(least.select("u", "m", F.explode(F.when(F.col("hub"), salts).otherwise(F.array(F.lit(0)))).alias("s")), ["u", "s"])
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 80) -> DataFrame:
-    """node and component, the smallest node it is connected with. Nodes without edges are their own component.
+def star_components(edges: DataFrame) -> DataFrame:
+    """node and root, its smallest node, for the connected components of edges (u, v); nodes without an edge are absent.
 
-    Large-star and small-star rounds in turn; a hub's neighbours are salted.
+    Large-star and small-star rounds in turn until no edge changes, which is
+    certain to come; each is written and the one before removed.
     """
-    salts = 16
-    salt = F.array(*[F.lit(i) for i in range(salts)])
-    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    everyone = edges.select(F.explode(F.array("src", "dst")).alias("node")).union(nodes.select(nodes.columns[0]) if nodes is not None else edges.select("src").limit(0)).distinct()
-    e = cut(e.where("u != v").distinct())
-
-    def with_least(rows: DataFrame) -> DataFrame:
-        least = rows.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(salt).alias("s"))
-        return rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(least, ["u", "s"])
-
-    before = None
-    for _ in range(rounds):
-        both = e.union(e.select("v", "u"))
-        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        small = with_least(large).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = cut(small.where("u != v").distinct())
+    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    before = n = None
+    while True:
+        n = e.count() if n is None else n
+        both = e.select("u", "v").union(e.select("v", "u"))
+        large = with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        ends = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
+        small = with_least(large, n).select(ends).select("x.*")
+        e = cut(small.where("u != v").distinct(), e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            root = e.groupBy("u").agg(F.min("v").alias("r"))
-            return everyone.join(root, F.col("node") == F.col("u"), "left").select("node", F.coalesce("r", "node").alias("component"))
-        before = now
-    raise RuntimeError("components did not settle")
+            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        before, n = now, now[0]
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node and component, the smallest node it is connected with. Nodes without edges are their own component."""
+    everyone = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    if nodes is not None:
+        everyone = everyone.union(nodes.select(nodes.columns[0]))
+    root = star_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("node", "n")
+    return everyone.distinct().join(root, F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
-    """node and hops: everything that can be reached from the start nodes, by the fewest edges."""
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node and hops: everything that can be reached from the start nodes, by the fewest edges; a round for each hop."""
     seen = cut(start.select(F.col(start.columns[0]).alias("node"), F.lit(0).alias("hops")).distinct())
-    front = seen
-    for hop in range(1, rounds + 1):
+    front, hop = seen, 0
+    while True:
+        hop += 1
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops")))
+        front = cut(step.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops")), front if hop > 1 else None)
         if front.isEmpty():
             return seen
-        seen = cut(seen.union(front))
-    raise RuntimeError("rounds ran out")
+        seen = cut(seen.union(front), seen)
 
 
-def kahn_levels(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def kahn_levels(edges: DataFrame) -> DataFrame:
     """node and level: nodes without outgoing edges are level 0 and are removed, and so on; nodes on or before a cycle have a null level."""
     left = cut(edges.select("src", "dst").distinct())
     nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    done = None
-    for level in range(rounds):
+    done, level = None, 0
+    while True:
         free = nodes.join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
         free = cut(free.select("node", F.lit(level).alias("level")))
         if free.isEmpty():
             rest = nodes.select("node", F.lit(None).cast("int").alias("level"))
             return rest if done is None else done.union(rest)
-        done = free if done is None else cut(done.union(free))
-        nodes = cut(nodes.join(free, "node", "left_anti"))
-        left = cut(left.join(free, left.dst == free.node, "left_anti"))
+        done = free if done is None else cut(done.union(free), done if level > 1 else None)
+        nodes = cut(nodes.join(free, "node", "left_anti"), nodes)
+        left = cut(left.join(free, left.dst == free.node, "left_anti"), left)
         if nodes.isEmpty():
             return done
-    raise RuntimeError("rounds ran out")
+        level += 1
 
 
-def shortest_paths(edges: DataFrame, source, rounds: int = 1000) -> DataFrame:
-    """node, dist, prev: least total weight from a source; weights must not make negative cycles.
+def shortest_paths(edges: DataFrame, source) -> DataFrame:
+    """node, dist, prev: least total weight from a source; a negative cycle within reach is an error.
 
-    Only nodes whose distance fell send it on in the next round.
+    Only nodes whose distance fell send it on in the next round; without a
+    negative cycle there are at most as many rounds as nodes.
     """
     kind = edges.schema["src"].dataType
     one = edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("prev"))
     best = cut(one)
-    front = best
-    for _ in range(rounds):
+    front, rounds, most = best, 0, None
+    while True:
         sent = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("prev"))
         offer = sent.groupBy("node").agg(F.min(F.struct("dist", "prev")).alias("o")).select("node", "o.dist", "o.prev")
         better = offer.alias("o").join(best.select(F.col("node").alias("n"), F.col("dist").alias("d")), F.col("node") == F.col("n"), "left").where(F.col("d").isNull() | (F.col("dist") < F.col("d"))).select("node", "dist", "prev")
-        front = cut(better)
+        front = cut(better, front if rounds else None)
         if front.isEmpty():
             return best
-        best = cut(best.join(front.select("node"), "node", "left_anti").unionByName(front))
-    raise RuntimeError("rounds ran out")
+        best = cut(best.join(front.select("node"), "node", "left_anti").unionByName(front), best)
+        rounds += 1
+        if rounds % 100 == 0:
+            most = edges.select(F.explode(F.array("src", "dst"))).distinct().count() if most is None else most
+            if rounds > most:
+                raise ValueError("a negative cycle is within reach")
 
 
-def minimum_spanning_forest(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """src, dst, w of a forest of least total weight: every component takes its cheapest edge out, ties by ends, until none is left."""
-    e = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").where("src != dst"))
-    label = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
+def _roots(pick: DataFrame) -> DataFrame:
+    """c and root, where the picks (c, o) lead: by pointer jumping, each round doubles the way.
+
+    The picks of a component end in two nodes that chose each other; the smaller is the root.
+    """
+    other = pick.select(F.col("c").alias("c2"), F.col("o").alias("o2"))
+    to = pick.join(other, F.col("o") == F.col("c2")).select("c", F.when((F.col("o2") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("root"))
+    to = cut(to)
+    while True:
+        next_ = to.select(F.col("c").alias("root"), F.col("root").alias("further"))
+        to = cut(to.join(next_, "root").select("c", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), to)
+        if to.where("moved").isEmpty():
+            return to.select("c", "root")
+
+
+def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
+    """src, dst, w of a forest of least total weight, with src < dst.
+
+    Every node picks its least edge by (w, src, dst), the picked edges are
+    contracted, and of parallel edges the least stays. Nodes halve at least in
+    each round, so it ends after a logarithm of their number.
+    """
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").where("src != dst")
+    e = cut(e.groupBy("src", "dst").agg(F.min("w").alias("w")).select(F.col("src").alias("a"), F.col("dst").alias("b"), "w", "src", "dst"))
     tree = None
-    for _ in range(rounds):
-        a, b = label.select(F.col("node").alias("src"), F.col("c").alias("ca")), label.select(F.col("node").alias("dst"), F.col("c").alias("cb"))
-        out = cut(e.join(a, "src").join(b, "dst").where("ca != cb"))
-        if out.isEmpty():
-            break
-        both = out.select("ca", "src", "dst", "w", "cb").union(out.select("cb", "src", "dst", "w", "ca")).toDF("c", "src", "dst", "w", "o")
+    while not e.isEmpty():
+        both = e.select(F.col("a").alias("c"), F.col("b").alias("o"), "w", "src", "dst").union(e.select("b", "a", "w", "src", "dst"))
         pick = cut(both.groupBy("c").agg(F.min(F.struct("w", "src", "dst", "o")).alias("p")).select("c", "p.*"))
         chosen = pick.select("src", "dst", "w").distinct()
-        tree = cut(chosen if tree is None else tree.union(chosen).distinct())
-        merged = connected_components(pick.select(F.col("c").alias("src"), F.col("o").alias("dst")))
-        label = cut(label.join(merged.withColumnRenamed("node", "c"), "c").select("node", F.col("component").alias("c")))
-    return tree if tree is not None else e.limit(0)
+        tree = cut(chosen if tree is None else tree.union(chosen), tree)
+        root = _roots(pick.select("c", "o"))
+        x, y = root.toDF("a", "ra"), root.toDF("b", "rb")
+        moved = e.join(x, "a").join(y, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "w", "src", "dst")
+        e = cut(moved.groupBy("a", "b").agg(F.min(F.struct("w", "src", "dst")).alias("m")).select("a", "b", "m.*"), e, pick)
+    return tree if tree is not None else e.select("src", "dst", "w")
 
 
 def _per_component(edges: DataFrame, f, schema: str) -> DataFrame:
@@ -227,16 +257,20 @@ def dominators(edges: DataFrame, root) -> DataFrame:
     return reached_edges(edges, root).withColumn("__g", F.lit(1)).groupBy("__g").applyInPandas(run, f"node {kind}, idom {kind}")
 
 
-def all_pairs(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """src, dst, dist, hop: least distances between all connected pairs by repeated doubling of path lengths; hop is the node before dst. For small graphs."""
+def all_pairs(edges: DataFrame) -> DataFrame:
+    """src, dst, dist, hop: least distances between all connected pairs by repeated doubling of path lengths; hop is the node before dst.
+
+    For small graphs: the result has a row for each connected pair. A negative cycle is an error.
+    """
     best = cut(edges.where("src != dst").groupBy("src", "dst").agg(F.min("w").alias("dist")).withColumn("hop", F.col("src")))
-    before = None
-    for _ in range(rounds):
+    before, left = None, 2 + best.select(F.explode(F.array("src", "dst"))).distinct().count().bit_length()
+    while True:
         a, b = best.alias("a"), best.alias("b")
         longer = a.join(b, F.col("a.dst") == F.col("b.src")).where("a.src != b.dst").select("a.src", "b.dst", (F.col("a.dist") + F.col("b.dist")).alias("dist"), F.col("b.hop").alias("hop"))
-        best = cut(best.unionByName(longer).groupBy("src", "dst").agg(F.min(F.struct("dist", "hop")).alias("m")).select("src", "dst", "m.dist", "m.hop"))
+        best = cut(best.unionByName(longer).groupBy("src", "dst").agg(F.min(F.struct("dist", "hop")).alias("m")).select("src", "dst", "m.dist", "m.hop"), best)
         now = best.agg(F.count("*"), F.sum("dist")).first()
         if now == before:
             return best
-        before = now
-    raise RuntimeError("rounds ran out")
+        before, left = now, left - 1
+        if not left:
+            raise ValueError("a negative cycle")

@@ -599,12 +599,11 @@ def conversion_chain(spark, d):
     return table(spark, d, "part").select("p_partkey", r.convert(text, "string", "long").alias("size_number"), r.convert(r.convert(text, "string", "long"), "long", "double").alias("size_real"))
 
 
-_EDGES = "(SELECT DISTINCT 'c' || o_custkey src, 'd' || (o_orderkey % 5000)::VARCHAR dst FROM orders WHERE o_totalprice > 330000)"
+_EDGES = "(SELECT DISTINCT 'c' || o_custkey src, 'd' || o_orderkey dst FROM orders)"
 
 
 def _edges(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice > 330000")
-    return o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("d"), (C("o_orderkey") % 5000).cast("string")).alias("dst")).distinct()
+    return table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("d"), "o_orderkey").alias("dst")).distinct()
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}), r AS (SELECT src node, src root FROM e UNION SELECT e.dst, r.root FROM r JOIN e ON e.src = r.node)
@@ -625,16 +624,16 @@ def reachability(spark, d):
     return graph.reachable(_tree(spark, d), spark.range(1, 2).select(C("id").alias("node")))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_TREE} WHERE src > 0), l AS (SELECT dst node, 0 level FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node)
-SELECT node, max(level) level FROM l GROUP BY 1""")
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_TREE}), l AS (SELECT dst node, 0 level FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node)
+SELECT node, max(level) level FROM (SELECT src node FROM e UNION SELECT dst FROM e) LEFT JOIN l USING (node) GROUP BY 1""")
 def kahn_levels(spark, d):
-    return graph.kahn_levels(_tree(spark, d).where("src > 0"))
+    return graph.kahn_levels(_tree(spark, d))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst, (dst % 7 + 1)::DOUBLE w FROM {_TREE} WHERE src > 0), r AS (SELECT 1::BIGINT node, 0::DOUBLE dist UNION SELECT e.dst, r.dist + e.w FROM r JOIN e ON e.src = r.node)
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, (dst % 7 + 1)::DOUBLE w FROM {_TREE}), r AS (SELECT 1::BIGINT node, 0::DOUBLE dist UNION SELECT e.dst, r.dist + e.w FROM r JOIN e ON e.src = r.node)
 SELECT node, min(dist) dist FROM r GROUP BY 1""")
 def shortest_paths(spark, d):
-    e = _tree(spark, d).where("src > 0").withColumn("w", (C("dst") % 7 + 1).cast("double"))
+    e = _tree(spark, d).withColumn("w", (C("dst") % 7 + 1).cast("double"))
     return graph.shortest_paths(e, 1).select("node", "dist")
 
 
@@ -655,29 +654,72 @@ def latest_state(spark, d):
     return stream.latest(e, "user_id", "op", "props", "o")
 
 
-@query()
+@query("""WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 j, count(*) OVER (PARTITION BY user_id) n FROM events)
+SELECT a.user_id, a.j k, round(sum(b.value * cos(-2 * pi() * ((a.j * b.j) % a.n) / a.n)), 4) + 0 re, round(sum(b.value * sin(-2 * pi() * ((a.j * b.j) % a.n) / a.n)), 4) + 0 im FROM n a JOIN n b USING (user_id) GROUP BY ALL""")
 def fft_values(spark, d):
-    return windows.fft(table(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"]).select("user_id", "k", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+    return windows.fft(table(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"]).select("user_id", "k", (F.round("re", 4) + 0).alias("re"), (F.round("im", 4) + 0).alias("im"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events),
+k AS (SELECT event_id, user_id, i, value x, 25.0::DOUBLE p FROM n WHERE i = 1 UNION ALL SELECT n.event_id, n.user_id, n.i, k.x + (k.p + 1) / (k.p + 26) * (n.value - k.x), (1 - (k.p + 1) / (k.p + 26)) * (k.p + 1) FROM k JOIN n ON n.user_id = k.user_id AND n.i = k.i + 1)
+SELECT event_id, round(x, 4) estimate FROM k""")
 def ekf_values(spark, d):
-    return windows.kalman(table(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], 1.0, 25.0).select("event_id", F.round("estimate", 6).alias("estimate"))
+    return windows.kalman(table(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"], 1.0, 25.0).select("event_id", F.round("estimate", 4).alias("estimate"))
 
 
-@query()
+def _blocks(spark, d):
+    """Each order with the next three of its block of eight; the weights are the sums of their prices."""
+    o = table(spark, d, "orders").select(C("o_orderkey").alias("k"), C("o_totalprice").alias("p"))
+    b = o.toDF("k2", "p2")
+    near = o.select("k", "p", F.explode(F.array(*[C("k") + i for i in (1, 2, 3)])).alias("to")).join(b, (C("to") == C("k2")) & (F.floor(C("k") / 8) == F.floor(C("k2") / 8)))
+    return near.select(C("k").alias("src"), C("k2").alias("dst"), F.round(C("p") + C("p2"), 2).alias("w"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT a.o_orderkey src, b.o_orderkey dst, round(a.o_totalprice + b.o_totalprice, 2) w FROM orders a JOIN orders b ON b.o_orderkey - a.o_orderkey BETWEEN 1 AND 3 AND a.o_orderkey // 8 = b.o_orderkey // 8),
+s AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e),
+r AS (SELECT src, dst, w, src node FROM e UNION SELECT r.src, r.dst, r.w, s.dst FROM r JOIN s ON s.src = r.node AND (s.w, least(s.src, s.dst), greatest(s.src, s.dst)) < (r.w, r.src, r.dst))
+SELECT src, dst, w FROM r GROUP BY ALL HAVING NOT bool_or(node = dst)""")
 def spanning_forest(spark, d):
-    e = _tree(spark, d).where("src > 0").withColumn("w", (C("dst") % 7 + 1).cast("double"))
-    return graph.minimum_spanning_forest(e)
+    """An edge is in the forest unless lighter ones connect its ends."""
+    return graph.minimum_spanning_forest(_blocks(spark, d))
 
 
-@query()
+@query("SELECT 'c' || o_custkey node, 0 colour FROM orders UNION SELECT 'd' || o_orderkey, 1 FROM orders")
 def colour_graph(spark, d):
-    o = table(spark, d, "orders")
-    return graph.colour(o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("d"), "o_orderkey").alias("dst")).distinct())
+    """Breadth first from the smallest node, the customer, so that orders have the second colour."""
+    return graph.colour(_edges(spark, d))
+
+
+_NATIONS = "(SELECT DISTINCT n_nationkey::BIGINT src, unnest([(n_nationkey * 2 + 1) % 25, (n_nationkey + n_regionkey + 1) % 25])::BIGINT dst FROM nation)"
 
 
-@query()
+def _nations(spark, d):
+    n, r = C("n_nationkey"), C("n_regionkey")
+    return table(spark, d, "nation").select(n.cast("long").alias("src"), F.explode(F.array(*[x.cast("long") for x in ((n * 2 + 1) % 25, (n + r + 1) % 25)])).alias("dst")).distinct()
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_NATIONS}), x AS (SELECT -1::BIGINT cut UNION SELECT src FROM e UNION SELECT dst FROM e),
+r AS (SELECT cut, 0::BIGINT node FROM x WHERE cut <> 0 UNION SELECT r.cut, e.dst FROM r JOIN e ON e.src = r.node AND e.dst <> r.cut),
+f AS (SELECT node FROM r WHERE cut = -1), s AS (SELECT f.node, d.node dom FROM f JOIN f d ON d.node <> f.node WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.cut = d.node AND r.node = f.node)),
+n AS (SELECT node, count(*) c FROM s GROUP BY 1)
+SELECT f.node, arg_max(s.dom, coalesce(n.c, 0)) idom FROM f LEFT JOIN s ON s.node = f.node LEFT JOIN n ON n.node = s.dom GROUP BY 1""")
 def dominator_tree(spark, d):
-    return graph.dominators(_tree(spark, d).where("src > 0"), 1)
+    """A node's dominators are those without which it is not reached; the immediate one has the most dominators itself."""
+    return graph.dominators(_nations(spark, d), 0)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst, (dst % 7 + 1)::DOUBLE w FROM {_NATIONS} WHERE src <> dst), r AS (SELECT src, dst, w FROM e UNION SELECT r.src, e.dst, r.w + e.w FROM r JOIN e ON e.src = r.dst WHERE r.w + e.w <= 100 AND e.dst <> r.src)
+SELECT src, dst, min(w) dist FROM r GROUP BY 1, 2""")
+def all_pair_distances(spark, d):
+    return graph.all_pairs(_nations(spark, d).withColumn("w", (C("dst") % 7 + 1).cast("double"))).select("src", "dst", "dist")
+
 
+@query("""WITH t AS (SELECT 0::BIGINT node, [1000000::BIGINT, 1000000, 1000000] p UNION ALL SELECT r_regionkey + 1, [r_regionkey + 1, 1000000, 1000000] FROM region
+UNION ALL SELECT n_nationkey + 100, [n_regionkey + 1, n_nationkey + 100, 1000000] FROM nation UNION ALL SELECT s_suppkey + 1000, [n_regionkey + 1, n_nationkey + 100, s_suppkey + 1000] FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT node, row_number() OVER (ORDER BY p) - 1 position FROM t""")
+def postorder_positions(spark, d):
+    """Regions, nations and suppliers as a tree."""
+    r = table(spark, d, "region").select(F.lit(0).cast("long").alias("src"), (C("r_regionkey") + 1).cast("long").alias("dst"))
+    n = table(spark, d, "nation").select((C("n_regionkey") + 1).cast("long"), (C("n_nationkey") + 100).cast("long"))
+    s = table(spark, d, "supplier").select((C("s_nationkey") + 100).cast("long"), (C("s_suppkey") + 1000).cast("long"))
+    return graph.postorder(r.union(n).union(s), 0)

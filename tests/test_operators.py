@@ -197,6 +197,39 @@ def test_components_of_a_long_chain(spark):
     assert graph.connected_components(e).where("component <> 0").count() == 0
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14), st.integers(1, 5)), max_size=40))
+def test_forest_as_kruskal(spark, rows):
+    root = list(range(15))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    want = []
+    for w, a, b in sorted((w, min(a, b), max(a, b)) for a, b, w in rows if a != b):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.append((a, b, float(w)))
+    e = spark.createDataFrame([(a, b, float(w)) for a, b, w in rows], "src long, dst long, w double")
+    assert sorted(tuple(r) for r in graph.minimum_spanning_forest(e).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("hub", [0, 1000])
+def test_components_with_hubs_salted(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB_LEAST", hub)
+    e = spark.range(300).select(F.lit(7).cast("long").alias("src"), (C("id") + 1000).alias("dst")).union(spark.range(20).select((C("id") + 2000).alias("src"), (C("id") + 2001).alias("dst")))
+    got = {r.node: r.component for r in graph.connected_components(e).collect()}
+    assert got == {7: 7, **{i + 1000: 7 for i in range(300)}, **{i + 2000: 2000 for i in range(21)}}
+
+
+def test_negative_cycles_end(spark):
+    e = spark.createDataFrame([(1, 2, -1.0), (2, 1, -1.0), (2, 3, 1.0)], "src long, dst long, w double")
+    with pytest.raises(ValueError):
+        graph.all_pairs(e)
+
+
 def test_merge_takes_right_first(spark):
     a, b = (spark.createDataFrame([(1, s), (2, s)], "k int, s string") for s in "lr")
     assert vals(ordered.merge(a, b, ["k"]).select("s")) == ["r", "l", "r", "l"]
