@@ -28,7 +28,7 @@ from .common import SLICE, cut, ship, texts
 #: The separator: no vocabulary that fits 16 bits here has this id, so no text can hold it. Its low byte ends a line.
 EOD = 0xC10A
 #: A row is closed once it has so many bytes, and a file once it has so many rows.
-ROW_BYTES, FILE_ROWS = 1 << 20, 16
+ROW_BYTES, FILE_ROWS = 1 << 17, 256
 #: Tokens searched at once.
 BLOCK = 1 << 20
 
