@@ -27,6 +27,8 @@ MEASURES = 7
 DIM = PATH_DIM + WORD_DIM + MEASURES
 #: Block steps of one padded batch, which bounds memory.
 BATCH_STEPS = 40_000
+#: Blocks whose vectors are held at once.
+STRETCH = 8192
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,78 +37,166 @@ DROPPED = frozenset("script style title noscript template textarea iframe svg ma
 #: An opening tag closes these if they are open, up to the given ancestors.
 _P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A comment or the like, or the beginning of a tag.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_MARK = re.compile("[>\"']")
+_TAIL = re.compile("<[!?]")
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 
 
+class Path:
+    """A block-level element inside its ancestors: their number of marks, its own marks, and those of them that no ancestor has."""
+
+    __slots__ = ("above", "depth", "marks", "new", "size")
+
+    def __init__(self, above: Path | None, marks: tuple[str, ...], new: tuple[str, ...]):
+        self.above, self.marks, self.new = above, marks, new
+        self.depth = above.depth + 1 if above else 0
+        self.size = (above.size if above else 0) + len(marks)
+
+    def below(self, marks: tuple[str, ...]) -> Path:
+        """A path below this one, from a walk over all ancestors: for short paths."""
+        had, at = set(), self
+        while at:
+            had.update(at.marks)
+            at = at.above
+        return Path(self, marks, tuple(t for t in dict.fromkeys(marks) if t not in had))
+
+
+ROOT = Path(None, (), ())
+
+
+def path_of(marks: tuple[str, ...]) -> Path:
+    return ROOT.below(marks) if marks else ROOT
+
+
 @dataclass
 class Leaf:
-    """A block: the path of its ancestors, its text, and how much of that is inside links."""
+    """A block: the element it is in, its text, and how much of that is inside links."""
 
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: float
 
 
+class _Open:
+    """The stack of open elements. Every question is answered in constant time, however deep it is."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths: list[Path] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.had: dict[str, int] = {}
+
+    def here(self) -> Path:
+        return self.paths[-1] if self.paths else ROOT
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of a name, -1 without one."""
+        places = self.at.get(name)
+        return places[-1] if places else -1
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    def push(self, name: str, marks: tuple[str, ...]) -> None:
+        path = self.here()
+        if name not in INLINE:
+            path = Path(path, marks, tuple(t for t in dict.fromkeys(marks) if not self.had.get(t)))
+            for t in marks:
+                self.had[t] = self.had.get(t, 0) + 1
+            self.blocks.append(len(self.names))
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.paths.append(path)
+
+    def pop(self, to: int) -> None:
+        """Close everything from a place on."""
+        while len(self.names) > to:
+            name, path = self.names.pop(), self.paths.pop()
+            self.at[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+                for t in path.marks:
+                    self.had[t] -= 1
+
+
+class _Ends:
+    """Where tags end: at the first > outside quotes, or the first of all if a quote stays open. What lies behind a quote is looked up once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[int, int] = {}
+
+    def after(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes begin at a place; -1 without one."""
+        page, way, end = self.page, [], -1
+        m = _MARK.search(page, at)
+        while m:
+            q = m.start()
+            if m[0] == ">":
+                end = q
+                break
+            if q in self.known:
+                end = self.known[q]
+                break
+            way.append(q)
+            closing = page.find(m[0], q + 1)
+            m = _MARK.search(page, closing + 1) if closing >= 0 else None
+        for q in way:
+            self.known[q] = end
+        return end if end >= 0 else page.find(">", at)
+
+
 def leaves(page: str) -> list[Leaf]:
-    """The text blocks of a page, in order. Broken, unclosed and nested markup gives blocks too; nothing raises."""
+    """The text blocks of a page, in order, in time linear in its length. Broken, unclosed and nested markup gives blocks too; nothing raises."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     parts: list[str] = []
     linked = 0
-    links = 0
-    path: list[tuple[str, ...] | None] = [None]
-
-    def here() -> tuple[str, ...]:
-        if path[0] is None:
-            path[0] = tuple(t for name, marks in stack if name not in INLINE for t in marks)
-        return path[0]
+    ends = _Ends(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(here(), text, min(1.0, linked / len(text))))
+                out.append(Leaf(stack.here(), text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    def pop(to: int) -> None:
-        nonlocal links
-        links -= sum(1 for name, _ in stack[to:] if name == "a")
-        del stack[to:]
-        path[0] = None
-
     def add(text: str) -> None:
         nonlocal linked
         if text:
             parts.append(text)
-            if links:
+            if stack.at.get("a"):
                 linked += len(text)
 
     at, low = 0, None
     while True:
         m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
+        end = m.end() if m and not m[2] else ends.after(m.end()) + 1 if m else 0
+        if not end:  # no tag begins after the last >
+            add(page[at:] if m is None else page[at : m.start()])
+            if m is None:
+                break
+            tail = _TAIL.search(page, m.start())
+            add(page[m.start() : tail.start()] if tail else page[m.start() :])
             break
         add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        at = end
+        if not m[2]:
             continue
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
+        name, closing, attrs = m[2].lower(), m[1], page[m.end() : end - 1]
         if closing:
             if name not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = stack.last(name)
+            if k >= 0 and (name not in INLINE or k > stack.last_block()):
+                stack.pop(k)
             continue
         if name in DROPPED:
             if name not in ("svg", "math", "canvas", "object"):
@@ -123,21 +213,15 @@ def leaves(page: str) -> list[Leaf]:
         if name not in INLINE:
             flush()
             if name in _P_ENDERS or name == "p":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+                k = stack.last_block()
+                if k >= 0 and stack.names[k] == "p":
+                    stack.pop(k)
             if name in CLOSES:
-                ends, within = CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in within:
+                inner, within = CLOSES[name]
+                while (k := max(map(stack.last, inner))) > max(map(stack.last, within)):
+                    stack.pop(k)
+                    if name != "tr":
                         break
-                    if stack[k][0] in ends:
-                        pop(k)
-                        if name != "tr":
-                            break
         if name in VOID:
             continue
         marks = [name]
@@ -145,24 +229,47 @@ def leaves(page: str) -> list[Leaf]:
             marks += ["." + w for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
         if _HIDDEN.search(attrs):
             marks.append(".hidden")
-        stack.append((name, tuple(marks)))
-        if name == "a":
-            links += 1
-        path[0] = None
+        stack.push(name, tuple(marks))
     flush()
     return out
 
 
 @lru_cache(maxsize=50_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIM, np.float32)
-    for t in set(path) - {"html", "body"}:
-        h = zlib.crc32(t.encode())
-        v[h % PATH_DIM] += 1 if h >> 31 else -1
-    if path:
-        h = zlib.crc32(b"leaf " + path[-1].encode())
-        v[h % PATH_DIM] += 1 if h >> 31 else -1
-    return v
+def _slot(token: str) -> tuple[int, int]:
+    """Place and sign of a hashed token in a path's vector."""
+    h = zlib.crc32(token.encode())
+    return h % PATH_DIM, 1 if h >> 31 else -1
+
+
+class _PathVector:
+    """The vector of a path, moved from one to the next over their common ancestor, so that a page costs its tree's edges."""
+
+    def __init__(self):
+        self.v, self.path = np.zeros(PATH_DIM, np.float32), ROOT
+
+    def _step(self, path: Path, sign: int) -> None:
+        for t in path.new:
+            if t != "html" and t != "body":
+                at, s = _slot(t)
+                self.v[at] += sign * s
+
+    def put(self, path: Path, out: np.ndarray) -> None:
+        """Write the vector of a path, with the mark of its last element, to out."""
+        down, a, b = [], self.path, path
+        while a is not b:
+            if a.depth >= b.depth:
+                self._step(a, -1)
+                a = a.above
+            else:
+                down.append(b)
+                b = b.above
+        for x in reversed(down):
+            self._step(x, 1)
+        self.path = path
+        out[:] = self.v
+        if path.marks:
+            at, s = _slot("leaf " + path.marks[-1])
+            out[at] += s
 
 
 _PLACE = np.random.default_rng(23).integers(1, 1 << 32, 64, np.uint32) | np.uint32(1)
@@ -185,15 +292,17 @@ def _word_vectors(blocks: list[Leaf]) -> tuple[np.ndarray, np.ndarray]:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1), np.bincount(block, minlength=len(blocks))
 
 
-def vectors(blocks: list[Leaf]) -> np.ndarray:
+def vectors(blocks: list[Leaf], at: int = 0, total: int | None = None, walk: _PathVector | None = None) -> np.ndarray:
+    """Vectors of a page's blocks, or of a stretch of them that begins at a place of `total` blocks."""
     x = np.zeros((len(blocks), DIM), np.float32)
     if not blocks:
         return x
+    walk, total = walk or _PathVector(), total or len(blocks)
     x[:, PATH_DIM : PATH_DIM + WORD_DIM], counts = _word_vectors(blocks)
     for k, b in enumerate(blocks):
-        x[k, :PATH_DIM] = _path_vector(b.path)
+        walk.put(b.path, x[k, :PATH_DIM])
         t = b.text
-        x[k, PATH_DIM + WORD_DIM :] = (0, b.linked, (t.count(".") + t.count(",") + t.count(";")) / len(t) * 10, t[-1] in ".!?", min(len(b.path), 30) / 10, (k + 1) / len(blocks), 1.0)
+        x[k, PATH_DIM + WORD_DIM :] = (0, b.linked, (t.count(".") + t.count(",") + t.count(";")) / len(t) * 10, t[-1] in ".!?", min(b.path.size, 30) / 10, (at + k + 1) / total, 1.0)
     x[:, PATH_DIM + WORD_DIM] = np.log1p(counts) / 4
     return x
 
@@ -268,7 +377,42 @@ class Labeller:
             g["w" + d], g["u" + d], g["c" + d] = x.reshape(-1, DIM).T @ flat, du, flat.sum(0)
         return g
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def inputs(self, blocks: list[Leaf]) -> tuple[np.ndarray, np.ndarray]:
+        """What the gates of both directions and the output take from each block's vector; the vectors themselves are made and dropped in stretches."""
+        w = np.concatenate([self.p["wf"], self.p["wb"], self.p["skip"]], 1)
+        walk, out = _PathVector(), np.zeros((len(blocks), w.shape[1]), np.float32)
+        for at in range(0, len(blocks), STRETCH):
+            out[at : at + STRETCH] = vectors(blocks[at : at + STRETCH], at, len(blocks), walk) @ w
+        return out[:, :-1] + np.concatenate([self.p["cf"], self.p["cb"]]), out[:, -1]
+
+    def scores(self, z: np.ndarray, skip: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Output for each (time, page) from the inputs; both directions step together, the backward one from the end."""
+        t, n, h = len(z), z.shape[1], HIDDEN
+        z = z.reshape(t, n, 2, 4 * h)
+        u = np.stack([self.p["uf"], self.p["ub"]])
+        o = self.p["out"].reshape(2, h)
+        state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        y = skip + self.p["bias"]
+        whole = mask.all(1)
+        with np.errstate(over="ignore"):
+            for k in range(t):
+                j = t - 1 - k
+                a = state @ u
+                a[0] += z[k, :, 0]
+                a[1] += z[j, :, 1]
+                s = 1 / (1 + np.exp(-a[:, :, : 3 * h]))
+                new = s[:, :, h : 2 * h] * cell + s[:, :, :h] * np.tanh(a[:, :, 3 * h :])
+                to = s[:, :, 2 * h :] * np.tanh(new)
+                if whole[k] and whole[j]:
+                    cell, state = new, to
+                else:
+                    m = np.stack([mask[k], mask[j]])[:, :, None]
+                    cell, state = m * new + (1 - m) * cell, m * to + (1 - m) * state
+                y[k] += state[0] @ o[0]
+                y[j] += state[1] @ o[1]
+        return y
+
+    def label(self, pages: list[list[Leaf]]) -> list[np.ndarray]:
         """Whether each block of each page is main text."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
@@ -278,8 +422,13 @@ class Labeller:
             while stop < len(order) and len(pages[order[stop]]) * (stop + 1 - at) <= BATCH_STEPS and stop - at < 512:
                 stop += 1
             group = order[at:stop]
-            x, mask = _pad([pages[k] for k in group])
-            y = self.logits(x, mask)[0] > 0
+            t = len(pages[group[-1]])
+            z, skip, mask = np.zeros((t, len(group), 8 * HIDDEN), np.float32), np.zeros((t, len(group)), np.float32), np.zeros((t, len(group)), np.float32)
+            for j, k in enumerate(group):
+                n = len(pages[k])
+                z[:n, j], skip[:n, j] = self.inputs(pages[k])
+                mask[:n, j] = 1
+            y = self.scores(z, skip, mask) > 0
             for j, k in enumerate(group):
                 out[k] = y[: len(pages[k]), j]
             at = stop
@@ -295,7 +444,7 @@ def _pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Pages:
-    """Composes labelled training pages: lists of (path, text, is main text)."""
+    """Composes labelled training pages: lists of (block, is main text)."""
 
     MENUS = ("nav", "div.nav", "div.menu", "ul.menu", "div.navbar", "div.navigation", "div.breadcrumb", "div.breadcrumbs", "nav.nav", "div.topnav", "div.tabs", "nav.pagination", "div.pager", "div.toc")
     HEADERS = ("header", "div.header", "div.masthead", "div.top", "div.site.header", "header.header", "div.logo", "div.branding", "div.banner", "hgroup")
@@ -335,7 +484,7 @@ class _Pages:
         return tuple(out)
 
     def block(self, page, base, leaf, n, main, linked=0.0):
-        page.append((Leaf(base + ((leaf,) if leaf else ()), self.words(max(1, n)), linked), main))
+        page.append((Leaf(path_of(base + ((leaf,) if leaf else ())), self.words(max(1, n)), linked), main))
 
     def other(self, page, base: tuple[str, ...], kinds) -> None:
         kind = self.pick(kinds)
@@ -376,7 +525,7 @@ class _Pages:
             if kind < 0.03:  # pages do repeat themselves
                 text = self.words(self.rng.integers(1, 5)) if self.chance(0.5) else " ".join([self.words(1)] * self.rng.integers(3, 60))
                 for _ in range(self.rng.integers(1, 12)):
-                    page.append((Leaf(part + ("p",), text, 0.0), True))
+                    page.append((Leaf(path_of(part + ("p",)), text, 0.0), True))
             elif kind < 0.72:
                 self.block(page, part, "p", self.rng.integers(1, 70), True, 0.0 if self.chance(0.9) else float(self.rng.random() * 0.5))
             elif kind < 0.80:
@@ -439,7 +588,7 @@ def default_model() -> Labeller:
 def main_text(page: str, model: Labeller) -> str:
     """Main text of one page."""
     blocks = leaves(page)
-    return "\n\n".join(b.text for b, y in zip(blocks, model.label([vectors(blocks)])[0], strict=True) if y) if blocks else ""
+    return "\n\n".join(b.text for b, y in zip(blocks, model.label([blocks])[0], strict=True) if y) if blocks else ""
 
 
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
@@ -458,7 +607,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
         docs = texts(b, "html")
         for at in range(0, len(docs), 1000):
             blocks = [leaves(t) for t in docs[at : at + 1000]]
-            marks = sent.value.label([vectors(x) for x in blocks])
+            marks = sent.value.label(blocks)
             out += ["\n\n".join([x.text for x, y in zip(xs, ys, strict=True) if y]) for xs, ys in zip(blocks, marks, strict=True)]
         return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
