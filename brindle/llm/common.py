@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.work import cut, work_dir
+
+__all__ = ["SLICE", "by_hash", "cut", "fixed_places", "keep_rows", "map_arrow", "raw", "ship", "table", "texts", "unused", "work_dir"]
+
 #: Rows of a batch that are turned into Python objects at once.
 SLICE = 400
 
@@ -30,7 +33,9 @@ def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application, so that Python workers can import it, and bound their batches.
 
     The archive is staged on the driver and served by Spark's own file server;
-    executors never read the driver's folder.
+    executors never read the driver's folder. Spark's batches are bounded in rows
+    alone, so where the session has the default of 10,000 it is set to 1,000 for
+    good: plans read it when they run, which may be any time later.
     """
     if spark.conf.get(_BATCH) == "10000":  # the default: too many rows at once where texts are long
         spark.conf.set(_BATCH, "1000")
@@ -38,7 +43,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[2]
-    out = Path(tempfile.mkdtemp()) / "brindle_pkg.zip"
+    stage = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, stage, True)
+    out = Path(stage) / "brindle_pkg.zip"
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted((root / "brindle").rglob("*.py")):
             z.write(p, p.relative_to(root))
@@ -46,32 +53,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, own temporary folder only where that is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.environ.setdefault("BRINDLE_WORK", tempfile.mkdtemp(prefix="brindle-"))
-    path = f"{base.rstrip('/')}/brindle-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the context may be gone at exit; the folder is then the cluster's to clean
-        return
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to a shared work table and reread, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fixed_places(docs: DataFrame) -> bool:
+    """Whether docs is a scan of files, with projections and filters at most, so that every evaluation puts its rows at the same places."""
+    left = [docs._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind not in ("Project", "Filter", "LogicalRelation") or not node.deterministic():
+            return False
+        below = node.children()
+        if kind == "LogicalRelation" and node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return False
+        left += [below.apply(i) for i in range(below.size())]
+    return True
 
 
 def by_hash(doc_id: Column, share: Column | float) -> Column:

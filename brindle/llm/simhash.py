@@ -25,15 +25,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import star_components
 from . import shingles
-from .common import cut, map_arrow, raw, unused
+from .common import cut, fixed_places, map_arrow, raw, unused
 
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
 #: Indexed fingerprints under one key above which they meet at points instead of pairwise.
 CROWD = 24
-SALTS = 16
+#: Most places of dropped rows that are broadcast, 8 bytes each; more are joined.
+SENT = 1_000_000
 _BLOCK = 1 << 15
 
 
@@ -69,18 +71,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _prints_and_sets(docs: DataFrame) -> DataFrame:
-    """As fingerprints, and of each text's set of 5-word shingles the id, the size n and the band keys."""
+    """As fingerprints, and the row's place; of each text's set of 5-word shingles the id, the size n and the band keys."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = raw(b)
         fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
         sets = [shingles.shingles(t) for t in texts]
         more = [pa.array([shingles.set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([shingles.bands(x) for x in sets], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), b.column("text_hash"), *more], names=["doc_id", "fp", "text_hash", "set_id", "n", "keys"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), b.column("text_hash"), b.column("place"), *more], names=["doc_id", "fp", "text_hash", "place", "set_id", "n", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    part = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return map_arrow(part, run, f"doc_id {kind}, fp long, text_hash long, set_id long, n long, keys array<long>")
+    part = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.monotonically_increasing_id().alias("place"))
+    return map_arrow(part, run, f"doc_id {kind}, fp long, text_hash long, place long, set_id long, n long, keys array<long>")
 
 
 def _similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -147,31 +149,9 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (u, v): node and root, its smallest node; nodes without an edge are absent.
-
-    Alternates large-star and small-star rounds, each written and reread, until
-    no edge changes. Joins on a hub are salted.
-    """
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-    salt = F.array(*[F.lit(i) for i in range(SALTS)])
-
-    def with_min(rows: DataFrame) -> DataFrame:
-        least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select("u", "m", F.explode(salt).alias("salt"))
-        return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"])
-
-    before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        small = with_min(large)
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        before = now
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (u, v): node and root, its smallest node; nodes without an edge are absent."""
+    return star_components(edges)
 
 
 def _groups(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
@@ -204,13 +184,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with all its columns: the smallest doc_id, rows without one last, then the smallest text hash.
 
     Linked are texts of fingerprints within DISTANCE bits, as in near_duplicates,
-    and all texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+    and all texts whose sets of 5-word shingles have a Jaccard similarity of 0.8
+    or more. Texts without words, null ones too, are one group; of repeated rows
+    one stays, and an empty table gives an empty result. Groups are decided on
+    narrow rows; texts move only where more than SENT rows are dropped.
     """
+    if not fixed_places(docs):
+        docs = cut(docs)  # a row must be found at its place again
     prints = cut(_prints_and_sets(docs))
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("place"))
     ids = prints.groupBy("fp").agg(F.min(key).alias("k"))
-    id_, hash_, own = (unused(docs, n) for n in ("__id", "__kept", "__hash"))
-    first = cut(_groups(prints, _similar(docs, prints)).join(ids, "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_)))
-    tagged = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = tagged.join(first, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)), "left_semi")
-    return kept.dropDuplicates(["doc_id", own]).drop(own)
+    first = cut(_groups(prints, _similar(docs, prints)).join(ids, "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.place").alias("kept")))
+    at = unused(docs, "__place")
+    gone = cut(prints.join(first, F.col("place") == F.col("kept"), "left_anti").select(F.col("place").alias(at)))
+    tagged = docs.withColumn(at, F.monotonically_increasing_id())
+    return tagged.join(F.broadcast(gone) if gone.count() <= SENT else gone, at, "left_anti").drop(at)

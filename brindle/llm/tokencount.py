@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import SLICE, cut, ship, texts
+from .common import SLICE, cut, fixed_places, ship, texts
 
 #: The separator: no vocabulary that fits 16 bits here has this id, so no text can hold it. Its low byte ends a line.
 EOD = 0xC10A
@@ -103,21 +103,6 @@ def scan(spark: SparkSession, path: str, eod: int = EOD, block: int = BLOCK) ->
     return placed.select("stream", "docs", F.posexplode(counts)).select("stream", (F.col("docs") + F.col("pos")).alias("ordinal"), "col.n_tokens", "col.terminated")
 
 
-def fixed_places(docs: DataFrame) -> bool:
-    """Whether docs is a scan of files, with projections and filters at most, so that every evaluation puts its rows at the same places."""
-    left = [docs._jdf.queryExecution().optimizedPlan()]
-    while left:
-        node = left.pop()
-        kind = node.getClass().getSimpleName()
-        if kind not in ("Project", "Filter", "LogicalRelation") or not node.deterministic():
-            return False
-        below = node.children()
-        if kind == "LogicalRelation" and node.relation().getClass().getSimpleName() != "HadoopFsRelation":
-            return False
-        left += [below.apply(i) for i in range(below.size())]
-    return True
-
-
 def count_tokens(docs: DataFrame, vocab: str, path: str) -> DataFrame:
     """Write the documents' flat files below path, scan them, and give each document its count: doc_id, n_tokens.
 
