@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import keep_rows, map_arrow, ship, texts
 
@@ -38,8 +39,14 @@ LEAST_WORDS = 8
 NEED_WORDS, NEED_SHARE = 13, 0.7
 #: Diagonals this close belong to one overlap.
 DRIFT = 4
+#: In scripts without spaces every sign is a word, and so many times as many must agree.
+NEED_SIGNS = 3
 CACHE = 200_000
+#: Pairs of a seed's places, and cells of words on diagonals, that are held at once.
+PAIRS, CELLS = 1 << 20, 1 << 21
 _BITS = 22
+#: Signs of Chinese, Japanese, Thai, Lao, Burmese, Khmer and Tibetan, which put no spaces between words.
+_SIGN = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _WORD = re.compile(r"[\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -53,7 +60,9 @@ def _hash(chunk: str) -> int:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words of a text, case and punctuation aside."""
+    """Hashes of the words of a text, case and punctuation aside; in scripts without spaces every sign is a word."""
+    if not text.isascii() and _SIGN.search(text):
+        text = _SIGN.sub(r" \g<0> ", text)
     chunks = text.split()
     got = list(map(_words.get, chunks))
     if None in got:
@@ -86,26 +95,29 @@ def _seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Block:
     """Part of a benchmark: its words by item, and its seeds, sorted by hash for each mask; short items by length, as sorted hashes and ids."""
 
-    ids: list[int | None]
+    ids: list
     starts: np.ndarray
     words: np.ndarray
+    item_of: np.ndarray
+    need: np.ndarray
     seeds: list[tuple[np.ndarray, np.ndarray]]
     present: np.ndarray
-    short: dict[int, tuple[np.ndarray, list[int | None]]]
+    short: dict[int, tuple[np.ndarray, list]]
 
     def item(self, k: int) -> np.ndarray:
         return self.words[self.starts[k] : self.starts[k + 1]]
 
 
-def _block(all_items: list[tuple[int | None, np.ndarray]]) -> Block:
+def _block(all_items: list[tuple[object, np.ndarray, bool]]) -> Block:
     items = [x for x in all_items if len(x[1]) >= LEAST_WORDS]
     short = {}
-    for length in sorted({len(w) for _, w in all_items if len(w) < LEAST_WORDS}):
-        some = [(_seeds(w, tuple(range(length)))[0], i) for i, w in all_items if len(w) == length]
+    for length in sorted({len(w) for _, w, _ in all_items if len(w) < LEAST_WORDS}):
+        some = [(_seeds(w, tuple(range(length)))[0], i) for i, w, _ in all_items if len(w) == length]
         some.sort(key=lambda x: x[0])
         short[length] = np.array([h for h, _ in some], np.uint64), [i for _, i in some]
-    starts = np.cumsum([0, *[len(w) for _, w in items]])
-    words = np.concatenate([np.zeros(0, np.int64), *[w for _, w in items]])
+    starts = np.cumsum([0, *[len(w) for _, w, _ in items]])
+    words = np.concatenate([np.zeros(0, np.int64), *[w for _, w, _ in items]])
+    need = np.array([min(NEED_WORDS * (NEED_SIGNS if signs else 1), int(np.ceil(NEED_SHARE * len(w)))) for _, w, signs in items], np.int64)
     present = np.zeros(1 << _BITS, bool)
     seeds = []
     item_of = np.repeat(np.arange(len(items)), np.diff(starts))
@@ -115,12 +127,12 @@ def _block(all_items: list[tuple[int | None, np.ndarray]]) -> Block:
         at = at[np.argsort(h[at], kind="stable")]
         seeds.append((h[at], at))
         present[(h[at] >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Block([i for i, _ in items], starts, words, seeds, present, short)
+    return Block([i for i, _, _ in items], starts, words, item_of, need, seeds, present, short)
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark's items in blocks, read one after another from the table; those without a word are left out."""
-    held: list[tuple[int | None, np.ndarray]] = []
+    held: list[tuple[object, np.ndarray, bool]] = []
     size = 0
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     for item_id, text in rows.toLocalIterator():
@@ -130,15 +142,19 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Blo
         if held and size + len(w) > block_words:
             yield _block(held)
             held, size = [], 0
-        held.append((item_id, w))
+        held.append((item_id, w, 2 * len(_SIGN.findall(text)) > len(w)))
         size += len(w)
     if held:
         yield _block(held)
 
 
-def _hits(words: np.ndarray, doc_of: np.ndarray, block: Block) -> dict[tuple[int, int], set[int]]:
-    """For each (document, item) with a shared seed, the diagonals of its hits."""
-    found: dict[tuple[int, int], set[int]] = defaultdict(set)
+def _hits(words: np.ndarray, doc_of: np.ndarray, block: Block) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(document, item, sorted diagonals of the hits) for each pair with a shared seed. Places of a seed are spread PAIRS at a time."""
+    found: list[np.ndarray] = []
+    held = 0
+    low = -len(block.words)  # diagonals lie between this and the number of words
+    span, n_items = len(words) - low + 1, len(block.ids)
+
     for mask, (hashes, places) in zip(MASKS, block.seeds, strict=True):
         h = _seeds(words, mask)
         if not len(h) or not len(hashes):
@@ -146,14 +162,32 @@ def _hits(words: np.ndarray, doc_of: np.ndarray, block: Block) -> dict[tuple[int
         at = np.flatnonzero(block.present[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         at = at[doc_of[at] == doc_of[at + mask[-1]]]
         lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-        for k in np.flatnonzero(hi > lo).tolist():
-            for place in places[lo[k] : hi[k]].tolist():
-                item = int(np.searchsorted(block.starts, place, "right")) - 1
-                found[int(doc_of[at[k]]), item].add(int(at[k]) - (place - int(block.starts[item])))
-    return found
-
-
-def _whole(words: np.ndarray, doc_of: np.ndarray, block: Block) -> Iterator[tuple[int, int | None, int, int]]:
+        some = hi > lo
+        at, lo, times = at[some], lo[some], (hi - lo)[some]
+        ends = np.cumsum(times)
+        start = 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+            n = times[start:stop]
+            which = np.repeat(np.arange(start, stop), n)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            place = places[lo[which] + nth]
+            item = block.item_of[place]
+            found.append(np.unique((doc_of[at[which]] * n_items + item) * span + (at[which] - place + block.starts[item] - low)))
+            held += len(found[-1])
+            if held > 4 * PAIRS:
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0])
+            start = stop
+    if found:
+        every = np.unique(np.concatenate(found))
+        pair = every // span
+        for part in np.split(every, np.flatnonzero(np.diff(pair)) + 1):
+            doc, item = divmod(int(part[0]) // span, n_items)
+            yield doc, item, part % span + low
+
+
+def _whole(words: np.ndarray, doc_of: np.ndarray, block: Block) -> Iterator[tuple[int, object, int, int]]:
     """(document, item id, words, first place) of every short item that occurs whole, once for each document."""
     for length, (hashes, ids) in block.short.items():
         h = _seeds(words, tuple(range(length)))
@@ -166,44 +200,54 @@ def _whole(words: np.ndarray, doc_of: np.ndarray, block: Block) -> Iterator[tupl
                 yield int(doc_of[k]), i, length, k
 
 
-def _overlap(words: np.ndarray, item: np.ndarray, diagonals: set[int]) -> tuple[int, int, int] | None:
-    """Words that agree, and where they begin and end in the text, for the best cluster of diagonals; None if too few."""
+def _overlap(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray, need: int) -> tuple[int, int, int] | None:
+    """Words that agree, and where they begin and end in the text, for the best cluster of sorted diagonals; None if too few.
+
+    A cluster is a diagonal and those up to DRIFT behind it; of equal ones the first counts.
+    """
     best = None
-    order = sorted(diagonals)
-    need = min(NEED_WORDS, int(np.ceil(NEED_SHARE * len(item))))
-    k = 0
-    while k < len(order):
-        agree = np.zeros(len(item), bool)
-        first, last, j = len(words), 0, k
-        while j < len(order) and order[j] - order[k] <= DRIFT:
-            d = order[j]
-            lo, hi = max(0, -d), min(len(item), len(words) - d)
-            if hi > lo:
-                same = words[lo + d : hi + d] == item[lo:hi]
-                at = _dense(same)
-                if at:
-                    a, b = at
-                    agree[lo + a : lo + b] |= same[a:b]
-                    first, last = min(first, lo + a + d), max(last, lo + b + d)
-            j += 1
-        n = int(agree.sum())
-        if n >= need and (best is None or n > best[0]):
-            best = n, first, last
-        k += 1
+    step = max(1, CELLS // len(item))
+    for at in range(0, len(diagonals), step):
+        d = diagonals[at : at + step + DRIFT]
+        agree, first, last = _dense(words, item, d)
+        n_heads = min(step, len(diagonals) - at)
+        got, lo, hi = agree[:n_heads].copy(), first[:n_heads].copy(), last[:n_heads].copy()
+        for k in range(1, DRIFT + 1):  # distinct whole numbers: at most DRIFT others are that close
+            m = min(n_heads, len(d) - k)
+            if m > 0:
+                near = d[k : k + m] - d[:m] <= DRIFT
+                got[:m] |= agree[k : k + m] & near[:, None]
+                lo[:m] = np.where(near, np.minimum(lo[:m], first[k : k + m]), lo[:m])
+                hi[:m] = np.where(near, np.maximum(hi[:m], last[k : k + m]), hi[:m])
+        n = got.sum(1)
+        k = int(np.argmax(n))
+        if n[k] >= need and (best is None or n[k] > best[0]):
+            best = int(n[k]), int(lo[k]), int(hi[k])
     return best
 
 
-def _dense(same: np.ndarray) -> tuple[int, int] | None:
-    """The stretch with the largest sum when an agreeing word counts 1 and another one -2."""
-    c = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(c)
-    end = int(np.argmax(c - low))
-    if c[end] - low[end] <= 0:
-        return None
-    return int(np.flatnonzero(c[: end + 1] == low[end])[-1]), end
-
+def _dense(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each diagonal the item's words that agree inside its best stretch, and the stretch's place in the text.
 
-def _search(texts_: list[str], block: Block) -> list[tuple[int, int | None, int, int, int, int]]:
+    In the best stretch an agreeing word counts 1 and any other -2; without an agreeing word it is empty.
+    """
+    at = diagonals[:, None] + np.arange(len(item))
+    same = (at >= 0) & (at < len(words))
+    same &= words[np.clip(at, 0, len(words) - 1)] == item
+    c = np.zeros((len(diagonals), len(item) + 1), np.int64)
+    np.cumsum(np.where(same, 1, -2), axis=1, out=c[:, 1:])
+    gain = c - np.minimum.accumulate(c, 1)
+    row = np.arange(len(diagonals))
+    end = gain.argmax(1)
+    some = gain[row, end] > 0
+    place = np.arange(len(item) + 1)
+    low = c[row, end] - gain[row, end]
+    start = np.where((c == low[:, None]) & (place <= end[:, None]), place, 0).max(1)
+    inside = (place[:-1] >= start[:, None]) & (place[:-1] < end[:, None]) & some[:, None]
+    return same & inside, np.where(some, start + diagonals, len(words)), np.where(some, end + diagonals, 0)
+
+
+def _search(texts_: list[str], block: Block) -> list[tuple]:
     """(row, item, agreeing words, item's words, first word, end) of every overlap in a batch."""
     out = []
     arrays = [word_hashes(t) for t in texts_]
@@ -221,9 +265,8 @@ def _search(texts_: list[str], block: Block) -> list[tuple[int, int | None, int,
         for doc, item_id, n, first in _whole(words, doc_of, block):
             first -= int(starts[doc])
             out.append((at + doc, item_id, n, n, first, first + n))
-        for (doc, item), diagonals in sorted(_hits(words, doc_of, block).items()):
-            base = int(starts[doc])
-            if got := _overlap(group[doc], block.item(item), {d - base for d in diagonals}):
+        for doc, item, diagonals in _hits(words, doc_of, block):
+            if got := _overlap(group[doc], block.item(item), diagonals - starts[doc], int(block.need[item])):
                 out.append((at + doc, block.ids[item], got[0], len(block.item(item)), got[1], got[2]))
         at = stop
     return out
@@ -235,12 +278,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts overlap nothing; repeated documents come back
     repeated, repeated benchmark rows count once, and an item without an id has
     a null item_id; an empty table on either side gives an empty result; other
-    columns are ignored.
+    columns are ignored. Of equally good overlaps the first is reported. Whole
+    texts are compared, and words that repeat without end cost time in proportion
+    to the text times the item, not memory. Ids may be of any type.
     """
     spark = docs.sparkSession
     ship(spark)
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, n_agree int, item_words int, first_word int, end_word int"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for block in blocks(benchmark):
         sent = spark.sparkContext.broadcast(block)  # BLOCK_WORDS words at most
@@ -248,7 +294,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(b: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             rows = _search(texts(b), sent.value)
             ids = b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-            cols = [pa.array([r[k] for r in rows], pa.int64() if k == 1 else pa.int32()) for k in range(1, 6)]
+            cols = [pa.array([r[k] for r in rows], item_type if k == 1 else pa.int32()) for k in range(1, 6)]
             return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "item_id", "n_agree", "item_words", "first_word", "end_word"])
 
         part = map_arrow(docs.select("doc_id", "text"), run, schema)
@@ -257,7 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item, with all their columns."""
+    """The documents that overlap no benchmark item, with all their columns: null and empty texts and repeated rows stay, an empty table stays empty."""
     for block in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_WORDS words at most
 

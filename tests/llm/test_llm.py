@@ -616,6 +616,141 @@ def test_decontamination_blocks_agree(spark, data, docs):
     assert want and want <= got
 
 
+def plain_overlap(words, item, need):
+    """Agreeing words of the best cluster of diagonals with a spaced seed, by plain loops; None if too few."""
+    diagonals = set()
+    for mask in decontam.MASKS:
+        places = {}
+        for j in range(len(item) - mask[-1]):
+            places.setdefault(tuple(item[j + k] for k in mask), []).append(j)
+        for i in range(len(words) - mask[-1]):
+            diagonals |= {i - j for j in places.get(tuple(words[i + k] for k in mask), ())}
+
+    def stretch(d):
+        best, run, start, at = 0, 0, 0, (0, 0)
+        for j, x in enumerate(item):
+            if run <= 0:
+                run, start = 0, j
+            run += 1 if 0 <= d + j < len(words) and words[d + j] == x else -2
+            if run > best:
+                best, at = run, (start, j + 1)
+        return {j for j in range(*at) if 0 <= d + j < len(words) and words[d + j] == item[j]}
+
+    got = {d: stretch(d) for d in diagonals}
+    most = max((len(set().union(*(got[e] for e in diagonals if 0 <= e - d <= decontam.DRIFT))) for d in diagonals), default=0)
+    return most if most and most >= need else None
+
+
+def test_decontamination_by_brute_force():
+    rng = random.Random(12)
+    for case in range(150):
+        vocab = [f"w{i}" for i in range(rng.choice([3, 12, 200]))]
+        items = [[rng.choice(vocab) for _ in range(rng.randint(8, 30))] for _ in range(4)]
+        texts = []
+        for _ in range(5):
+            w = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+            part = [x if rng.random() > 0.1 else "other" for x in rng.choice(items)]
+            at = rng.randint(0, len(w))
+            texts.append(w[:at] + part[: rng.randint(0, len(part))] + w[at:])
+        block = decontam._block([(k, decontam.word_hashes(" ".join(i)), False) for k, i in enumerate(items)])
+        got = {(r, k): n for r, k, n, *_ in decontam._search([" ".join(t) for t in texts], block)}
+        need = [min(decontam.NEED_WORDS, -(-7 * len(i) // 10)) for i in items]
+        want = {(r, k): n for r, t in enumerate(texts) for k, i in enumerate(items) if (n := plain_overlap(t, i, need[k]))}
+        assert got == want, case
+
+
+def test_decontamination_query_by_brute_force(spark, data, docs):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    plain = lambda t: [w for w in (re.sub(r"[\\W_]+", "", x.lower()) for x in t.split()) if w]
+    rows = [(r.doc_id, plain(r.text)) for r in docs.collect()]
+    want = {}
+    for k, text in items.items():
+        item = plain(text)
+        for i, words in rows:
+            if len(set(item) & set(words)) >= 5 and (n := plain_overlap(words, item, min(decontam.NEED_WORDS, -(-7 * len(item) // 10)))):
+                want[i, k] = n
+    assert want == {(r.doc_id, r.item_id): r.n_agree for r in queries.op9_decontamination(spark, data).collect()}
+
+
+def test_decontamination_of_hot_seeds(monkeypatch):
+    block = decontam._block([(1, decontam.word_hashes("spam " * 60), False)])
+    began = time.perf_counter()
+    assert decontam._search(["spam " * 100_000], block) == [(0, 1, 60, 60, 0, 60)] and time.perf_counter() - began < 5
+    monkeypatch.setattr(decontam, "PAIRS", 100)
+    monkeypatch.setattr(decontam, "CELLS", 100)
+    assert decontam._search(["eggs " * 9 + "spam " * 300, "spam"], block) == [(0, 1, 60, 60, 9, 69)]
+
+
+def test_decontamination_without_spaces_and_other_ids(spark):
+    item = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所で"
+    docs = [("a", f"前書き。{item}続きもある。"), ("b", "吾輩は猫である。別の文がここに続いていて、もとの文とは違う。"), ("c", "สวัสดี"), ("d", "no"), (None, item)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    b = spark.createDataFrame([("x", item), ("y", "สวัสดี"), (None, "...")], "item_id string, text string")
+    got = sorted((r.doc_id or "", r.item_id) for r in decontam.contaminated(df, b).collect())
+    assert got == [("", "x"), ("a", "x"), ("c", "y")]
+    assert sorted(r.doc_id for r in decontam.keep_clean(df, b).collect()) == ["b", "d"]
+
+
+def test_ids_of_any_type_and_empty_stages(spark, docs, edge, none, data):
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    labels = spark.read.parquet(f"{data}/labels.parquet").withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    m = langid.train(named)
+    assert langid.predict_languages(named, m).where("lang_pred = 'und'").count() <= docs.where("length(text) < 30").count()
+    assert quality.score_documents(named, quality.train(named, labels)).where("predicted = 1").count() > 0.5 * docs.count()
+    assert langid.keep_identified(none, m).count() == 0 == quality.keep_good(none, quality.train(named, labels)).count()
+    bench = spark.read.parquet(f"{data}/benchmark.parquet")
+    assert decontam.keep_clean(none, bench).count() == 0 and decontam.keep_clean(edge, bench).count() == len(ROWS)
+
+
+def test_repeated_ids_fit_alike(spark, docs, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    a, b = quality.train(twice.repartition(2), labels), quality.train(twice.repartition(7), labels)
+    assert np.array_equal(a.weight, b.weight) and a.cut == b.cut
+    x, y = langid.train(twice.repartition(2)), langid.train(twice.repartition(7))
+    assert np.array_equal(x.weight, y.weight)
+
+
+def test_quality_cut_is_the_quantile():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, quality.WIDTH))
+    y = (x[:, 0] + 0.3 * x[:, 1] + 0.3 * rng.normal(size=400) > -0.8).astype(int)
+    m = quality.fit(x, y)
+    s = np.sort(m.latent(x))
+    bad = int((y == 0).sum())
+    assert s[bad - 2] <= m.cut <= s[bad + 1] and abs((m.score(x) >= quality.CUT).sum() - (y == 1).sum()) <= 1
+    pairs = m.latent(x[y == 1])[:, None] - m.latent(x[y == 0])[None]
+    assert (pairs > 0).mean() > 0.97  # preferences the ranking gets right
+    assert m.weight[0] > 2 * abs(m.weight[2:]).max()
+
+
+def test_language_decoding_by_brute_force(docs):
+    m = langid.train(docs)
+    for r in docs.limit(40).collect():
+        v = langid.ngrams(r.text)
+        if v is None:
+            continue
+        loss = {}
+        for lang, word in zip(m.langs, m.code):
+            loss[lang] = sum(bw * np.log1p(np.exp(-bit * float(np.clip(v @ m.weight[:, j] + m.bias[j], -20, 20)))) for j, (bit, bw) in enumerate(zip(word, m.bit_weight)))
+        (lang,), score, lead = langid._decoded(m, [r.text])
+        best, second = sorted(loss.values())[:2]
+        total = sum(np.exp(best - x) for x in loss.values())
+        assert loss[lang] == pytest.approx(best) and score[0] == pytest.approx(1 / total, abs=1e-4) and lead[0] == pytest.approx((1 - np.exp(best - second)) / total, abs=1e-4)
+
+
+def test_ambiguous_languages(spark):
+    de, fr = "der hund und die katze sind im haus " * 6, "le chien et le chat sont dans la maison " * 6
+    rows = [(i, de if i % 2 else fr, "de" if i % 2 else "fr") for i in range(60)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = spark.createDataFrame([(1, de, None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.ambiguous) for r in langid.predict_languages(odd, m).collect()}
+    assert got == {1: ("de", False), 2: ("und", True), 3: ("und", True)}
+    flat = langid.Decoder(["de", "fr"], m.code, np.zeros_like(m.weight), np.zeros_like(m.bias), m.bit_weight)
+    assert all(r.ambiguous for r in langid.predict_languages(odd, flat).collect())
+    assert [r.doc_id for r in langid.keep_identified(odd, m).collect()] == [1]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><div class="ad">Buy now!</div>
@@ -649,13 +784,15 @@ def test_html_query(spark, data):
 @pytest.mark.parametrize("name,page", [("nested", "<div>x" * 100_000), ("quotes", '<a "' * 250_000), ("quotes, ended", '<a "' * 250_001 + ">"), ("two quotes", "<a '>\"<b \">'" * 80_000), ("inline", "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000), ("unmatched", "<div>" * 100_000 + "</section>" * 100_000), ("lists", "<ul><li>x" * 50_000 + "</foo>" * 50_000)])
 def test_html_is_linear(name, page):
     m = htmlextract.default_model()
-    tracemalloc.start()
     began = time.perf_counter()
     blocks = htmlextract.leaves(page)
     (marks,) = m.label([blocks])
-    assert time.perf_counter() - began < 15 and len(marks) == len(blocks)  # with memory traced; 2 s or less without
-    assert tracemalloc.get_traced_memory()[1] < 500e6
-    tracemalloc.stop()
+    assert time.perf_counter() - began < 5 and len(marks) == len(blocks)
+    if name == "nested":
+        tracemalloc.start()
+        m.label([htmlextract.leaves(page)])
+        assert tracemalloc.get_traced_memory()[1] < 500e6
+        tracemalloc.stop()
 
 
 def plain_path_vector(path):
