@@ -174,7 +174,9 @@ def train(docs: DataFrame) -> Decoder:
     """Fit on at most TRAIN_ROWS documents for each language and ALL_ROWS in all, outside the held-out part.
 
     The languages are all non-null values of lang there; rows are those with
-    the smallest hash of the id. Rows without a letter are left out.
+    the smallest hash of the id, and of repeated ones of a language the one with
+    the least hash of its text. Rows without a letter are left out. Ids may be of
+    any type; an empty table gives a decoder that knows no language.
     """
     part = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in part.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
@@ -188,13 +190,15 @@ def train(docs: DataFrame) -> Decoder:
     share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, (2 * most + 200) / counts[g])))])
     few = part.where(by_hash(F.col("doc_id"), share[F.col("lang")])).select("lang", "doc_id").distinct()
     small = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= most).select(F.col("lang").alias("l"), "doc_id")
-    rows = part.join(F.broadcast(small), ["doc_id"]).where(F.col("lang") == F.col("l")).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text")  # ALL_ROWS ids at most
+    rows = part.join(F.broadcast(small), ["doc_id"]).where(F.col("lang") == F.col("l"))  # ALL_ROWS ids at most
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "lang", "t.text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [ngrams(t) for t in texts(b)]
-        return pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("lang"), pa.array([None if v is None else v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "x"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([None if v is None else v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "x"])
 
-    got = map_arrow(rows, run, "doc_id long, lang string, x binary").where(F.col("x").isNotNull()).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = map_arrow(rows, run, f"doc_id {kind}, lang string, x binary").where(F.col("x").isNotNull()).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     at = {s: k for k, s in enumerate(langs)}
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     return fit(x, np.array([at[s] for s in got["lang"].to_pylist()], np.int64), langs)
@@ -232,7 +236,7 @@ def predict_languages(docs: DataFrame, model: Decoder) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Decoder) -> DataFrame:
-    """The documents whose language is known and not ambiguous, with all their columns."""
+    """The documents whose language is known and not ambiguous, with all their columns: null texts and those without a letter go, repeated rows alike, an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def mask(b: pa.RecordBatch) -> pa.Array:
