@@ -224,7 +224,8 @@ def encode_documents(docs: DataFrame, vocab: str, ids: bool = False) -> DataFram
 
     docs needs doc_id and text; other columns are ignored, so their names may
     clash with the result's. A null text counts as empty: no tokens, digests of
-    the empty string. Repeated rows give repeated results, a null doc_id stays
+    the empty string. A text of any length is encoded whole, in time linear in
+    it. Repeated rows give repeated results, a null doc_id stays
     null, an empty table gives an empty result. With ids=True the token ids and
     the decoded text come along.
     """

@@ -81,7 +81,8 @@ def _repeated(words: list[bytes]) -> int:
 def ledger(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the measurements, and `failures`, the bits of all failed rules.
 
-    A null text counts as empty and has no words. Repeated rows give repeated
+    A null text counts as empty and has no words; a very long one is measured
+    whole, in one task's memory. Repeated rows give repeated
     results, other columns are ignored, an empty table gives an empty ledger.
     """
 

@@ -49,8 +49,8 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     as a 0/1 string. Every shard's bytes are at most `limit`, save that a single
     row larger than that is a shard of its own, with fits false. A null text has
     0 bytes, a null doc_id hashes as the empty string, repeated rows are kept
-    and split apart by place, an empty table gives an empty result, and other
-    columns are ignored.
+    and split apart by place, a very long text counts with all its bytes, an
+    empty table gives an empty result, and other columns are ignored.
     """
     rows = sized(docs)
     left, done = rows.withColumn("path", F.lit("")), None

@@ -168,8 +168,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal fingerprints, and those within DISTANCE bits, are linked; component_id
     is the smallest doc_id reachable. Empty and null texts have fingerprint zero
     and are linked like any other. A null doc_id never becomes a component_id;
-    a component of such rows alone has a null one. Repeated rows come back
-    repeated, other columns of docs are ignored, and an empty table gives an
+    a component of such rows alone has a null one. Very long texts are read
+    whole, in blocks. Repeated rows come back repeated, other columns of docs are ignored, and an empty table gives an
     empty result.
     """
     prints = cut(fingerprints(docs))
