@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\s*(?:(0[xX][0-9a-fA-F]+|\d+\.\d*|\d+)|([A-Za-z_]\w*)|(<=>|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^~!<>?:()]))")
+_TOKEN = re.compile(r"\s*(?:(0[xX][0-9a-fA-F]+|\d+\.\d*|\d+)|([A-Za-z_]\w*)|(<=>|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^~!<>?:(),.\[\]]))")
 #: Binary operators from the weakest to the strongest, as in C.
 _LEVELS = (("||",), ("&&",), ("|",), ("^",), ("&",), ("==", "!=", "<=>"), ("<", "<=", ">", ">="), ("<<", ">>"), ("+", "-"), ("*", "/", "%"))
 
@@ -23,7 +23,7 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """The tree of a C-like expression of numbers, names and + - ~ ! * / % << >> < <= > >= == != <=> & ^ | && || ?: ()."""
+    """The tree of a C-like expression of numbers, names and + - ~ ! * / % << >> < <= > >= == != <=> & ^ | && || ?: (), fields a.b, indexes a[i] from 0 and calls f(a, b)."""
     tokens, at = [], 0
     text = text.strip()
     while at < len(text):
@@ -51,16 +51,45 @@ def parse(text: str) -> Node:
         place += 1
         if number:
             return Node("number", value=float(number) if "." in number else int(number, 0) if number[:2].lower() == "0x" else int(number))
+        if name and peek() == "(":
+            return after(Node("call", tuple(listed(")")), name))
         if name:
-            return Node("name", value=name)
+            return after(Node("name", value=name))
         if op == "(":
             inner = choice()
             take(")")
-            return inner
+            return after(inner)
         if op in ("+", "-", "~", "!"):
             return Node("u" + op, (unary(),))
         raise ValueError(f"{op} where an operand should be")
 
+    def listed(close: str) -> list[Node]:
+        """Arguments up to a closing bracket."""
+        nonlocal place
+        place += 1
+        out = []
+        while peek() != close:
+            out.append(choice())
+            if peek() != close:
+                take(",")
+        take(close)
+        return out
+
+    def after(n: Node) -> Node:
+        """Fields and indexes that follow."""
+        nonlocal place
+        while peek() in (".", "["):
+            if peek() == ".":
+                place += 1
+                if place >= len(tokens) or not tokens[place][1]:
+                    raise ValueError("a field's name is missing")
+                n = Node("field", (n,), tokens[place][1])
+                place += 1
+            else:
+                (at,) = listed("]")
+                n = Node("index", (n, at))
+        return n
+
     def binary(level: int) -> Node:
         nonlocal place
         if level == len(_LEVELS):
@@ -88,6 +117,13 @@ def parse(text: str) -> Node:
     return out
 
 
+#: Functions that an expression may call.
+CALLS = {
+    "abs": F.abs, "min": F.least, "max": F.greatest, "sqrt": F.sqrt, "exp": F.exp, "log": F.log, "sin": F.sin, "cos": F.cos, "tan": F.tan, "floor": F.floor, "ceil": F.ceil,
+    "pow": F.pow, "length": F.length, "size": F.size, "select": lambda test, yes, no: F.when(_truth(test), yes).otherwise(no),
+}
+
+
 def _truth(c: Column) -> Column:
     return F.coalesce(c != 0, F.lit(False))
 
@@ -103,7 +139,13 @@ def to_column(n: Node, names: dict[str, Column] | None = None) -> Column:
         return F.lit(n.value).cast("double" if isinstance(n.value, float) else "long")
     if n.op == "name":
         return (names or {}).get(n.value, F.col(n.value))
+    if n.op == "field":
+        return go(n.args[0]).getField(n.value)
     a = [go(x) for x in n.args]
+    if n.op == "index":
+        return F.get(a[0], a[1].cast("int"))
+    if n.op == "call":
+        return CALLS[n.value](*a)
     if n.op == "?:":
         return F.when(_truth(a[0]), a[1]).otherwise(a[2])
     if n.op == "&&":

@@ -220,7 +220,7 @@ _WALK = T.StructType([*[T.StructField(n, T.StringType()) for n in ("path", "name
 class ExplodePaths:
     """Every value inside a JSON text, depth first: its path, name, type, scalar value and depth."""
 
-    def eval(self, text: str, limit: int):
+    def eval(self, text: str, limit: int | None):
         import json as j
 
         if text is None:
@@ -234,29 +234,29 @@ class ExplodePaths:
             path, name, x, depth = stack.pop()
             kind = "object" if isinstance(x, dict) else "array" if isinstance(x, list) else "boolean" if isinstance(x, bool) else "null" if x is None else "string" if isinstance(x, str) else "number"
             yield path, name, kind, None if kind in ("object", "array", "null") else x if kind == "string" else j.dumps(x), depth
-            if depth < limit:
+            if limit is None or depth < limit:
                 kids = [(f"{path}['{k}']", k, v, depth + 1) for k, v in x.items()] if kind == "object" else [(f"{path}[{i}]", str(i), v, depth + 1) for i, v in enumerate(x)] if kind == "array" else []
                 stack += reversed(kids)
 
 
-def explode_paths(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
-    """df with a row for each value inside the JSON of a column, up to a depth."""
-    return df.lateralJoin(ExplodePaths(F.col(column).outer(), F.lit(limit)))
+def explode_paths(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """df with a row for each value inside the JSON of a column, up to a depth if one is given."""
+    return df.lateralJoin(ExplodePaths(F.col(column).outer(), F.lit(limit).cast("int")))
 
 
-def find_by_name(df: DataFrame, column: str, glob: str, limit: int = 20) -> DataFrame:
+def find_by_name(df: DataFrame, column: str, glob: str, limit: int | None = None) -> DataFrame:
     from .strings import glob_match
 
     return explode_paths(df, column, limit).where(glob_match(F.col("name"), glob))
 
 
-def find_by_value(df: DataFrame, column: str, glob: str, limit: int = 20) -> DataFrame:
+def find_by_value(df: DataFrame, column: str, glob: str, limit: int | None = None) -> DataFrame:
     from .strings import glob_match
 
     return explode_paths(df, column, limit).where(F.coalesce(glob_match(F.col("value"), glob), F.lit(False)))
 
 
-def find_by_type(df: DataFrame, column: str, type_name: str, limit: int = 20) -> DataFrame:
+def find_by_type(df: DataFrame, column: str, type_name: str, limit: int | None = None) -> DataFrame:
     return explode_paths(df, column, limit).where(F.col("type") == type_name)
 
 

@@ -229,22 +229,43 @@ def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     """Degrees and metres of earth-centred coordinates, by a closed first guess and two refinements."""
     b = _A * (1 - _FLAT)
     p = F.sqrt(x * x + y * y)
-    t = F.atan2(z * F.lit(_A), p * F.lit(b))
     ep2 = _E2 / (1 - _E2)
-    for _ in range(3):
-        s, c = F.sin(t), F.cos(t)
-        lat = F.atan2(z + F.lit(ep2 * b) * s * s * s, p - F.lit(_E2 * _A) * c * c * c)
-        t = F.atan2(F.lit(b / _A) * F.sin(lat), F.cos(lat))
+
+    def step(lat: Column, _: Column) -> Column:
+        t = F.atan(F.lit(b / _A) * F.tan(lat))
+        return F.atan2(z + F.lit(ep2 * b) * F.pow(F.sin(t), 3), p - F.lit(_E2 * _A) * F.pow(F.cos(t), 3))
+
+    # as a fold, since each step uses the last value several times
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.atan2(z * F.lit(_A * _A), p * F.lit(b * b)), step)
     n = F.lit(_A) / F.sqrt(1 - F.lit(_E2) * F.sin(lat) * F.sin(lat))
     height = F.when(F.abs(F.cos(lat)) > 1e-6, p / F.cos(lat) - n).otherwise(F.abs(z) - F.lit(b))
     return F.degrees(lat), F.degrees(F.atan2(y, x)), height
 
 
+def from_utm(zone: Column, east: Column, north: Column, south: Column) -> tuple[Column, Column]:
+    """Degrees of a UTM place, on the southern half of the earth if south holds: Krueger's series to the fourth order, read backwards."""
+    n = _FLAT / (2 - _FLAT)
+    a = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    xi = (north - F.when(south, F.lit(1e7)).otherwise(F.lit(0.0))) / F.lit(0.9996 * a)
+    eta = (east - F.lit(500000.0)) / F.lit(0.9996 * a)
+    x, y = xi, eta
+    for k, c in enumerate(beta, 1):
+        x = x - F.lit(c) * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        y = y - F.lit(c) * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi
+    for k, c in enumerate(delta, 1):
+        lat = lat + F.lit(c) * F.sin(2 * k * chi)
+    return F.degrees(lat), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183)
+
+
 def to_utm(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
-    """Zone, easting and northing of degrees, by Krueger's series to the third order."""
+    """Zone, easting and northing of degrees, by Krueger's series to the fourth order."""
     n = _FLAT / (2 - _FLAT)
     a = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
     zone = (F.floor((lon + 180) / 6) % 60 + 1).cast("int")
     f, g = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     e = math.sqrt(_E2)

@@ -30,8 +30,8 @@ def average(c: Column, truncate: bool = False) -> Column:
     """Mean; with truncate, whole sum divided by count towards zero."""
     if not truncate:
         return F.avg(c)
-    q = F.sum(c) / F.count(c)
-    return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast("long")
+    whole = F.sum(c.cast("decimal(38,0)"))  # exact beyond 2^53
+    return F.call_function("div", whole, F.nullif(F.count(c), F.lit(0)).cast("decimal(20,0)")).cast("long")
 
 
 def contains(c: Column, value) -> Column:
@@ -50,6 +50,31 @@ def none_of(p: Column) -> Column:
     return ~any_of(p)
 
 
+def approx_distinct(c: Column, error: float = 0.05) -> Column:
+    """Distinct values within a relative standard error, by a mergeable sketch of fixed size."""
+    return F.approx_count_distinct(c, error)
+
+
+def approx_quantiles(c: Column, shares: list[float], accuracy: int = 10_000) -> Column:
+    """An array of quantiles whose ranks are off by at most 1 / accuracy of all values."""
+    return F.percentile_approx(c, F.array(*[F.lit(float(s)) for s in shares]), F.lit(accuracy))
+
+
+def cube(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
+    """Aggregates by every subset of the keys; keys left out are null."""
+    return df.cube(*by).agg(*[a.alias(n) for n, a in aggs.items()])
+
+
+def rollup(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
+    """Aggregates by every leading part of the keys; keys left out are null."""
+    return df.rollup(*by).agg(*[a.alias(n) for n, a in aggs.items()])
+
+
+def pivot(df: DataFrame, by: list[str], column: str, values: list, agg: Column) -> DataFrame:
+    """One row for each key and one column for each of the stated values of another column."""
+    return df.groupBy(*by).pivot(column, values).agg(agg)
+
+
 def argmax(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """The row of the largest value, the first of equal ones."""
     return df.where(F.col(value).isNotNull()).orderBy(F.col(value).desc(), *order).limit(1)

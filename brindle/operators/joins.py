@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import with_ordinal
+from .rows import holds
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], right_order: list[str]) -> DataFrame:
@@ -43,6 +44,32 @@ def zip_rows(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys
     return a.join(b, F.col("__i") == F.col("__j"), how).drop("__i", "__j")
 
 
+def _pairs(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> DataFrame:
+    """The i-th rows of both, with i as `ord`, as far as the shorter one goes."""
+    return with_ordinal(left, left_keys, "ord").join(with_ordinal(right, right_keys, "__j"), F.col("ord") == F.col("__j")).drop("__j")
+
+
+def find_if2(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], p: Column) -> DataFrame:
+    """The first pair of i-th rows for which p holds, with its place as `ord`."""
+    got = _pairs(left, right, left_keys, right_keys)
+    return got.where(holds(p)).orderBy("ord").limit(1)
+
+
+def all_of2(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], p: Column) -> DataFrame:
+    """One row, `all`: whether p holds for every pair of i-th rows; true without one."""
+    return _pairs(left, right, left_keys, right_keys).agg(F.coalesce(F.bool_and(holds(p)), F.lit(True)).alias("all"))
+
+
+def any_of2(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], p: Column) -> DataFrame:
+    """One row, `any`: whether p holds for some pair of i-th rows."""
+    return _pairs(left, right, left_keys, right_keys).agg(F.coalesce(F.bool_or(holds(p)), F.lit(False)).alias("any"))
+
+
+def none_of2(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], p: Column) -> DataFrame:
+    """One row, `none`: whether p holds for no pair of i-th rows."""
+    return any_of2(left, right, left_keys, right_keys, p).select((~F.col("any")).alias("none"))
+
+
 def lower_bound(probe: DataFrame, keys: DataFrame, at: str, key: str, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """For each probe row, the smallest key >= (or, if strict, >) its value, as column `bound`; null without one.
 

@@ -68,6 +68,25 @@ def resample(df: DataFrame, position: str, value: str, ratio: float, by: list[st
     return df.groupBy(*by, F.floor(F.col(position) * F.lit(float(ratio))).cast("long").alias("bin")).agg(F.avg(value).alias(value))
 
 
+def resample_kernel(df: DataFrame, position: str, value: str, ratio: float, reach: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """Weighted mean of the values around the middle of each bin of width 1/ratio: bin, value.
+
+    The weight falls evenly from 1 in the middle to 0 at `reach` bin widths; a
+    value is sent to the bins that it reaches, and bins that none reaches are absent.
+    """
+    by = by or []
+    x = F.col(position) * F.lit(float(ratio))
+    lo, hi = F.floor(x - F.lit(reach + 0.5)).cast("long"), F.ceil(x + F.lit(reach - 0.5)).cast("long")
+    sent = df.select(*by, x.alias("__x"), F.col(value).alias("__v"), F.explode(F.sequence(lo, hi)).alias("bin"))
+    w = F.lit(1.0) - F.abs(F.col("__x") - F.col("bin") - 0.5) / F.lit(float(reach))
+    return sent.withColumn("__w", w).where("__w > 0").groupBy(*by, "bin").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias(value))
+
+
+def halve(cells: DataFrame, i: str = "i", j: str = "j", v: str = "v") -> DataFrame:
+    """A grid at half its size: the mean over the cells of each block of two by two that exist."""
+    return cells.groupBy(F.floor(F.col(i) / 2).cast("long").alias(i), F.floor(F.col(j) / 2).cast("long").alias(j)).agg(F.avg(v).alias(v))
+
+
 def point_sample(df: DataFrame, step: int, order: list[str]) -> DataFrame:
     """Every step-th row, from the first."""
     return with_ordinal(df, order, "__i").where(F.pmod("__i", F.lit(step)) == 0).drop("__i")
@@ -87,6 +106,11 @@ def zscore(df: DataFrame, value: str, by: list[str], name: str = "z") -> DataFra
     return _stats(df, by, __m=F.avg(value), __s=F.stddev_samp(value)).withColumn(name, F.try_divide(F.col(value) - F.col("__m"), F.col("__s"))).drop("__m", "__s")
 
 
+def rms_scale(df: DataFrame, value: str, by: list[str], name: str = "scaled") -> DataFrame:
+    """x over the root of the group's mean square; null where that is 0 or unknown."""
+    return _stats(df, by, __r=F.sqrt(F.avg(F.col(value) * F.col(value)))).withColumn(name, F.try_divide(F.col(value), F.col("__r"))).drop("__r")
+
+
 def minmax_scale(df: DataFrame, value: str, by: list[str], name: str = "scaled") -> DataFrame:
     """(x - lo) / (hi - lo) within the group; an extent of 0 divides by 1."""
     got = _stats(df, by, __lo=F.min(value), __hi=F.max(value))
@@ -116,6 +140,44 @@ def fft(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame
     return df.groupBy(*by).applyInPandas(run, ", ".join([f"{b} {types[b]}" for b in by]) + ", k long, re double, im double")
 
 
+def extended_kalman(df: DataFrame, values: list[str], by: list[str], order: list[str], move, move_slope, see, see_slope, process, noise, start, spread) -> DataFrame:
+    """Extended Kalman filter along each group: df's keys, order and values with the state and its variances after each row.
+
+    move(x) is the next state and see(x) the measurement that a state should
+    give; move_slope and see_slope are their Jacobians; process and noise are the
+    covariances, start and spread the first state and its covariance. The values
+    of a row are one measurement; a row with a null in them only moves the state.
+    One pass in order; the state of one group is held at a time.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cols = [*dict.fromkeys([*by, *order, *values])]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    parts = df.select(*cols).repartition(*by).sortWithinPartitions(*by, *order)
+    q, r, x0, p0 = (np.atleast_2d(np.asarray(m, float)) for m in (process, noise, np.asarray(start, float).reshape(-1, 1), spread))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, x, p = None, x0, p0
+        for b in batches:
+            states, variances = [], []
+            for k, z in zip(b[by].itertuples(index=False, name=None), b[values].to_numpy(float), strict=True):
+                if k != key:
+                    key, x, p = k, x0, p0
+                f = np.atleast_2d(move_slope(x))
+                x, p = np.asarray(move(x), float).reshape(-1, 1), f @ p @ f.T + q
+                if not np.isnan(z).any():
+                    h = np.atleast_2d(see_slope(x))
+                    gain = np.linalg.solve((h @ p @ h.T + r).T, (p @ h.T).T).T
+                    x = x + gain @ (z.reshape(-1, 1) - np.asarray(see(x), float).reshape(-1, 1))
+                    p = (np.eye(len(x)) - gain @ h) @ p
+                states.append(x.ravel().tolist())
+                variances.append(np.diag(p).tolist())
+            yield b.assign(state=states, variance=variances)
+
+    return parts.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in cols) + ", state array<double>, variance array<double>")
+
+
 def kalman(df: DataFrame, value: str, by: list[str], order: list[str], process: float, noise: float) -> DataFrame:
     """Constant-level Kalman filter along each group: df's rows with estimate and variance, one pass in order with bounded state."""
     import pandas as pd

@@ -723,3 +723,6 @@ def postorder_positions(spark, d):
     n = table(spark, d, "nation").select((C("n_regionkey") + 1).cast("long"), (C("n_nationkey") + 100).cast("long"))
     s = table(spark, d, "supplier").select((C("s_nationkey") + 100).cast("long"), (C("s_suppkey") + 1000).cast("long"))
     return graph.postorder(r.union(n).union(s), 0)
+
+
+from . import queries_scalar  # noqa: E402, F401  (registers its queries here)

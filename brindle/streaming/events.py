@@ -37,7 +37,9 @@ def sessions(df: DataFrame, ts: str, gap: str, by: list[str], late: str | None =
 
 
 def first_seen(df: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
-    """One row of each key within the watermark's span."""
+    """One row of each key within the watermark's span; in a table, one of each key."""
+    if not df.isStreaming:
+        return df.dropDuplicates(keys)
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
