@@ -725,4 +725,4 @@ def postorder_positions(spark, d):
     return graph.postorder(r.union(n).union(s), 0)
 
 
-from . import queries_scalar  # noqa: E402, F401  (registers its queries here)
+from . import queries_scalar, queries_sources  # noqa: E402, F401  (they register their queries here)

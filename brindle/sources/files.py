@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Parser = Callable[[bytes], Iterator[tuple]]
@@ -54,12 +54,16 @@ def identify(head: bytes) -> Handler | None:
 
 
 def read(spark: SparkSession, path: str, handler: Handler | str, glob: str | None = None, recursive: bool = False, with_path: bool = False) -> DataFrame:
-    """Rows of all files at a path, with an ordinal `ord` within each file; files that cannot be parsed raise."""
-    h = HANDLERS[handler] if isinstance(handler, str) else handler
+    """Rows of all files at a path, with an ordinal `ord` within each file, and its path as `file` on demand; files that cannot be parsed raise."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)
-    files = r.load(path).select("path", "content")
+    return parse_files(r.load(path).select("path", "content"), handler, with_path)
+
+
+def parse_files(files: DataFrame, handler: Handler | str, with_path: bool = False) -> DataFrame:
+    """Rows of files that a table holds as path and content, as read gives them."""
+    h = HANDLERS[handler] if isinstance(handler, str) else handler
     names = [c.strip().split(" ")[0] for c in _fields(h.schema)]
     parse = h.parse
 
@@ -76,14 +80,53 @@ def read(spark: SparkSession, path: str, handler: Handler | str, glob: str | Non
                 if held:
                     yield _frame(p, at, held, names)
 
-    out = files.mapInPandas(run, f"path string, ord long, {h.schema}")
-    return out if with_path else out.drop("path")
+    out = files.mapInPandas(run, f"file string, ord long, {h.schema}")
+    return out if with_path else out.drop("file")
+
+
+def write(df: DataFrame, path: str, handler: str, rows: int = 100_000) -> None:
+    """Write df as files of a format, each of at most so many rows of one partition, on any file system that Spark writes.
+
+    Spark's text sink puts the bytes there: each file is one line, and the line
+    separator is the byte that all files of the format end with.
+    """
+    from .writers import ENCODERS
+
+    encode, end = ENCODERS[handler]
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def closed(held: list[dict]) -> pd.DataFrame:
+            made = encode(held)
+            if made[-1:] != end.encode():
+                raise ValueError(f"a {handler} file ends with another byte")
+            return pd.DataFrame({"value": [made[:-1]]})
+
+        held: list[dict] = []
+        for b in batches:
+            for r in b.itertuples(index=False, name=None):
+                held.append({n: _value(v) for n, v in zip(names, r, strict=True)})
+                if len(held) == rows:
+                    yield closed(held)
+                    held = []
+        if held:
+            yield closed(held)
+
+    files = df.mapInPandas(run, "value binary").select(F.col("value").cast("string"))
+    files.write.option("lineSep", end).option("maxRecordsPerFile", 1).text(path)
+
+
+def _value(v):
+    """A plain Python value of a pandas one; NaN and the like are null."""
+    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        return None
+    return v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") and getattr(v, "shape", None) == () else v.tolist() if hasattr(v, "tolist") else v
 
 
 def _frame(path: str, at: int, rows: list[tuple], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names, dtype="object")
     out.insert(0, "ord", range(at, at + len(rows)))
-    out.insert(0, "path", path)
+    out.insert(0, "file", path)
     return out
 
 
@@ -108,13 +151,16 @@ def write_listing(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def text_of(content: Column) -> Column:
+    """Bytes as text, by their byte-order mark, UTF-8 without one."""
+    head = lambda n: F.lower(F.hex(F.substring(content, 1, n)))
+    rest = lambda n: F.substring(content, n + 1, 1 << 30)
+    return F.when(head(3) == "efbbbf", F.decode(rest(3), "UTF-8")).when(head(2) == "fffe", F.decode(rest(2), "UTF-16LE")).when(head(2) == "feff", F.decode(rest(2), "UTF-16BE")).otherwise(F.decode(content, "UTF-8"))
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: its text, by its byte-order mark, UTF-8 without one."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    head = lambda n: F.lower(F.hex(F.substring("content", 1, n)))
-    rest = lambda n: F.substring("content", n + 1, 1 << 30)
-    text = F.when(head(3) == "efbbbf", F.decode(rest(3), "UTF-8")).when(head(2) == "fffe", F.decode(rest(2), "UTF-16LE")).when(head(2) == "feff", F.decode(rest(2), "UTF-16BE")).otherwise(F.decode("content", "UTF-8"))
-    return raw.select("path", text.alias("text"))
+    return spark.read.format("binaryFile").load(path).select("path", text_of(F.col("content")).alias("text"))
 
 
 def convert_newlines(c, to: str = "\n"):

@@ -393,7 +393,7 @@ class _Yaml:
 
 
 def yaml_rows(b: bytes) -> Iterator[tuple]:
-    for part in re.split(r"(?m)^---(?:\s.*)?$", b.decode("utf-8-sig")):
+    for part in re.split(r"(?m)^---(?:[ \t].*)?$", b.decode("utf-8-sig")):
         if part.strip():
             yield (_json(yaml_value(part)),)
 
@@ -730,7 +730,7 @@ def shapes_with_attributes(spark, path: str):
 
     from .files import read
 
-    stem = F.regexp_replace("path", r"\.[^.]*$", "")
-    s = read(spark, path, "shapefile", glob="*.shp", with_path=True).withColumn("file", stem).drop("path")
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    s = read(spark, path, "shapefile", glob="*.shp", with_path=True).withColumn("file", stem)
     d = read(spark, path, "dbf", glob="*.dbf", with_path=True).select(stem.alias("__f"), F.col("ord").alias("__o"), "row")
     return s.join(d, (F.col("file") == F.col("__f")) & (F.col("ord") == F.col("__o")), "left").drop("__f", "__o")
