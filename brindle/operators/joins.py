@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import with_ordinal
+from .ordered import ranged, with_ordinal
 from .rows import holds
 
 
@@ -73,9 +73,9 @@ def none_of2(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys
 def lower_bound(probe: DataFrame, keys: DataFrame, at: str, key: str, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """For each probe row, the smallest key >= (or, if strict, >) its value, as column `bound`; null without one.
 
-    `by` are columns of both sides that must be equal. The inputs are merged and
-    read once in order within a group of `by`; without it the order is cut into
-    ranges and what lies beyond a range comes from the ranges after it.
+    `by` are columns of both sides that must be equal. The inputs are merged, the
+    order is cut into ranges, each is read once in order within a group of `by`,
+    and what lies beyond a range comes from the ranges after it.
     """
     return _as_of(probe, keys, at, key, by or [], strict, forward=True)
 
@@ -92,33 +92,25 @@ def _as_of(probe: DataFrame, keys: DataFrame, at: str, key: str, by: list[str],
     k = keys.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col(key).alias("__t")).where(F.col("__t").isNotNull()).distinct()
     k = k.withColumn("__tie", F.lit(after)).withColumn("__row", F.lit(None).cast(p.schema["__row"].dataType)).withColumn("__key", F.col("__t"))
     both = p.withColumn("__key", F.lit(None).cast(kind)).unionByName(k)
-    groups = [f"__by{i}" for i in range(len(by))]
-    if groups:
-        w = Window.partitionBy(*groups).orderBy("__t", "__tie")
-        frame = w.rowsBetween(1, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, -1)
-        pick = F.first("__key", ignorenulls=True) if forward else F.last("__key", ignorenulls=True)
-        done = both.withColumn("__b", pick.over(frame))
-    else:
-        done = _as_of_ranges(both, forward)
+    done = _as_of_ranges(both, [f"__by{i}" for i in range(len(by))], forward)
     out = done.where(F.col("__row").isNotNull())
     # a null probe value has no bound
     return out.select("__row.*", F.when(F.col("__t").isNotNull(), F.col("__b")).alias("bound"))
 
 
-def _as_of_ranges(both: DataFrame, forward: bool) -> DataFrame:
-    from .ordered import MAX_RANGES, RANGE_ROWS, _bounds
-
-    n = min(MAX_RANGES, both.count() // RANGE_ROWS + 1)
-    bounds = _bounds(both.select("__t"), ["__t"], n)
-    r = F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda b: b <= F.struct("__t")))
-    ranged = both.withColumn("__r", r)
-    w = Window.partitionBy("__r").orderBy("__t", "__tie")
+def _as_of_ranges(both: DataFrame, groups: list[str], forward: bool) -> DataFrame:
+    """The nearest key within a range of the order, or else the edge of the nearest range with one; a large group is the work of many tasks."""
+    rows = ranged(both, ["__t"], "__r")
+    w = Window.partitionBy(*groups, "__r").orderBy("__t", "__tie")
     near = F.first("__key", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("__key", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    edge = ranged.groupBy("__r").agg((F.min("__key") if forward else F.max("__key")).alias("__e"))  # MAX_RANGES rows
-    o = Window.orderBy("__r")
+    edge = rows.groupBy(*groups, "__r").agg((F.min("__key") if forward else F.max("__key")).alias("__e"))  # a row for each range, in each group
+    o = Window.partitionBy(*groups).orderBy("__r") if groups else Window.orderBy("__r")
     beyond = F.min("__e").over(o.rowsBetween(1, Window.unboundedFollowing)) if forward else F.max("__e").over(o.rowsBetween(Window.unboundedPreceding, -1))
-    far = edge.select(F.col("__r").alias("__q"), beyond.alias("__far"))
-    return ranged.withColumn("__n", near).join(F.broadcast(far), F.col("__r") == F.col("__q")).withColumn("__b", F.coalesce("__n", "__far"))
+    far = edge.select(*[F.col(g).alias(f"{g}q") for g in groups], F.col("__r").alias("__q"), beyond.alias("__far"))
+    same = F.col("__r") == F.col("__q")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}q"))
+    return rows.withColumn("__n", near).join(far if groups else F.broadcast(far), same).withColumn("__b", F.coalesce("__n", "__far"))
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str, r_lo: str, r_hi: str, width: float, strict: bool = False) -> DataFrame:

@@ -3,7 +3,7 @@
 All take the columns of the order explicitly; these should identify a row. None
 of them moves a whole table into one partition: limits use Spark's bounded
 top-n, leading runs compare with one boundary, and ordinals are counted by
-ranges of the order.
+ranges of the order, whose number grows with the table.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rows import holds
+from .work import cut
 
 #: Rows of one range when ordinals are counted.
 RANGE_ROWS = 200_000
+#: Up to so many ranges are literals of the plan; more come from Spark's range partitioning, up to MOST_RANGES.
 MAX_RANGES = 400
+MOST_RANGES = 100_000
 _SAMPLE = 50
 
 
@@ -38,22 +41,47 @@ def _bounds(df: DataFrame, keys: list[str], n: int) -> Column | None:
     return F.array(*[F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, r, strict=True)]) for r in chosen]) if chosen else None
 
 
-def with_ordinal(df: DataFrame, keys: list[str], name: str = "ord") -> DataFrame:
-    """Number the rows from 0 in the order of keys.
+def ranged(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with the number of the range of the order that a row is in; rows of equal keys are in one.
 
-    Rows are dealt into ranges of the order by boundaries that are literals of
-    the plan, numbered within their range, and shifted by the rows of the ranges
-    before, of which there are at most MAX_RANGES.
+    Ranges hold about RANGE_ROWS rows. A few are cut by boundaries that are
+    literals of the plan. Many come from range partitioning, whose sample differs
+    from run to run, so the rows are written to a work table with their range.
     """
-    n = min(MAX_RANGES, df.count() // RANGE_ROWS + 1)
+    n = min(MOST_RANGES, df.count() // RANGE_ROWS + 1)
+    if n > MAX_RANGES:
+        return cut(df.repartitionByRange(n, *keys).withColumn(name, F.spark_partition_id()))
     bounds = _bounds(df, keys, n)
-    if bounds is None:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*_sort(keys))) - 1).cast("long"))  # RANGE_ROWS rows at most
-    ranged = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= _struct(keys))))
-    counts = ranged.groupBy("__range").count()
-    shift = counts.select(F.col("__range").alias("__r"), F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
-    local = F.row_number().over(Window.partitionBy("__range").orderBy(*_sort(keys))) - 1
-    return ranged.withColumn("__local", local).join(F.broadcast(shift), F.col("__range") == F.col("__r")).withColumn(name, F.col("__shift") + F.col("__local")).drop("__range", "__r", "__shift", "__local")
+    return df.withColumn(name, F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda b: b <= _struct(keys))))
+
+
+def with_ordinal(df: DataFrame, keys: list[str], name: str = "ord", by: list[str] | None = None) -> DataFrame:
+    """Number the rows from 0 in the order of keys, over the whole table or within each group of `by`.
+
+    Rows are numbered within their range of the order, and shifted by the rows of
+    the ranges before; a group is cut by the same ranges, so that a large one is
+    the work of many tasks.
+    """
+    by = by or []
+    r, local, shift, n = (_unused(df, x) for x in ("__range", "__local", "__shift", "__n"))
+    sides = {c: _unused(df, f"__by{i}") for i, c in enumerate(by)}
+    rows = ranged(df, keys, r).withColumn(local, F.row_number().over(Window.partitionBy(*by, r).orderBy(*_sort(keys))) - 1)
+    counts = rows.groupBy(*by, r).agg(F.count("*").alias(n))
+    before = Window.partitionBy(*by).orderBy(r) if by else Window.orderBy(r)  # as many rows as ranges, for each group
+    counts = counts.select(*[F.col(c).alias(s) for c, s in sides.items()], F.col(r).alias(r + "r"), F.coalesce(F.sum(n).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(shift))
+    same = F.col(r) == F.col(r + "r")
+    for c, s in sides.items():
+        same = same & F.col(c).eqNullSafe(F.col(s))
+    got = rows.join(counts if by else F.broadcast(counts), same)  # MOST_RANGES rows at most
+    return got.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col(shift) + F.col(local)).cast("long").alias(name))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, beginning with the given one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def take(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
@@ -62,9 +90,12 @@ def take(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
 
 
 def skip(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """All but the first n rows; empty if there are no more. The n-th row, found by a bounded top-n, is the boundary."""
+    """All but the first n rows; empty if there are no more. The n-th row, found by a bounded top-n, is the boundary; a far one by its ordinal."""
     if n <= 0:
         return df
+    if n > TOP_ROWS:
+        o = _unused(df, "__ord")
+        return with_ordinal(df, keys, o).where(F.col(o) >= n).drop(o)
     edge = df.select(_struct(keys).alias("__k")).orderBy("__k").limit(n).agg(F.max("__k").alias("__edge"))  # one row
     return df.join(F.broadcast(edge), _struct(keys) > F.col("__edge"), "inner").drop("__edge")
 
@@ -92,9 +123,21 @@ def last(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.orderBy(*_sort(keys, True)).limit(1)
 
 
+#: Rows that a bounded top-n may hold in a task; further on ordinals are counted.
+TOP_ROWS = 100_000
+
+
+def _between(df: DataFrame, start: int, end: int, keys: list[str]) -> DataFrame:
+    """Rows start to end - 1."""
+    if end <= TOP_ROWS:
+        return df.orderBy(*_sort(keys)).offset(start).limit(max(0, end - start))
+    o = _unused(df, "__ord")
+    return with_ordinal(df, keys, o).where((F.col(o) >= start) & (F.col(o) < end)).drop(o)
+
+
 def at(df: DataFrame, i: int, keys: list[str]) -> DataFrame:
     """The row with 0-based index i."""
-    return df.orderBy(*_sort(keys)).offset(i).limit(1)
+    return _between(df, i, i + 1, keys)
 
 
 def or_default(df: DataFrame, **default) -> DataFrame:
@@ -132,7 +175,7 @@ def single_or_default(df: DataFrame, **default) -> DataFrame:
 def slice_rows(df: DataFrame, keys: list[str], start: int, end: int | None = None) -> DataFrame:
     """Rows from start up to end, 0-based; negative numbers count from the end."""
     if start >= 0 and end is not None and end >= 0:
-        return df.orderBy(*_sort(keys)).offset(start).limit(max(0, end - start))
+        return _between(df, start, max(start, end), keys)
     if start >= 0 and end is None:
         return skip(df, start, keys)
     if start < 0 and end is None:
@@ -140,7 +183,7 @@ def slice_rows(df: DataFrame, keys: list[str], start: int, end: int | None = Non
     n = df.count()
     a, b = (x + n if x < 0 else x for x in (start, end if end is not None else n))
     a, b = max(0, a), max(0, b)
-    return df.orderBy(*_sort(keys)).offset(a).limit(max(0, b - a))
+    return _between(df, a, max(a, b), keys)
 
 
 def find(df: DataFrame, p: Column, keys: list[str]) -> DataFrame:
@@ -167,15 +210,11 @@ def upper_median(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 def with_running(df: DataFrame, key: str, value: str) -> DataFrame:
     """Running total of value up to each key, with keys unique, by ranges as in with_ordinal."""
-    n = min(MAX_RANGES, df.count() // RANGE_ROWS + 1)
-    bounds = _bounds(df, [key], n)
-    if bounds is None:
-        return df.withColumn("__upto", F.sum(value).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))  # RANGE_ROWS rows at most
-    ranged = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.struct(key))))
-    sums = ranged.groupBy("__range").agg(F.sum(value).alias("s"))
-    shift = sums.select(F.col("__range").alias("__r"), F.coalesce(F.sum("s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    rows = ranged(df, [key], "__range")
     local = F.sum(value).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__l", local).join(F.broadcast(shift), F.col("__range") == F.col("__r")).withColumn("__upto", F.col("__shift") + F.col("__l")).drop("__range", "__r", "__shift", "__l")
+    sums = rows.groupBy("__range").agg(F.sum(value).alias("s"))
+    shift = sums.select(F.col("__range").alias("__r"), F.coalesce(F.sum("s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    return rows.withColumn("__l", local).join(F.broadcast(shift), F.col("__range") == F.col("__r")).withColumn("__upto", F.col("__shift") + F.col("__l")).drop("__range", "__r", "__shift", "__l")
 
 
 def with_previous(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:

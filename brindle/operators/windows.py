@@ -7,7 +7,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import with_ordinal
+from .ordered import RANGE_ROWS, with_ordinal
+
+#: Rows of a block of a large group.
+BLOCK_ROWS = 50_000
 
 
 def chunks(df: DataFrame, size: int, order: list[str], name: str = "chunk") -> DataFrame:
@@ -15,34 +18,62 @@ def chunks(df: DataFrame, size: int, order: list[str], name: str = "chunk") -> D
     return with_ordinal(df, order, "__i").withColumn(name, F.floor(F.col("__i") / size).cast("long")).drop("__i")
 
 
+def _blocked(df: DataFrame, by: list[str], order: list[str], before: int, after: int) -> tuple[DataFrame, list[str]]:
+    """df in blocks of each group's order, and the columns that tell the blocks apart.
+
+    A block has BLOCK_ROWS rows of its own and, with `__own` false, the rows next
+    to it that a frame of so many rows before and after reaches, so that a large
+    group is the work of many tasks. A table of one range needs no blocks.
+    """
+    if df.count() <= RANGE_ROWS:
+        return df.withColumn("__own", F.lit(True)), by
+    size = max(BLOCK_ROWS, 4 * (before + after))
+    numbered = with_ordinal(df, order, "__o", by=by)
+    k = F.floor(F.col("__o") / size)
+    first, last = F.floor((F.col("__o") - after) / size), F.floor((F.col("__o") + before) / size)
+    dealt = numbered.withColumn("__block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return dealt.withColumn("__own", F.col("__block") == k), [*by, "__block"]
+
+
+def _framed(df: DataFrame, by: list[str], order: list[str], before: int, after: int, name: str, value) -> DataFrame:
+    """df with a column that value(window) gives, for windows that reach so many rows before and after."""
+    rows, parts = _blocked(df, by, order, before, after)
+    got = rows.withColumn(name, value(Window.partitionBy(*parts).orderBy(*order))).where("__own")
+    return got.select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
+
+
 def moving(by: list[str], order: list[str], size: int):
-    """A window of the last `size` rows within a group."""
+    """A window of the last `size` rows within a group, for groups that fit a task."""
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(-(size - 1), 0)
 
 
 def moving_average(df: DataFrame, value: str, by: list[str], order: list[str], size: int, name: str = "mean") -> DataFrame:
-    return df.withColumn(name, F.avg(value).over(moving(by, order, size)))
+    """Mean of the last `size` rows within a group."""
+    return _framed(df, by, order, size - 1, 0, name, lambda w: F.avg(value).over(w.rowsBetween(-(size - 1), 0)))
 
 
 def frame_rate(df: DataFrame, ts: str, by: list[str], order: list[str], k: int, name: str = "rate") -> DataFrame:
     """Rows per second over the last k rows: k over the time since the k-th row before; null until there is one."""
-    w = Window.partitionBy(*by).orderBy(*order)
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = (t - F.lag(t, k).over(w)) / F.lit(1e6)
-    return df.withColumn(name, F.try_divide(F.lit(float(k)), span))
+    return _framed(df, by, order, k, 0, name, lambda w: F.try_divide(F.lit(float(k)), (t - F.lag(t, k).over(w)) / F.lit(1e6)))
 
 
 def fir(df: DataFrame, value: str, taps: list[float], by: list[str], order: list[str], name: str = "filtered") -> DataFrame:
     """Weighted sum over neighbours, centred; rows beyond an end repeat the end's value."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head, tail = F.first(value).over(ends), F.last(value).over(ends)
-    total: Column = F.lit(0.0)
-    for i, t in enumerate(taps):
-        k = i - len(taps) // 2
-        v = F.col(value) if k == 0 else F.coalesce(F.lag(value, -k).over(w), head) if k < 0 else F.coalesce(F.lead(value, k).over(w), tail)
-        total = total + F.lit(float(t)) * v
-    return df.withColumn(name, total)
+    o = F.struct(*order)
+    ends = _stats(df, by, __head=F.min_by(value, o), __tail=F.max_by(value, o))
+
+    def total(w) -> Column:
+        out: Column = F.lit(0.0)
+        for i, t in enumerate(taps):
+            k = i - len(taps) // 2
+            there = F.lag(F.lit(1), -k).over(w) if k < 0 else F.lead(F.lit(1), k).over(w)
+            v = F.col(value) if k == 0 else F.when(there == 1, F.lag(value, -k).over(w)).otherwise(F.col("__head")) if k < 0 else F.when(there == 1, F.lead(value, k).over(w)).otherwise(F.col("__tail"))
+            out = out + F.lit(float(t)) * v
+        return out
+
+    reach = len(taps) // 2
+    return _framed(ends, by, order, reach, max(0, len(taps) - 1 - reach), name, total).drop("__head", "__tail")
 
 
 def convolve2d(cells: DataFrame, kernel: list[list[float]], i: str = "i", j: str = "j", v: str = "v") -> DataFrame:
