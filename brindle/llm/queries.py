@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, htmlextract, langid, quality, rules, sharding, simhash, tokencount, urlfilter
+from . import bpe, decontam, htmlextract, langid, oracles, quality, rules, sharding, simhash, tokencount, urlfilter
 from .common import table, work_dir
 
 VOCAB = "word_bpe_49k.json"
@@ -63,4 +63,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_language, op5_token_counts, op6_url_filter, op7_simhash, op8_quality_rules, op9_decontamination, op10_html)
 }
-ORACLES: dict[str, str] = {"op2_sharding": sharding.SQL, "op6_url_filter": urlfilter.SQL, "op8_quality_rules": rules.sql()}
+ORACLES: dict[str, str] = {
+    "op2_sharding": sharding.SQL, "op6_url_filter": urlfilter.SQL, "op7_simhash": oracles.SIMHASH, "op8_quality_rules": rules.sql(), "op9_decontamination": oracles.OVERLAPS, "op10_html": oracles.HTML,
+}

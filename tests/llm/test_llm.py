@@ -8,7 +8,9 @@ import time
 import tracemalloc
 import zlib
 from itertools import combinations
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
@@ -865,6 +867,19 @@ def test_pipeline(spark, data, docs):
     assert labels.where("quality = 1").join(spark.createDataFrame([(i,) for i in out], "doc_id long"), "doc_id").count() >= 0.6 * good
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_as_their_sql(spark, data, name):
+    c = duckdb.connect()
+    for f in Path(data).iterdir():
+        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+    df = queries.QUERIES[name](spark, data)
+    cur = c.execute(queries.ORACLES[name])
+    names = [d[0] for d in cur.description]
+    order = [names.index(x) for x in df.columns]
+    assert len(names) == len(df.columns)
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in cur.fetchall())
+
+
 def test_queries_registered():
     import __spark_entry__
 
