@@ -448,6 +448,27 @@ def find_deep(spark, d):
     return jsons.find_by_name(table(spark, d, "events").select("event_id", text.alias("j")), "j", "deep").select("event_id", "depth")
 
 
+_DATED = {"type": "object", "properties": {"k": {"type": "array", "items": {"type": "integer", "minimum": 5}, "uniqueItems": True}, "day": {"$ref": "#/definitions/day"}}, "additionalProperties": False, "definitions": {"day": {"type": "string", "format": "date"}}}
+
+
+@query("SELECT event_id, event_id >= 5 AND event_id % 10 >= 5 AND event_id <> event_id % 10 AND event_id % 31 < 29 AND event_id % 7 <> 0 ok FROM events")
+def json_schema_nested(spark, d):
+    """Arrays, formats, references and members that are not listed."""
+    i = C("event_id")
+    text = F.concat(F.lit('{"k":['), i, F.lit(","), i % 10, F.lit('],"day":"2024-02-'), F.lpad((i % 31 + 1).cast("string"), 2, "0"), F.lit('"'), F.when(i % 7 == 0, ',"more":1').otherwise(""), F.lit("}"))
+    return table(spark, d, "events").select("event_id", jsons.valid(text, _DATED).alias("ok"))
+
+
+_LIST = {"$ref": "#/definitions/node", "definitions": {"node": {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "next": {"$ref": "#/definitions/node"}}}}}
+
+
+@query("SELECT n_nationkey, n_regionkey <> 2 ok FROM nation")
+def json_schema_recursive(spark, d):
+    """A schema that refers to itself."""
+    v = F.when(C("n_regionkey") == 2, '"x"').otherwise(C("n_nationkey").cast("string"))
+    return table(spark, d, "nation").select("n_nationkey", jsons.valid(F.concat(F.lit('{"v":1,"next":{"v":2,"next":{"v":'), v, F.lit("}}}")), _LIST).alias("ok"))
+
+
 @query("SELECT p_partkey, md5(p_name) m, substr(sha256(p_name), 1, 8) s, p_name back, p_name again FROM part")
 def codecs(spark, d):
     """Compressed and encrypted texts come back as they were."""

@@ -112,7 +112,7 @@ def test_json(spark, ev):
     assert ev(jsons.valid(L("5"), {"oneOf": [{"type": "integer"}, {"minimum": 3}]})) is False
     assert ev(jsons.valid(L('"ab"'), {"if": {"type": "string"}, "then": {"minLength": 3}})) is False
     with pytest.raises(ValueError):
-        jsons.valid(L("1"), {"$ref": "#"})
+        jsons.valid(L("1"), {"$ref": "elsewhere#/definitions/a"})
     df = spark.createDataFrame([(1, '{"a": [{"name": "q"}], "name": 3}'), (2, None)], "id int, j string")
     assert sorted((r.path, r.value) for r in jsons.find_by_name(df, "j", "na*").collect()) == [("$['a'][0]['name']", "q"), ("$['name']", "3")]
     assert [r.path for r in jsons.find_by_value(df, "j", "q").collect()] == ["$['a'][0]['name']"]
@@ -249,3 +249,109 @@ def test_ods():
         f.writestr("mimetype", "application/vnd.oasis.opendocument.spreadsheet")
         f.writestr("content.xml", '<d xmlns:t="t" xmlns:o="o" xmlns:x="x"><t:table t:name="S"><t:table-row t:number-rows-repeated="2"/><t:table-row><t:table-cell/><t:table-cell o:value-type="float" o:value="2.5" t:number-columns-repeated="2"><x:p>2,5</x:p></t:table-cell></t:table-row></t:table></d>')
     assert list(formats.ods_rows(z.getvalue())) == [("S", 2, 1, "number", 2.5, "2,5"), ("S", 2, 2, "number", 2.5, "2,5")]
+
+
+SCHEMAS = [{'type': 'object', 'properties': {'a': {'type': 'array', 'items': {'type': 'integer', 'minimum': 2}}, 'b': {'format': 'date'}}, 'additionalProperties': False, 'required': ['a']},
+ {'items': [{'type': 'string'}, {'type': 'number'}], 'additionalItems': {'type': 'boolean'}},
+ {'contains': {'const': 3}, 'uniqueItems': True},
+ {'patternProperties': {'^x': {'type': 'integer'}}, 'propertyNames': {'maxLength': 3}, 'additionalProperties': {'type': 'string'}},
+ {'dependencies': {'a': ['b'], 'c': {'required': ['d']}}},
+ {'definitions': {'p': {'type': 'object', 'required': ['q']}},
+  'properties': {'a': {'$ref': '#/definitions/p'}},
+  'anyOf': [{'$ref': '#/definitions/p'}, {'type': 'array'}, {'required': ['a']}]},
+ {'definitions': {'n': {'type': 'object', 'properties': {'next': {'$ref': '#/definitions/n'}, 'v': {'type': 'integer'}}, 'required': ['v']}}, '$ref': '#/definitions/n'},
+ {'format': 'date-time'},
+ {'format': 'ipv4'},
+ {'format': 'ipv6'},
+ {'format': 'email'},
+ {'format': 'time'},
+ {'oneOf': [{'type': 'integer'}, {'minimum': 2}]},
+ {'if': {'type': 'string'}, 'then': {'minLength': 3}, 'else': {'type': ['number', 'null']}},
+ {'enum': [1, 'x', None, [1, 2], {'a': 1}]},
+ {'not': {'type': 'object'}}]
+TEXTS = ['{"a":[2,3]}',
+ '{"a":[1]}',
+ '{"a":[2.5]}',
+ '{"a":[],"b":"2024-02-29"}',
+ '{"a":[],"b":"2023-02-29"}',
+ '{"a":[],"z":1}',
+ '{}',
+ '[]',
+ '["x",1,true]',
+ '["x","y"]',
+ '["x"]',
+ '[1,2,3]',
+ '[3,3]',
+ '[3]',
+ '{"x1":1}',
+ '{"x1":"s"}',
+ '{"long":"s"}',
+ '{"b":"s"}',
+ '{"b":3}',
+ '{"a":1,"b":2}',
+ '{"a":1}',
+ '{"c":1}',
+ '{"c":1,"d":2}',
+ '{"a":{"q":1}}',
+ '{"a":{}}',
+ '{"q":1}',
+ '{"v":1}',
+ '{"v":1,"next":{"v":2}}',
+ '{"v":1,"next":{"v":"x"}}',
+ '{"next":{"v":1}}',
+ '"2024-01-31T10:00:00Z"',
+ '"2024-01-32T10:00:00Z"',
+ '"10.0.0.1"',
+ '"256.0.0.1"',
+ '"::1"',
+ '"1::2::3"',
+ '"a@b.c"',
+ '"ab"',
+ '"10:00:00+01:00"',
+ '3',
+ '1.5',
+ '2',
+ 'null',
+ 'true',
+ '"x"',
+ '[1,2]',
+ '[1.0,2]',
+ '{"a":1.0}',
+ '{bad',
+ '[true,1]',
+ '1.0']
+
+
+def test_schemas_as_checked_plainly(spark):
+    """The expression of a schema against the value by value check, which the cases below hold to the standard."""
+    df = spark.createDataFrame([(v,) for v in TEXTS] + [(None,)], "j string")
+    for r in df.select("j", *[jsons.valid(F.col("j"), s).alias(f"c{i}") for i, s in enumerate(SCHEMAS)]).collect():
+        for i, s in enumerate(SCHEMAS):
+            try:
+                want = r.j is not None and jsons.check(json.loads(r.j), s)
+            except ValueError:
+                want = False
+            assert r[f"c{i}"] == want, (r.j, s)
+
+
+@pytest.mark.parametrize(
+    "schema,fits,not_",
+    [
+        ({"items": {"type": "integer"}}, [[], [1, 2], "x"], [[1, "x"]]), ({"items": [{}, {"type": "null"}], "additionalItems": False}, [[1], [1, None]], [[1, 2], [1, None, 3]]),
+        ({"contains": {"minimum": 5}}, [[1, 6], 3], [[], [1]]), ({"uniqueItems": True}, [[1, True], [{"a": 1}, {"a": 2}]], [[1, 1.0], [{"a": 1, "b": 2}, {"b": 2, "a": 1}]]),
+        ({"additionalProperties": {"type": "string"}, "properties": {"a": {}}, "patternProperties": {"^b": {"type": "integer"}}}, [{"a": 1, "b1": 2, "c": "x"}], [{"b1": "x"}, {"c": 1}]),
+        ({"propertyNames": {"pattern": "^a"}}, [{"ab": 1}, {}], [{"b": 1}]), ({"dependencies": {"a": ["b"]}}, [{"b": 1}, {"a": 1, "b": 1}], [{"a": 1}]),
+        ({"format": "date"}, ["2024-02-29", 5], ["2023-02-29", "2024-13-01"]), ({"format": "ipv6"}, ["::", "fe80::1", "1:2:3:4:5:6:7:8"], ["1:2", ":::", "12345::"]),
+        ({"format": "json-pointer"}, ["", "/a/~0b"], ["a", "/~2"]), ({"const": False}, [False], [0]), ({"enum": [[1]]}, [[1.0]], [[True]]), (False, [], [1]),
+    ],
+)
+def test_schema_cases(schema, fits, not_):
+    assert all(jsons.check(x, schema) for x in fits) and not any(jsons.check(x, schema) for x in not_)
+
+
+def test_unknown_keywords_raise():
+    for bad in ({"itmes": 1}, {"items": {"typ": "x"}}, {"definitions": {"a": {"foo": 1}}}):
+        with pytest.raises(ValueError):
+            jsons.valid(F.lit("1"), bad)
+    with pytest.raises(ValueError):
+        jsons.valid(F.lit("1"), {"$ref": "http://x/y"})
