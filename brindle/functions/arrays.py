@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,61 @@ def permutations(fixed: int, mask: int) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << len(bits)) - 1).cast("long")), one)
 
 
+def gaussian(radius: int, sigma: float) -> Column:
+    """Weights of a bell of 2 * radius + 1 places, summing to 1."""
+    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)]
+    return F.array(*[F.lit(x / sum(w)) for x in w])
+
+
+def sine_wave(n: int, period: float, height: float = 1.0, phase: float = 0.0) -> Column:
+    """n samples of a sine."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(height)) * F.sin(F.lit(2 * math.pi) * i / F.lit(float(period)) + F.lit(float(phase))))
+
+
+def channel(a: Column, k: int, n: int) -> Column:
+    """Every n-th element from the k-th: one channel of interleaved samples."""
+    return F.filter(a, lambda _, i: F.pmod(i, F.lit(n)) == k)
+
+
+def convolve(a: Column, weights: Column) -> Column:
+    """Weighted sums around each element; beyond an end its value goes on."""
+    n, half = F.size(a), F.floor(F.size(weights) / 2).cast("int")
+    at = lambda i: F.get(a, F.least(F.greatest(i, F.lit(0)), n - 1))
+    return F.transform(a, lambda _, i: F.aggregate(F.transform(weights, lambda w, k: w * at(i + k - half)), F.lit(0.0), lambda s, x: s + x))
+
+
+def moving_mean(a: Column, width: int) -> Column:
+    """Mean of the elements up to width // 2 before and (width - 1) // 2 behind, as far as there are any."""
+    n = F.size(a)
+
+    def one(_: Column, i: Column) -> Column:
+        lo, hi = F.greatest(i - width // 2, F.lit(0)), F.least(i + (width - 1) // 2, n - 1)
+        return F.aggregate(F.slice(a, lo + 1, hi - lo + 1), F.lit(0.0), lambda s, x: s + x) / (hi - lo + 1)
+
+    return F.transform(a, one)
+
+
+def soft_max(a: Column, beta: float = 1.0, log: bool = False) -> Column:
+    """exp(beta x) of each element over their sum, or the logarithm of that."""
+    b = F.lit(float(beta))
+    total = F.aggregate(F.transform(a, lambda x: F.exp(b * (x - F.array_max(a)))), F.lit(0.0), lambda s, x: s + x)
+    shifted = lambda x: b * (x - F.array_max(a))
+    return F.transform(a, lambda x: shifted(x) - F.log(total)) if log else F.transform(a, lambda x: F.exp(shifted(x)) / total)
+
+
+def resample(a: Column, n: int) -> Column:
+    """n values at even distances, between the elements by straight lines."""
+    step = (F.size(a) - 1) / F.lit(float(max(1, n - 1)))
+
+    def one(i: Column) -> Column:
+        x = i * step
+        k = F.least(F.floor(x).cast("int"), F.size(a) - 1)
+        low, high = F.get(a, k), F.get(a, F.least(k + 1, F.size(a) - 1))
+        return low + (high - low) * (x - k)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+
+
 def map_get(m: Column, key: Column, default=None) -> Column:
     return F.coalesce(F.try_element_at(m, key), F.lit(default))
 

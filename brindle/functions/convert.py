@@ -8,7 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import arrays, strings
+from . import arrays, dates, hashes, strings
 
 
 class Registry:
@@ -62,6 +62,35 @@ def default_registry() -> Registry:
     r.operation("AppendArray", arrays.append_array)
     r.operation("RepeatByte", lambda c, n: F.repeat(c, n))
     r.operation("Permutations", arrays.permutations)
+    r.operation("Gaussian", arrays.gaussian)
+    r.operation("MakeSineWave", arrays.sine_wave)
+    r.operation("GetChannel", arrays.channel)
+    r.operation("Convolve", arrays.convolve)
+    r.operation("Average", arrays.moving_mean)
+    r.operation("SoftMax", arrays.soft_max)
+    r.operation("LogSoftMax", lambda a, beta=1.0: arrays.soft_max(a, beta, True))
+    r.operation("Resample", arrays.resample)
+    r.operation("DecodeBase64", hashes.from_base64)
+    r.operation("HashMD5", hashes.md5)
+    r.operation("AESencrypt", hashes.encrypt)
+    r.operation("AESdecrypt", hashes.decrypt)
+    r.operation("Dos2Unix", lambda c: F.replace(c, F.lit("\r"), F.lit("")))
+    r.operation("Unix2Dos", lambda c: F.replace(c, F.lit("\n"), F.lit("\r\n")))
+    r.operation("EmbedAs", lambda c, how="json": {"json": F.to_json, "csv": F.to_csv, "xml": F.to_xml}[how](c))
+    r.operation("LoadAs", lambda c, schema, how="json": {"json": F.from_json, "csv": F.from_csv, "xml": F.from_xml}[how](c, schema))
+    r.operation("WildCard", strings.glob_match)
+    r.conversion("string", "crc32", hashes.crc32)
+    r.conversion("binary", "crc32", hashes.crc32)
+    r.conversion("crc32", "long", lambda c: c)
+    r.conversion("long", "boolean", lambda c: c != 0)
+    r.conversion("double", "long", lambda c: c.cast("long"))
+    r.conversion("boolean", "string", lambda c: c.cast("string"))
+    r.conversion("string", "guid", strings.parse_guid)
+    r.conversion("date", "timestamp", lambda c: c.cast("timestamp"))
+    r.conversion("timestamp", "micros", dates.micros)
+    r.conversion("micros", "long", lambda c: c)
+    r.conversion("timestamp", "filetime", dates.to_filetime)
+    r.conversion("filetime", "timestamp", dates.from_filetime)
     r.conversion("string", "long", strings.parse_int)
     r.conversion("string", "double", strings.parse_float)
     r.conversion("string", "boolean", strings.parse_bool)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ordered import ranged, with_ordinal
 from .rows import holds
+from .work import cut
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], right_order: list[str]) -> DataFrame:
@@ -132,57 +133,113 @@ def interval_overlap(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str, r_
     return a.join(b, (F.col("__l") == F.col("__r")) & meets & first).drop("__l", "__r", "__l0", "__r0")
 
 
-def nearest(queries: DataFrame, points: DataFrame, vector: str, query_id: str, point_id: str, point_vector: str, block: int = 2000) -> DataFrame:
+#: Cells of the nearest neighbour search, and points of one task's part of a cell.
+PIVOTS, CELL_ROWS = 256, 50_000
+
+
+def nearest(queries: DataFrame, points: DataFrame, vector: str, query_id: str, point_id: str, point_vector: str, other: bool = False, most: float | None = None) -> DataFrame:
     """Nearest point of every query by squared distance, ties to the smaller id: query_id, point_id, dist2.
 
-    The stated queries are sent in blocks of fixed size; each task compares its
-    own points with a block by one matrix product and keeps its best, and only
-    those meet. Distances are then computed exactly for the candidates.
+    With `other`, a point of the query's own id does not count; with `most`, only
+    points within that distance do. Points go to the cell of their nearest pivot,
+    of PIVOTS pivots from a bounded sample. A query looks into its own cell first,
+    and then only into cells that may hold something as near by the triangle
+    inequality. Large cells are dealt over many tasks; nulls take no part. At most
+    CELL_ROWS points in all are broadcast to the queries instead.
     """
     import numpy as np
     import pandas as pd
 
     spark = queries.sparkSession
-    qs = queries.select(query_id, vector).where(F.col(vector).isNotNull())
-    out = None
-    held: list = []
-
-    def part(rows: list) -> DataFrame:
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], np.float64)
-        sent = spark.sparkContext.broadcast((ids, q))  # `block` vectors
-
-        def best(batches):
-            ids, q = sent.value
-            low = np.full(len(q), np.inf)
-            who = [None] * len(q)
+    qt, pt = queries.schema[query_id].dataType.simpleString(), points.schema[point_id].dataType.simpleString()
+    ps = points.select(F.col(point_id).alias("p"), F.col(point_vector).cast("array<double>").alias("x")).where("p IS NOT NULL AND x IS NOT NULL")
+    qs = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("y")).where("q IS NOT NULL AND y IS NOT NULL").dropDuplicates(["q"])
+    out = f"q {qt}, p {pt}, dist2 double"
+
+    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The best of some points, in order of their ids, for each of some queries."""
+        rows = []
+        x, ids = np.stack(right.x.to_numpy()), right.p.to_numpy()
+        xx = (x * x).sum(1)
+        for at in range(0, len(left), 256):
+            y, q = np.stack(left.y.to_numpy()[at : at + 256]), left.q.to_numpy()[at : at + 256]
+            approx = (y * y).sum(1)[:, None] - 2 * y @ x.T + xx[None]
+            if other:
+                approx[q[:, None] == ids[None]] = np.inf
+            edge = approx.min(1)
+            for i in np.flatnonzero(np.isfinite(edge)):
+                near = np.flatnonzero(approx[i] <= edge[i] + 1e-6 * (1 + abs(edge[i]) + xx.max()))
+                d = ((x[near] - y[i]) ** 2).sum(1)  # exactly, for those in question
+                k = int(d.argmin())
+                if most is None or d[k] <= float(most) ** 2:
+                    rows.append((q[i], ids[near[k]], float(d[k])))
+        return pd.DataFrame(rows, columns=["q", "p", "dist2"])
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.col("q").alias(query_id), F.col("p").alias(point_id), "dist2")
+
+    few = ps.limit(CELL_ROWS + 1).toPandas()
+    if len(few) <= CELL_ROWS:  # so few go to the queries as they are
+        if not len(few):
+            return named(spark.createDataFrame([], out))
+        held = spark.sparkContext.broadcast(few.sort_values("p"))
+
+        def each(batches):
+            for b in batches:
+                if len(b):
+                    yield closest(b, held.value)
+
+        return named(qs.mapInPandas(each, out))
+    chosen = [r[0] for r in ps.orderBy(F.xxhash64("p"), "p").limit(PIVOTS).select("x").collect()]  # PIVOTS vectors
+    sent = spark.sparkContext.broadcast(np.array(chosen))
+
+    def distances(y: np.ndarray) -> np.ndarray:
+        c = sent.value
+        return np.sqrt(np.maximum((y * y).sum(1)[:, None] - 2 * y @ c.T + (c * c).sum(1)[None], 0))
+
+    def place(batches):
+        for b in batches:
+            if len(b):
+                d = distances(np.stack(b.x.to_numpy()))
+                yield b.assign(cell=d.argmin(1).astype(np.int32), far=d.min(1))
+
+    placed = cut(ps.mapInPandas(place, f"p {pt}, x array<double>, cell int, far double"))
+    sizes = {r.cell: (r.n, r.far) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # PIVOTS rows
+    radius = np.array([sizes[c][1] if c in sizes else -np.inf for c in range(len(chosen))])
+    parts = F.create_map(*[x for c, (n, _) in sizes.items() for x in (F.lit(c), F.lit(-(-n // CELL_ROWS)))])
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("p"), parts[F.col("cell")]).cast("int")).select("p", "x", "cell", "part")
+
+    def visits(first: bool):
+        def run(batches):
             for b in batches:
                 if not len(b):
                     continue
-                x = np.stack(b[point_vector].to_numpy()).astype(np.float64)
-                pid = b[point_id].to_numpy()
-                approx = (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None]
-                edge = approx.min(1, keepdims=True)
-                for i in range(len(q)):
-                    near = np.flatnonzero(approx[i] <= edge[i] + 1e-6 * (1 + abs(edge[i])))
-                    d = ((x[near] - q[i]) ** 2).sum(1)
-                    k = min(range(len(near)), key=lambda j: (d[j], pid[near[j]]))
-                    if who[i] is None or (d[k], pid[near[k]]) < (low[i], who[i]):
-                        low[i], who[i] = d[k], pid[near[k]]
-            keep = [i for i in range(len(q)) if who[i] is not None]
-            yield pd.DataFrame({"q": [ids[i] for i in keep], "p": [who[i] for i in keep], "dist2": [low[i] for i in keep]})
-
-        qt, pt = queries.schema[query_id].dataType.simpleString(), points.schema[point_id].dataType.simpleString()
-        return points.select(point_id, point_vector).where(F.col(point_vector).isNotNull()).mapInPandas(best, f"q {qt}, p {pt}, dist2 double")
-
-    for r in qs.toLocalIterator():
-        held.append((r[0], list(r[1])))
-        if len(held) == block:
-            out = part(held) if out is None else out.unionByName(part(held))
-            held = []
-    if held or out is None:
-        out = part(held or [(None, [])]) if out is None else out.unionByName(part(held))
-    return out.groupBy(F.col("q").alias(query_id)).agg(F.min(F.struct("dist2", "p")).alias("b")).select(query_id, F.col("b.p").alias(point_id), F.col("b.dist2").alias("dist2"))
+                d = distances(np.stack(b.y.to_numpy()))
+                own = np.where(np.isfinite(radius)[None], d, np.inf).argmin(1)
+                bound = np.full(len(b), np.inf) if first else np.sqrt(b.best.fillna(np.inf).to_numpy(float))
+                if most is not None:
+                    bound = np.minimum(bound, most)
+                near = np.arange(len(radius))[None] == own[:, None]
+                if not first:
+                    near = ~near & (d - radius[None] <= bound[:, None] * (1 + 1e-9) + 1e-6)
+                yield pd.DataFrame({"q": b.q, "y": b.y, "cells": [np.flatnonzero(r & np.isfinite(radius)).astype(np.int32) for r in near]})
+
+        return run
+
+    def search(rows: DataFrame, first: bool) -> DataFrame:
+        to = rows.mapInPandas(visits(first), f"q {qt}, y array<double>, cells array<int>").select("q", "y", F.explode("cells").alias("cell"))
+        to = to.select("q", "y", "cell", F.explode(F.sequence(F.lit(0), (parts[F.col("cell")] - 1).cast("int"))).alias("part"))
+
+        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            return closest(left, right.sort_values("p")) if len(left) and len(right) else pd.DataFrame(columns=["q", "p", "dist2"])
+
+        return to.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(best, out)
+
+    one = cut(search(qs, True))
+    bound = one.groupBy("q").agg(F.min("dist2").alias("best"))
+    more = search(qs.join(bound, "q", "left"), False)
+    ends = one.unionByName(more).groupBy("q").agg(F.min(F.struct("dist2", "p")).alias("b"))
+    return named(ends.select("q", "b.p", "b.dist2"))
 
 
 def within(left: DataFrame, right: DataFrame, coords: list[tuple[str, str]], distance: float) -> DataFrame:

@@ -232,36 +232,52 @@ def upper_bound_suppliers(spark, d):
     return joins.lower_bound(table(spark, d, "part").select("p_partkey", "p_size"), table(spark, d, "supplier"), "p_size", "s_suppkey", strict=True).select("p_partkey", "bound")
 
 
-_SPANS = "(SELECT o_orderkey k, o_orderdate lo, o_orderdate + INTERVAL {} DAY hi FROM orders WHERE o_orderpriority = '{}')"
+_SPANS = "(SELECT o_orderkey k, o_orderdate + INTERVAL (o_orderkey % 1440) MINUTE lo, o_orderdate + INTERVAL (o_orderkey % 1440 + 10) MINUTE hi FROM orders)"
+_LOADS = "(SELECT l_orderkey k, l_partkey p, l_shipdate + INTERVAL (l_partkey % 1440) MINUTE lo, l_shipdate + INTERVAL (l_partkey % 1440 + 5) MINUTE hi FROM lineitem)"
 
 
-def _spans(spark, d, priority, days, tag):
-    o = table(spark, d, "orders").where(C("o_orderpriority") == priority)
-    micros = dates.micros(C("o_orderdate"))
-    return o.select(C("o_orderkey").alias(f"{tag}_key"), micros.alias(f"{tag}_lo"), (micros + days * 86_400_000_000).alias(f"{tag}_hi"))
+def _spans(spark, d):
+    """Ten minutes of every order, and five of every line, spread over their days."""
+    t, u, minute = dates.micros(C("o_orderdate")), dates.micros(C("l_shipdate")), 60_000_000
+    a = table(spark, d, "orders").select(C("o_orderkey").alias("a_key"), (t + C("o_orderkey") % 1440 * minute).alias("a_lo"), (t + (C("o_orderkey") % 1440 + 10) * minute).alias("a_hi"))
+    b = table(spark, d, "lineitem").select(C("l_orderkey").alias("b_key"), C("l_partkey").alias("b_part"), (u + C("l_partkey") % 1440 * minute).alias("b_lo"), (u + (C("l_partkey") % 1440 + 5) * minute).alias("b_hi"))
+    return a, b, 15 * minute
 
 
-@query(f"SELECT a.k a_key, b.k b_key FROM {_SPANS.format(2, '1-URGENT')} a, {_SPANS.format(1, '2-HIGH')} b WHERE NOT (b.hi < a.lo OR a.hi < b.lo)")
+@query(f"SELECT a.k a_key, b.k b_key, b.p b_part FROM {_SPANS} a JOIN {_LOADS} b ON b.hi >= a.lo AND a.hi >= b.lo")
 def interval_overlap(spark, d):
-    a, b = _spans(spark, d, "1-URGENT", 2, "a"), _spans(spark, d, "2-HIGH", 1, "b")
-    return joins.interval_overlap(a, b, "a_lo", "a_hi", "b_lo", "b_hi", 2 * 86_400_000_000).select("a_key", "b_key")
+    a, b, width = _spans(spark, d)
+    return joins.interval_overlap(a, b, "a_lo", "a_hi", "b_lo", "b_hi", width).select("a_key", "b_key", "b_part")
 
 
-@query(f"SELECT a.k a_key, b.k b_key FROM {_SPANS.format(2, '1-URGENT')} a, {_SPANS.format(1, '2-HIGH')} b WHERE a.lo < b.hi AND b.lo < a.hi")
+@query(f"SELECT a.k a_key, b.k b_key, b.p b_part FROM {_SPANS} a JOIN {_LOADS} b ON a.lo < b.hi AND b.lo < a.hi")
 def interval_strict(spark, d):
-    a, b = _spans(spark, d, "1-URGENT", 2, "a"), _spans(spark, d, "2-HIGH", 1, "b")
-    return joins.interval_overlap(a, b, "a_lo", "a_hi", "b_lo", "b_hi", 2 * 86_400_000_000, strict=True).select("a_key", "b_key")
+    a, b, width = _spans(spark, d)
+    return joins.interval_overlap(a, b, "a_lo", "a_hi", "b_lo", "b_hi", width, strict=True).select("a_key", "b_key", "b_part")
 
 
-@query("""WITH q AS (SELECT vec_id q, embedding e FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT vec_id p, embedding f FROM embeddings WHERE vec_id % 100 <> 0)
-SELECT vec_id, near_id, round(dist2, 4) dist2 FROM (SELECT q vec_id, p near_id, list_sum(list_transform(list_zip(e, f), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) dist2,
-row_number() OVER (PARTITION BY q ORDER BY list_sum(list_transform(list_zip(e, f), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), p) r FROM q, p) WHERE r = 1""")
-def nearest_embedding(spark, d):
+_NEAR = """SELECT vec_id, near_id, round(dist2, 4) dist2 FROM (SELECT q.vec_id, p.vec_id near_id, list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) dist2
+FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id % 100 = 0) WHERE dist2 <= {} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist2, near_id) = 1"""
+
+
+def _nearest(spark, d, most=None):
     e = table(spark, d, "embeddings")
-    found = joins.nearest(e.where("vec_id % 100 = 0"), e.where("vec_id % 100 <> 0").select(C("vec_id").alias("near_id"), "embedding"), "embedding", "vec_id", "near_id", "embedding")
+    found = joins.nearest(e.where("vec_id % 100 = 0"), e.select(C("vec_id").alias("near_id"), "embedding"), "embedding", "vec_id", "near_id", "embedding", other=True, most=most)
     return found.select("vec_id", "near_id", F.round("dist2", 4).alias("dist2"))
 
 
+@query(_NEAR.format("1e300"))
+def nearest_embedding(spark, d):
+    """The nearest other vector of all, for every hundredth."""
+    return _nearest(spark, d)
+
+
+@query(_NEAR.format("81.0"))
+def nearest_within(spark, d):
+    """The same within a distance of 9."""
+    return _nearest(spark, d, 9.0)
+
+
 @query("""SELECT a.p_partkey a, b.p_partkey b FROM part a, part b WHERE a.p_partkey < b.p_partkey AND (a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice) <= 4.0""")
 def points_within(spark, d):
     p = table(spark, d, "part")

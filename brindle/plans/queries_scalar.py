@@ -435,6 +435,42 @@ def registered_operations(spark, d):
     return table(spark, d, "nation").select("n_nationkey", r.apply("SubArray", F.array(k, g), 0, 1).alias("a"), r.apply("UniqueArray", F.array(g, g)).alias("b"), r.apply("RepeatByte", F.lit("ab"), 2).alias("c"))
 
 
+@query("""SELECT vec_id, round((0.25 * e[1] + 0.5 * e[1] + 0.25 * e[2])::DOUBLE, 6) c, round(((e[1] + e[2]) / 2)::DOUBLE, 6) m, round(e[3]::DOUBLE, 6) ch, round(e[1] + (e[2] - e[1]) * 0.5, 6) mid,
+round(exp(e[1]) / list_sum(list_transform(e, lambda x: exp(x))), 6) p, round(e[1] - ln(list_sum(list_transform(e, lambda x: exp(x)))), 5) l, 5 n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings)""")
+def registered_sequences(spark, d):
+    """Filters and scalings of arrays by their registered names."""
+    r = convert.default_registry()
+    e = table(spark, d, "embeddings").select("vec_id", C("embedding").cast("array<double>").alias("e"))
+    a = C("e")
+    w = F.array(*map(F.lit, (0.25, 0.5, 0.25)))
+    double = e.select("vec_id", "e", (2 * F.size(a) - 1).alias("size"))
+    n = len(table(spark, d, "embeddings").select("embedding").first()[0])
+    first = lambda c, k=0: F.round(c[k], 6)
+    return double.select(
+        "vec_id", first(r.apply("Convolve", a, w)).alias("c"), first(r.apply("Average", a, 3)).alias("m"), first(r.apply("GetChannel", a, 0, 2), 1).alias("ch"), first(r.apply("Resample", a, 2 * n - 1), 1).alias("mid"),
+        first(r.apply("SoftMax", a)).alias("p"), F.round(r.apply("LogSoftMax", a)[0], 5).alias("l"), F.size(r.apply("Gaussian", 2, 1.0)).alias("n"),
+    )
+
+
+@query("SELECT n_nationkey, md5(n_name) m, n_name back, n_name secret, 'a' || chr(10) || 'b' u, 'a' || chr(13) || chr(10) || 'b' w, n_name LIKE 'A%' wild, round(sin(2 * pi() * 3 / 8), 6) s FROM nation")
+def registered_texts(spark, d):
+    r = convert.default_registry()
+    n, key = C("n_name"), F.lit("0123456789abcdef")
+    return table(spark, d, "nation").select(
+        "n_nationkey", r.apply("HashMD5", n).alias("m"), r.apply("DecodeBase64", hashes.to_base64(n)).cast("string").alias("back"), r.apply("AESdecrypt", r.apply("AESencrypt", n, key), key).cast("string").alias("secret"),
+        r.apply("Dos2Unix", F.lit("a\r\nb")).alias("u"), r.apply("Unix2Dos", F.lit("a\nb")).alias("w"), r.apply("WildCard", n, "A*").alias("wild"), F.round(r.apply("MakeSineWave", 8, 8)[3], 6).alias("s"),
+    )
+
+
+@query("SELECT n_nationkey, '{\"a\":' || n_nationkey || ',\"b\":\"' || n_name || '\"}' j, n_name back, n_nationkey <> 0 flag, 11644473600 * 10000000 + 86400::BIGINT * 10000000 * n_nationkey ticks FROM nation")
+def registered_conversions(spark, d):
+    r = convert.default_registry()
+    k, n = C("n_nationkey"), C("n_name")
+    row = F.struct(k.alias("a"), n.alias("b"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), k)
+    return table(spark, d, "nation").select("n_nationkey", r.apply("EmbedAs", row).alias("j"), r.apply("LoadAs", r.apply("EmbedAs", row), "a int, b string")["b"].alias("back"), r.convert(k.cast("long"), "long", "boolean").alias("flag"), r.convert(day, "date", "filetime").alias("ticks"))
+
+
 @query("SELECT event_id, n \"name\", t \"type\" FROM (SELECT event_id, unnest(['', 'a', 'b', 'c', '0']) n, unnest(['object', 'object', 'array', 'string', 'number']) t FROM events) WHERE t = 'number'")
 def find_by_kind(spark, d):
     text = F.concat(F.lit('{"a":{"b":['), C("event_id"), F.lit(']},"c":"x"}'))

@@ -166,11 +166,28 @@ def test_box_average_and_point_sample(spark, x):
     assert sorted(vals(windows.point_sample(x, 25, ["x"]))) == [0, 25, 50, 75]
 
 
-def test_nearest_ties_and_blocks(spark):
-    p = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [5.0, 5.0])], "pid long, v array<double>")
-    q = spark.createDataFrame([(9, [0.1, 0.0]), (8, [5.0, 4.0]), (7, None)], "qid long, v array<double>")
-    got = {r.qid: (r.pid, round(r.dist2, 6)) for r in joins.nearest(q, p, "v", "qid", "pid", "v", block=1).collect()}
-    assert got == {9: (1, 0.01), 8: (3, 1.0)}
+def test_nearest_ties(spark):
+    p = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [5.0, 5.0]), (4, None)], "pid long, v array<double>")
+    q = spark.createDataFrame([(9, [0.1, 0.0]), (8, [5.0, 4.0]), (7, None), (1, [0.0, 0.0])], "qid long, v array<double>")
+    got = {r.qid: (r.pid, round(r.dist2, 6)) for r in joins.nearest(q, p, "v", "qid", "pid", "v").collect()}
+    assert got == {9: (1, 0.01), 8: (3, 1.0), 1: (1, 0.0)}
+    assert {r.qid: r.pid for r in joins.nearest(q, p, "v", "qid", "pid", "v", other=True).collect()}[1] == 2
+    assert {r.qid for r in joins.nearest(q, p, "v", "qid", "pid", "v", most=0.5).collect()} == {9, 1}
+    assert joins.nearest(q, p.where("false"), "v", "qid", "pid", "v").count() == 0 == joins.nearest(q.where("false"), p, "v", "qid", "pid", "v").count()
+
+
+@pytest.mark.parametrize("pivots,cell", [(1, 7), (5, 20), (40, 3), (9, 1000)])
+def test_nearest_by_brute_force(spark, monkeypatch, pivots, cell):
+    monkeypatch.setattr(joins, "PIVOTS", pivots)
+    monkeypatch.setattr(joins, "CELL_ROWS", cell)
+    rng = np.random.default_rng(pivots)
+    x = rng.integers(0, 12, (150, 3)).astype(float)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pid long, v array<double>").repartition(3)
+    got = {r.qid: (r.pid, r.dist2) for r in joins.nearest(p.toDF("qid", "v"), p, "v", "qid", "pid", "v", other=True).collect()}
+    for i in range(len(x)):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert got[i] == (int(d.argmin()), d.min())
 
 
 def test_graph_routines(spark):
