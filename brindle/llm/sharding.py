@@ -22,7 +22,7 @@ STRIDE = 12
 KEY_BITS = 60
 #: Bits after which rows count as inseparable.
 DEEPEST = 120
-LIMIT = 4 << 20
+LIMIT = 1 << 20
 
 
 def _hash60(text: Column) -> Column:
