@@ -2,37 +2,36 @@
 
 A mask looks at five words of a window and ignores the others, so a hit
 survives substitutions at the ignored places. Windows of the benchmark under
-every mask are hashed and joined with the same hashes of each document; around
-a hit the words are compared along its diagonal, and close diagonals of one
-item, which insertions and deletions make, count together.
+every mask are hashed, and so are those of each document; the hashes are joined.
+Around a hit the words are compared along its diagonal, and close diagonals of
+one item, which insertions and deletions make, count together.
 
-Items too short for the masks count where a text holds all their words in order.
+Items too short for the masks have one window of their own length, and count
+where a text holds all their words in order.
 
-The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one
-pass over the documents for each, so what is sent has a fixed bound.
+Documents go through once, whatever the benchmark's size: a Bloom filter of its
+seeds, of bounded size, leaves the windows that may have a partner, and only
+these windows and the words of their documents go into the join.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import keep_rows, map_arrow, ship, texts
+from .common import cut, fixed_places, map_arrow, texts, unused
 
 #: Places of a window that count (fixed values).
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8))
-#: Most benchmark words sent at once.
-BLOCK_WORDS = 1_000_000
+#: Bits of the filter for each seed, and the most bits in all, as powers of 2.
+FILTER_SHARE, FILTER_MOST = 7, 28
+PROBES = 3
 #: Items of fewer words must occur whole and in order.
 LEAST_WORDS = 8
 #: Words that must agree: this many, or this share of a shorter item.
@@ -41,10 +40,13 @@ NEED_WORDS, NEED_SHARE = 13, 0.7
 DRIFT = 4
 #: In scripts without spaces every sign is a word, and so many times as many must agree.
 NEED_SIGNS = 3
+#: Most places of overlapping documents that are broadcast, 8 bytes each; more are joined.
+SENT = 1_000_000
 CACHE = 200_000
 #: Pairs of a seed's places, and cells of words on diagonals, that are held at once.
 PAIRS, CELLS = 1 << 20, 1 << 21
-_BITS = 22
+#: Words whose windows are hashed at once.
+_GROUP = 200_000
 #: Signs of Chinese, Japanese, Thai, Lao, Burmese, Khmer and Tibetan, which put no spaces between words.
 _SIGN = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _WORD = re.compile(r"[\W_]+")
@@ -91,113 +93,135 @@ def _seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return h
 
 
-@dataclass(frozen=True)
-class Block:
-    """Part of a benchmark: its words by item, and its seeds, sorted by hash for each mask; short items by length, as sorted hashes and ids."""
-
-    ids: list
-    starts: np.ndarray
-    words: np.ndarray
-    item_of: np.ndarray
-    need: np.ndarray
-    seeds: list[tuple[np.ndarray, np.ndarray]]
-    present: np.ndarray
-    short: dict[int, tuple[np.ndarray, list]]
-
-    def item(self, k: int) -> np.ndarray:
-        return self.words[self.starts[k] : self.starts[k + 1]]
-
-
-def _block(all_items: list[tuple[object, np.ndarray, bool]]) -> Block:
-    items = [x for x in all_items if len(x[1]) >= LEAST_WORDS]
-    short = {}
-    for length in sorted({len(w) for _, w, _ in all_items if len(w) < LEAST_WORDS}):
-        some = [(_seeds(w, tuple(range(length)))[0], i) for i, w, _ in all_items if len(w) == length]
-        some.sort(key=lambda x: x[0])
-        short[length] = np.array([h for h, _ in some], np.uint64), [i for _, i in some]
-    starts = np.cumsum([0, *[len(w) for _, w, _ in items]])
-    words = np.concatenate([np.zeros(0, np.int64), *[w for _, w, _ in items]])
-    need = np.array([min(NEED_WORDS * (NEED_SIGNS if signs else 1), int(np.ceil(NEED_SHARE * len(w)))) for _, w, signs in items], np.int64)
-    present = np.zeros(1 << _BITS, bool)
-    seeds = []
-    item_of = np.repeat(np.arange(len(items)), np.diff(starts))
-    for mask in MASKS:
-        h = _seeds(words, mask)
-        at = np.flatnonzero(item_of[: len(h)] == item_of[mask[-1] : mask[-1] + len(h)])
-        at = at[np.argsort(h[at], kind="stable")]
-        seeds.append((h[at], at))
-        present[(h[at] >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Block([i for i, _, _ in items], starts, words, item_of, need, seeds, present, short)
-
-
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark's items in blocks, read one after another from the table; those without a word are left out."""
-    held: list[tuple[object, np.ndarray, bool]] = []
-    size = 0
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
-    for item_id, text in rows.toLocalIterator():
-        w = word_hashes(text)
-        if not len(w):
-            continue
-        if held and size + len(w) > block_words:
-            yield _block(held)
-            held, size = [], 0
-        held.append((item_id, w, 2 * len(_SIGN.findall(text)) > len(w)))
-        size += len(w)
-    if held:
-        yield _block(held)
-
-
-def _hits(words: np.ndarray, doc_of: np.ndarray, block: Block) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(document, item, sorted diagonals of the hits) for each pair with a shared seed. Places of a seed are spread PAIRS at a time."""
-    found: list[np.ndarray] = []
-    held = 0
-    low = -len(block.words)  # diagonals lie between this and the number of words
-    span, n_items = len(words) - low + 1, len(block.ids)
-
-    for mask, (hashes, places) in zip(MASKS, block.seeds, strict=True):
-        h = _seeds(words, mask)
-        if not len(h) or not len(hashes):
-            continue
-        at = np.flatnonzero(block.present[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        at = at[doc_of[at] == doc_of[at + mask[-1]]]
-        lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-        some = hi > lo
-        at, lo, times = at[some], lo[some], (hi - lo)[some]
-        ends = np.cumsum(times)
-        start = 0
-        while start < len(at):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
-            n = times[start:stop]
-            which = np.repeat(np.arange(start, stop), n)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            place = places[lo[which] + nth]
-            item = block.item_of[place]
-            found.append(np.unique((doc_of[at[which]] * n_items + item) * span + (at[which] - place + block.starts[item] - low)))
-            held += len(found[-1])
-            if held > 4 * PAIRS:
-                found = [np.unique(np.concatenate(found))]
-                held = len(found[0])
-            start = stop
-    if found:
-        every = np.unique(np.concatenate(found))
-        pair = every // span
-        for part in np.split(every, np.flatnonzero(np.diff(pair)) + 1):
-            doc, item = divmod(int(part[0]) // span, n_items)
-            yield doc, item, part % span + low
-
-
-def _whole(words: np.ndarray, doc_of: np.ndarray, block: Block) -> Iterator[tuple[int, object, int, int]]:
-    """(document, item id, words, first place) of every short item that occurs whole, once for each document."""
-    for length, (hashes, ids) in block.short.items():
-        h = _seeds(words, tuple(range(length)))
-        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        at = np.flatnonzero(hi > lo)
-        at = at[doc_of[at] == doc_of[at + length - 1]]
-        _, first = np.unique(doc_of[at] * len(hashes) + lo[at], return_index=True)
-        for k in at[first].tolist():
-            for i in ids[lo[k] : hi[k]]:
-                yield int(doc_of[k]), i, length, k
+def _windows(words: np.ndarray, masks: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(mask, its reach, hashes of all windows); a mask of -n stands for n words in a row."""
+    for m in masks:
+        places = MASKS[m] if m >= 0 else tuple(range(-m))
+        yield m, places[-1], _seeds(words, places).view(np.int64)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """The benchmark's items with a word, each once: item, item_id, need, n, words as bytes, and seeds with their places, by mask and hash."""
+    key, kind = unused(benchmark, "item"), benchmark.schema["item_id"].dataType.simpleString()
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep, cols = [], ([], [], [], [])
+        for k, text in enumerate(texts(b)):
+            w = word_hashes(text)
+            if not len(w):
+                continue
+            signs = 2 * len(_SIGN.findall(text)) > len(w)
+            masks = [*range(len(MASKS))] if len(w) >= LEAST_WORDS else [-len(w)]
+            keep.append(k)
+            need = min(NEED_WORDS * (NEED_SIGNS if signs else 1), int(np.ceil(NEED_SHARE * len(w))))
+            for c, v in zip(cols, (need, len(w), w.tobytes(), _grouped(_windows(w, masks))), strict=True):
+                c.append(v)
+        rows = pa.array(keep, pa.int64())
+        made = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), _HITS), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(key).take(rows), b.column("item_id").take(rows), *made], names=["item", "item_id", "need", "n", "words", "seeds"])
+
+    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().withColumn(key, F.monotonically_increasing_id())
+    return cut(map_arrow(rows, run, f"item long, item_id {kind}, need int, n int, words binary, seeds {_HITS_SQL}"))
+
+
+_HITS = pa.list_(pa.struct([("mask", pa.int32()), ("hash", pa.int64()), ("at", pa.list_(pa.int32()))]))
+_HITS_SQL = "array<struct<mask: int, hash: bigint, at: array<int>>>"
+
+
+def _grouped(windows: Iterator[tuple[int, int, np.ndarray]]) -> list[dict]:
+    """Hashes by mask with all their places."""
+    out = []
+    for m, _, h in windows:
+        order = np.argsort(h, kind="stable")
+        cuts = np.flatnonzero(np.diff(h[order])) + 1
+        for at in np.split(order, cuts) if len(order) else []:
+            out.append({"mask": m, "hash": int(h[at[0]]), "at": at.astype(np.int32)})
+    return out
+
+
+def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Places of hashes in a filter of 2^bits bits."""
+    u = h.view(np.uint64)
+    for k in range(PROBES):
+        yield ((u * _MIX[k]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _filter(items: DataFrame) -> tuple[np.ndarray, int, list[int]]:
+    """The Bloom filter of all seeds, its bits as a power of 2, and the masks in use. The bits are gathered as words of 64 by the executors."""
+    seeds = items.select(F.explode("seeds").alias("s")).select("s.mask", "s.hash").distinct()
+    counts = {r.mask: r["count"] for r in seeds.groupBy("mask").count().collect()}  # a few masks
+    bits = min(FILTER_MOST, max(10, (sum(counts.values()) << FILTER_SHARE).bit_length()))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.concatenate([np.zeros(0, np.int64), *_probes(b.column("hash").to_numpy(), bits)])
+        return pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.uint64(1) << (at & 63).astype(np.uint64)).cast(pa.int64(), safe=False)], names=["word", "bit"])
+
+    words = map_arrow(seeds.select("hash"), run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out, bits, sorted(counts)
+
+
+def _candidates(docs: DataFrame, items: DataFrame, extra: list[str]) -> DataFrame:
+    """A row for each document and item that share a seed: item, the extra columns of docs, and `hits`, the places of each seed in both."""
+    spark = docs.sparkSession
+    found, bits, masks = _filter(items)
+    sent = spark.sparkContext.broadcast(found)  # 2^FILTER_MOST bits at most
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        held = sent.value
+        arrays = [word_hashes(t) for t in texts(b)]
+        hits: list[list[dict]] = [[] for _ in arrays]
+        at = 0
+        while at < len(arrays):
+            stop, size = at + 1, len(arrays[at])
+            while stop < len(arrays) and size + len(arrays[stop]) <= _GROUP:
+                size += len(arrays[stop])
+                stop += 1
+            lengths = [len(a) for a in arrays[at:stop]]
+            starts, doc_of, words = np.cumsum([0, *lengths]), np.repeat(np.arange(stop - at), lengths), np.concatenate(arrays[at:stop])
+            for m, reach, h in _windows(words, masks):
+                k = np.arange(len(h))
+                for p in range(PROBES):
+                    place = ((h[k].view(np.uint64) * _MIX[p]) >> np.uint64(64 - bits)).astype(np.int64)
+                    k = k[(held[place >> 6].view(np.uint64) >> (place & 63).astype(np.uint64)) & np.uint64(1) != 0]
+                k = k[doc_of[k] == doc_of[k + reach]]
+                order = k[np.lexsort((k, h[k], doc_of[k]))]
+                cuts = np.flatnonzero((np.diff(h[order]) != 0) | (np.diff(doc_of[order]) != 0)) + 1
+                for part in np.split(order, cuts) if len(order) else []:
+                    doc = int(doc_of[part[0]])
+                    hits[at + doc].append({"mask": m, "hash": int(h[part[0]]), "at": (part - starts[doc]).astype(np.int32)})
+            at = stop
+        keep = [k for k, x in enumerate(hits) if x]
+        rows = pa.array(keep, pa.int64())
+        made = [pa.array([len(arrays[k]) for k in keep], pa.int32()), pa.array([arrays[k].tobytes() for k in keep], pa.binary()), pa.array([hits[k] for k in keep], _HITS)]
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ["row", *extra]), *made], names=["row", *extra, "size", "text_words", "hits"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    part = docs.select("text", F.monotonically_increasing_id().alias("row"), *[F.col(c) for c in extra])
+    met = cut(map_arrow(part, run, "row long, " + "".join(f"{c} {kinds[c]}, " for c in extra) + f"size int, text_words binary, hits {_HITS_SQL}"))
+    ours = met.select("row", F.explode("hits").alias("h")).select("row", "h.mask", "h.hash", F.col("h.at").alias("at"))
+    theirs = items.select("item", F.explode("seeds").alias("s")).select("item", "s.mask", "s.hash", F.col("s.at").alias("place"))
+    pairs = ours.join(theirs, ["mask", "hash"]).groupBy("row", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"))
+    least = lambda c: F.array_min(F.transform("hits", lambda x: F.array_min(x[c])))
+    most = lambda c: F.array_max(F.transform("hits", lambda x: F.array_max(x[c])))
+    both = pairs.join(met.drop("hits"), "row").join(items.drop("seeds"), "item")
+    low = F.greatest(F.lit(0), least("at") - most("place"))
+    high = F.least(F.col("size"), most("at") - least("place") + F.col("n"))
+    return both.withColumn("low", low).withColumn("text_words", F.substring("text_words", F.col("low") * 8 + 1, (high - F.col("low")) * 8))
+
+
+def _diagonals(hits: list[dict]) -> np.ndarray:
+    """Sorted distinct differences of the places of shared seeds, spread PAIRS at a time."""
+    found = [np.zeros(0, np.int64)]
+    for x in hits:
+        at, place = np.array(x["at"], np.int64), np.array(x["place"], np.int64)
+        step = max(1, PAIRS // len(place))
+        for k in range(0, len(at), step):
+            found.append(np.unique(at[k : k + step, None] - place[None]))
+        if len(found) > 64:
+            found = [np.unique(np.concatenate(found))]
+    return np.unique(np.concatenate(found))
 
 
 def _overlap(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray, need: int) -> tuple[int, int, int] | None:
@@ -247,70 +271,55 @@ def _dense(words: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[
     return same & inside, np.where(some, start + diagonals, len(words)), np.where(some, end + diagonals, 0)
 
 
-def _search(texts_: list[str], block: Block) -> list[tuple]:
-    """(row, item, agreeing words, item's words, first word, end) of every overlap in a batch."""
-    out = []
-    arrays = [word_hashes(t) for t in texts_]
-    at = 0
-    while at < len(arrays):
-        stop, size = at, 0
-        while stop < len(arrays) and (stop == at or size + len(arrays[stop]) <= 200_000):
-            size += len(arrays[stop])
-            stop += 1
-        group = arrays[at:stop]
-        lengths = [len(a) for a in group]
-        starts = np.cumsum([0, *lengths])
-        words = np.concatenate(group) if size else np.zeros(0, np.int64)
-        doc_of = np.repeat(np.arange(len(group)), lengths)
-        for doc, item_id, n, first in _whole(words, doc_of, block):
-            first -= int(starts[doc])
-            out.append((at + doc, item_id, n, n, first, first + n))
-        for doc, item, diagonals in _hits(words, doc_of, block):
-            if got := _overlap(group[doc], block.item(item), diagonals - starts[doc], int(block.need[item])):
-                out.append((at + doc, block.ids[item], got[0], len(block.item(item)), got[1], got[2]))
-        at = stop
-    return out
+def _best(words: np.ndarray, low: int, item: np.ndarray, need: int, hits: list[dict]) -> tuple[int, int, int] | None:
+    """Agreeing words, first word and end of an item's best overlap with a text, of which `words` begins at word `low`."""
+    if len(item) < LEAST_WORDS:
+        first = min(min(x["at"]) for x in hits)
+        return len(item), first, first + len(item)
+    got = _overlap(words, item, _diagonals(hits) - low, need)
+    return got and (got[0], got[1] + low, got[2] + low)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row for each document and benchmark item that overlap: doc_id, item_id, n_agree, item_words, first_word, end_word.
 
     Null and empty texts overlap nothing; repeated documents come back
     repeated, repeated benchmark rows count once, and an item without an id has
     a null item_id; an empty table on either side gives an empty result; other
-    columns are ignored. Of equally good overlaps the first is reported. Whole
-    texts are compared, and words that repeat without end cost time in proportion
-    to the text times the item, not memory. Ids may be of any type.
+    columns are ignored, save those named as `extra`, which stand in for doc_id.
+    Of equally good overlaps the first is reported. Whole texts are compared, and
+    words that repeat without end cost time in proportion to the text times the
+    item, not memory. Ids may be of any type.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, n_agree int, item_words int, first_word int, end_word int"
-    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-    out = None
-    for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)  # BLOCK_WORDS words at most
-
-        def run(b: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            rows = _search(texts(b), sent.value)
-            ids = b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-            cols = [pa.array([r[k] for r in rows], item_type if k == 1 else pa.int32()) for k in range(1, 6)]
-            return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "item_id", "n_agree", "item_words", "first_word", "end_word"])
-
-        part = map_arrow(docs.select("doc_id", "text"), run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    extra = extra or ["doc_id"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    item_kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep, out = [], ([], [], [])
+        for k, (w, low, item, need, hits) in enumerate(zip(*(b.column(c) for c in ("text_words", "low", "words", "need", "hits")), strict=True)):
+            words, own = (np.frombuffer(x.as_buffer(), np.int64) for x in (w, item))
+            if got := _best(words, low.as_py(), own, need.as_py(), hits.as_py()):
+                keep.append(k)
+                for c, v in zip(out, got, strict=True):
+                    c.append(v)
+        rows = pa.array(keep, pa.int64())
+        same = [b.column(c).take(rows) for c in (*extra, "item_id")]
+        agree, first, end = (pa.array(c, pa.int32()) for c in out)
+        return pa.RecordBatch.from_arrays([*same, agree, b.column("n").take(rows), first, end], names=[*extra, "item_id", "n_agree", "item_words", "first_word", "end_word"])
+
+    schema = "".join(f"{c} {kinds[c]}, " for c in extra) + f"item_id {item_kind}, n_agree int, item_words int, first_word int, end_word int"
+    return map_arrow(_candidates(docs, _items(benchmark), extra).select(*extra, "item_id", "text_words", "low", "words", "need", "n", "hits"), run, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item, with all their columns: null and empty texts and repeated rows stay, an empty table stays empty."""
-    for block in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_WORDS words at most
-
-        def mask(b: pa.RecordBatch, sent=sent) -> pa.Array:
-            leaks = np.zeros(b.num_rows, bool)
-            leaks[[r[0] for r in _search(texts(b), sent.value)]] = True
-            return pc.invert(pa.array(leaks))
+    """The documents that overlap no benchmark item, with all their columns: null and empty texts and repeated rows stay, an empty table stays empty.
 
-        docs = keep_rows(docs, mask)
-    return docs
+    Texts move only where more than SENT documents overlap.
+    """
+    if not fixed_places(docs):
+        docs = cut(docs)  # a row must be found at its place again
+    at = unused(docs, "__place")
+    tagged = docs.withColumn(at, F.monotonically_increasing_id())
+    leaks = cut(contaminated(tagged, benchmark, [at]).select(at).distinct())
+    return tagged.join(F.broadcast(leaks) if leaks.count() <= SENT else leaks, at, "left_anti").drop(at)

@@ -599,11 +599,12 @@ def test_decontamination_of_short_and_nameless_items(spark, bench):
     assert sorted(r.doc_id for r in decontam.keep_clean(df, b.where("item_id = 3")).collect()) == [1, 2, 3, 4, 6, 7, 8, 9, 10]
 
 
-def test_decontamination_blocks_agree(spark, data, docs):
-    b = spark.read.parquet(f"{data}/benchmark.parquet")
-    many = list(decontam.blocks(b, block_words=200))
-    assert len(many) > 3 and sum(len(x.ids) for x in many) == sum(len(x.ids) for x in decontam.blocks(b))
-    items = {r.item_id: [w for w in map(decontam._hash, r.text.split()) if w] for r in b.collect()}
+@pytest.mark.parametrize("share,most", [(7, 28), (0, 10)])
+def test_decontamination_filter_loses_nothing(spark, data, docs, monkeypatch, share, most):
+    """Whole copies and nine tenths of an item, with a filter of few false hits and one of many."""
+    monkeypatch.setattr(decontam, "FILTER_SHARE", share)
+    monkeypatch.setattr(decontam, "FILTER_MOST", most)
+    items = {r.item_id: [w for w in map(decontam._hash, r.text.split()) if w] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     found = queries.op9_decontamination(spark, data).collect()
     assert all(r.n_agree >= min(decontam.NEED_WORDS, decontam.NEED_SHARE * r.item_words) for r in found)
     got = {(r.doc_id, r.item_id) for r in found}
@@ -643,22 +644,25 @@ def plain_overlap(words, item, need):
     return most if most and most >= need else None
 
 
-def test_decontamination_by_brute_force():
+def test_decontamination_by_brute_force(spark):
     rng = random.Random(12)
-    for case in range(150):
-        vocab = [f"w{i}" for i in range(rng.choice([3, 12, 200]))]
-        items = [[rng.choice(vocab) for _ in range(rng.randint(8, 30))] for _ in range(4)]
-        texts = []
-        for _ in range(5):
+    docs, items, want = [], [], {}
+    for case in range(120):
+        vocab = [f"c{case}w{i}" for i in range(rng.choice([3, 12, 200]))]
+        own = [[rng.choice(vocab) for _ in range(rng.randint(8, 30))] for _ in range(4)]
+        for k, item in enumerate(own):
+            items.append((10 * case + k, " ".join(item)))
+        for j in range(5):
             w = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
-            part = [x if rng.random() > 0.1 else "other" for x in rng.choice(items)]
+            part = [x if rng.random() > 0.1 else "other" for x in rng.choice(own)]
             at = rng.randint(0, len(w))
-            texts.append(w[:at] + part[: rng.randint(0, len(part))] + w[at:])
-        block = decontam._block([(k, decontam.word_hashes(" ".join(i)), False) for k, i in enumerate(items)])
-        got = {(r, k): n for r, k, n, *_ in decontam._search([" ".join(t) for t in texts], block)}
-        need = [min(decontam.NEED_WORDS, -(-7 * len(i) // 10)) for i in items]
-        want = {(r, k): n for r, t in enumerate(texts) for k, i in enumerate(items) if (n := plain_overlap(t, i, need[k]))}
-        assert got == want, case
+            text = w[:at] + part[: rng.randint(0, len(part))] + w[at:]
+            docs.append((10 * case + j, " ".join(text)))
+            for k, item in enumerate(own):
+                if n := plain_overlap(text, item, min(decontam.NEED_WORDS, -(-7 * len(item) // 10))):
+                    want[10 * case + j, 10 * case + k] = n
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.item_id): r.n_agree for r in got} == want and len(got) == len(want) > 200
 
 
 def test_decontamination_query_by_brute_force(spark, data, docs):
@@ -674,13 +678,17 @@ def test_decontamination_query_by_brute_force(spark, data, docs):
     assert want == {(r.doc_id, r.item_id): r.n_agree for r in queries.op9_decontamination(spark, data).collect()}
 
 
-def test_decontamination_of_hot_seeds(monkeypatch):
-    block = decontam._block([(1, decontam.word_hashes("spam " * 60), False)])
+@pytest.mark.parametrize("pairs,cells,sent", [(1 << 20, 1 << 21, 1000), (100, 100, 0)])
+def test_decontamination_of_hot_seeds(spark, monkeypatch, pairs, cells, sent):
+    for name, x in (("PAIRS", pairs), ("CELLS", cells), ("SENT", sent)):
+        monkeypatch.setattr(decontam, name, x)
+    docs = [(1, "eggs " * 9 + "spam " * 300), (2, "spam"), (3, "spam " * 60 if pairs == 100 else "spam " * 100_000)] + [(100 + k, "spam " * 70) for k in range(40)]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(1, "spam " * 60), (2, "ham " * 60)], "item_id long, text string")
     began = time.perf_counter()
-    assert decontam._search(["spam " * 100_000], block) == [(0, 1, 60, 60, 0, 60)] and time.perf_counter() - began < 5
-    monkeypatch.setattr(decontam, "PAIRS", 100)
-    monkeypatch.setattr(decontam, "CELLS", 100)
-    assert decontam._search(["eggs " * 9 + "spam " * 300, "spam"], block) == [(0, 1, 60, 60, 9, 69)]
+    got = {r.doc_id: tuple(r)[1:] for r in decontam.contaminated(df, b).collect()}
+    assert got == {1: (1, 60, 60, 9, 69), 3: (1, 60, 60, 0, 60), **{100 + k: (1, 60, 60, 0, 60) for k in range(40)}}
+    assert time.perf_counter() - began < 60
+    assert [r.doc_id for r in decontam.keep_clean(df, b).collect()] == [2]
 
 
 def test_decontamination_without_spaces_and_other_ids(spark):
