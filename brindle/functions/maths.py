@@ -242,6 +242,13 @@ def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return F.degrees(lat), F.degrees(F.atan2(y, x)), height
 
 
+def datum_shift(x: Column, y: Column, z: Column, move: tuple[float, float, float], turn: tuple[float, float, float] = (0.0, 0.0, 0.0), scale: float = 0.0) -> tuple[Column, Column, Column]:
+    """Earth-centred coordinates in another datum: moved in metres, turned by small angles in seconds of arc (position vectors), scaled in parts per million."""
+    rx, ry, rz = (F.lit(math.radians(a / 3600)) for a in turn)
+    s = F.lit(1 + scale * 1e-6)
+    return F.lit(move[0]) + s * (x - rz * y + ry * z), F.lit(move[1]) + s * (rz * x + y - rx * z), F.lit(move[2]) + s * (rx * y - ry * x + z)
+
+
 def from_utm(zone: Column, east: Column, north: Column, south: Column) -> tuple[Column, Column]:
     """Degrees of a UTM place, on the southern half of the earth if south holds: Krueger's series to the fourth order, read backwards."""
     n = _FLAT / (2 - _FLAT)

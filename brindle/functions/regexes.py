@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What needs backtracking, so that the time may grow beyond the text's length: references, looking around, atoms, conditions.
+_BACKTRACKS = re.compile(r"\\[1-9]|\\k[<{']|\(\?(?:[=!>(]|<[=!]|P=)|[*+?}]\+")
+
+
+def safe(pattern: str) -> str:
+    """The pattern itself, if it needs no backtracking; else it raises."""
+    plain = re.sub(r"\\[^1-9k]|\[\^?\]?[^\]]*\]", "", pattern)
+    if m := _BACKTRACKS.search(plain):
+        raise ValueError(f"{m[0]} needs backtracking")
+    return pattern
+
+
 def match(c: Column, pattern: str) -> Column:
     """Whether the whole text matches."""
     return c.rlike(rf"^(?:{pattern})\z")

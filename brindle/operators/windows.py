@@ -76,6 +76,18 @@ def fir(df: DataFrame, value: str, taps: list[float], by: list[str], order: list
     return _framed(ends, by, order, reach, max(0, len(taps) - 1 - reach), name, total).drop("__head", "__tail")
 
 
+def convolve(cells: DataFrame, kernel, axes: list[str], v: str = "v") -> DataFrame:
+    """Convolution of a sparse grid of any number of dimensions with a small kernel (nested lists): each cell sends its share to its neighbours. Only cells of the input come back."""
+    import numpy as np
+
+    k = np.asarray(kernel, float)
+    steps = [(tuple(i - n // 2 for i, n in zip(at, k.shape, strict=True)), float(x)) for at, x in np.ndenumerate(k) if x or not any(i - n // 2 for i, n in zip(at, k.shape, strict=True))]
+    taps = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(step)], F.lit(x).alias("k"), F.lit(not any(step)).alias("own")) for step, x in steps])
+    sent = cells.select(*axes, v, F.explode(taps).alias("__t"))
+    moved = sent.select(*[(F.col(a) + F.col(f"__t.d{i}")).alias(a) for i, a in enumerate(axes)], (F.col(v) * F.col("__t.k")).alias(v), F.col("__t.own").alias("__own"))
+    return moved.groupBy(*axes).agg(F.sum(v).alias(v), F.bool_or("__own").alias("__own")).where("__own").drop("__own")
+
+
 def convolve2d(cells: DataFrame, kernel: list[list[float]], i: str = "i", j: str = "j", v: str = "v") -> DataFrame:
     """Convolution of a sparse grid (i, j, v) with a small kernel: each cell sends its share to its neighbours. Only cells of the input come back."""
     h, w = len(kernel) // 2, len(kernel[0]) // 2

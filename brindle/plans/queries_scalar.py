@@ -151,6 +151,37 @@ def kernel_resample(spark, d):
     return windows.resample_kernel(e, "t", "value", 1 / 60, 1.0, ["user_id"]).select("user_id", "bin", F.round("value", 4).alias("value"))
 
 
+@query(f"""WITH g AS (SELECT i, j, 1 k, v FROM {_GRID} UNION ALL SELECT i, j, 2, v / 2 FROM {_GRID}) SELECT a.i, a.j, a.k, round(sum(b.v * (4 - abs(a.i - b.i) - abs(a.j - b.j) - abs(a.k - b.k))), 6) v
+FROM g a JOIN g b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY 1, 2, 3""")
+def convolution_3d(spark, d):
+    g = _grid(spark, d).withColumn("k", F.lit(1))
+    cells = g.unionByName(g.withColumn("k", F.lit(2)).withColumn("v", C("v") / 2))
+    kernel = [[[4 - abs(a) - abs(b) - abs(c) for c in (-1, 0, 1)] for b in (-1, 0, 1)] for a in (-1, 0, 1)]
+    return windows.convolve(cells, kernel, ["i", "j", "k"]).select("i", "j", "k", F.round("v", 6).alias("v"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT event_id, user_id, value z, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events),
+s AS (SELECT NULL::BIGINT event_id, user_id, 0::BIGINT i, 1.0::DOUBLE x, 10.0::DOUBLE p FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+SELECT event_id, user_id, i, m + g * (z - sqrt(m * m + 1)), (1 - g * h) * q FROM (SELECT *, q * h / (h * q * h + 4) g FROM (SELECT *, m / sqrt(m * m + 1) h FROM (SELECT n.event_id, n.user_id, n.i, n.z, 0.9 * s.x + 1 m, 0.9 * s.p * 0.9 + 0.5 q FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1))))
+SELECT event_id, round(x, 5) x, round(p, 5) p FROM s WHERE i > 0""")
+def extended_filter(spark, d):
+    """A level that decays and is seen through a curve."""
+    import numpy as np
+
+    got = windows.extended_kalman(
+        table(spark, d, "events"), ["value"], ["user_id"], ["ts", "event_id"], lambda x: 0.9 * x + 1, lambda x: [[0.9]], lambda x: np.sqrt(x * x + 1), lambda x: x / np.sqrt(x * x + 1), [[0.5]], [[4.0]], [1.0], [[10.0]]
+    )
+    return got.select("event_id", F.round(C("state")[0], 5).alias("x"), F.round(C("variance")[0], 5).alias("p"))
+
+
+@query("SELECT c_custkey, round((1 + 2e-6) * (x - 1e-5 * y) + 100, 3) x, round((1 + 2e-6) * (1e-5 * x + y) - 50, 3) y, round((1 + 2e-6) * z + 20, 3) z FROM (SELECT c_custkey, 6378137.0 + c_acctbal x, c_acctbal * 2 y, c_custkey * 1.0 z FROM customer)")
+def datum_shifted(spark, d):
+    import math
+
+    x, y, z = maths.datum_shift(F.lit(6378137.0) + C("c_acctbal"), C("c_acctbal") * 2, C("c_custkey").cast("double"), (100.0, -50.0, 20.0), (0.0, 0.0, math.degrees(1e-5) * 3600), 2.0)
+    return table(spark, d, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity / sqrt(avg(l_quantity * l_quantity) OVER (PARTITION BY l_returnflag)), 6) scaled FROM lineitem")
 def rms_scaled(spark, d):
     return windows.rms_scale(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("scaled", 6).alias("scaled"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons
 from ..operators.work import work_dir
-from ..sources import files, formats  # noqa: F401  (formats registers the handlers)
+from ..sources import files, formats
+from ..streaming import events as stream
 from .queries import query
 from .session import table
 
@@ -213,3 +214,106 @@ def listing_written(spark, d):
     if not files.find_files(spark, path, "*.csv").count():
         raise ValueError("no listing was found")
     return spark.read.option("header", True).csv(path).select("id", "n_name")
+
+
+_FLAT = [("key", "long"), ("name", "string"), ("size", "int"), ("price", "double"), ("gone", "int"), ("tags", "[string]"), ("inner", [("low", "short"), ("high", "short")])]
+
+
+def _flat_part(key: int, name: str, size: int, price: float) -> bytes:
+    """One part in the FlatBuffers layout: root offset, table behind its field offsets, texts and the table inside at the end."""
+    text = lambda t: struct.pack("<I", len(t)) + t + bytes(4 - len(t) % 4)
+    offsets = struct.pack("<9H", 18, 44, 8, 16, 4, 20, 0, 28, 32)  # ids 0 to 6; id 4 is missing
+    table = 4 + len(offsets) + 2
+    tail, at = b"", table + 44
+    places = []
+    for made in (text(name.encode()), struct.pack("<I", 1) + struct.pack("<I", 4) + text(b"x"), struct.pack("<4H", 8, 8, 4, 6) + struct.pack("<i", 8) + struct.pack("<2h", size % 7, size % 11)):
+        places.append(at + len(tail) + (8 if len(places) == 2 else 0))
+        tail += made
+    body = struct.pack("<ii", table - 4, size) + struct.pack("<q", key) + struct.pack("<I", places[0] - table - 16) + struct.pack("<d", price) + struct.pack("<II", places[1] - table - 28, places[2] - table - 32) + bytes(8)
+    return struct.pack("<I", table) + offsets + bytes(2) + body + tail
+
+
+formats.flatbuffers("flat_part", _FLAT)
+
+
+@query("SELECT p_partkey \"key\", p_name \"name\", p_size::BIGINT size, p_retailprice price, 'x' tag, (p_size % 7)::BIGINT low, (p_size % 11)::BIGINT high, true gone FROM part")
+def flatbuffer_parts(spark, d):
+    """Tables with scalars, texts, vectors, a table inside and a field that is missing."""
+
+    def made(batches):
+        for b in batches:
+            yield pd.DataFrame({"path": ["p"] * len(b), "content": [_flat_part(*r) for r in b.itertuples(index=False, name=None)]})
+
+    got = files.parse_files(_parts(spark, d).mapInPandas(made, "path string, content binary"), "flat_part")
+    j, v = C("row"), jsons.get
+    return got.select(v(j, "key", "long").alias("key"), v(j, "name").alias("name"), v(j, "size", "long").alias("size"), v(j, "price", "double").alias("price"), v(j, "tags/0").alias("tag"), v(j, "inner/low", "long").alias("low"), v(j, "inner/high", "long").alias("high"), v(j, "gone").isNull().alias("gone"))
+
+
+@query("SELECT 'n' || n_nationkey \"name\", 'xs:string' \"type\", 0 least, n_regionkey::INT + 1 most, 'element' kind FROM nation")
+def schema_declarations(spark, d):
+    """An XML schema with an element for each nation."""
+
+    def schema(batches):
+        for b in batches:
+            made = "".join(f'<xs:element name="n{k}" type="xs:string" minOccurs="0" maxOccurs="{r + 1}"/>' for k, r in zip(b.n_nationkey, b.n_regionkey, strict=True))
+            yield pd.DataFrame({"path": ["s"], "content": [f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="all"><xs:complexType><xs:sequence>{made}</xs:sequence></xs:complexType></xs:element></xs:schema>'.encode()]})
+
+    got = files.parse_files(table(spark, d, "nation").select("n_nationkey", "n_regionkey").mapInPandas(schema, "path string, content binary"), "xsd")
+    return got.where("depth = 2").select("name", "type", "least", "most", "kind")
+
+
+@query("""SELECT CASE n_nationkey % 4 WHEN 1 THEN 'modify' WHEN 2 THEN 'rename' ELSE 'remove' END op, 'f' || n_nationkey || CASE n_nationkey % 4 WHEN 2 THEN '.new' ELSE '' END path, CASE n_nationkey % 4 WHEN 2 THEN 'f' || n_nationkey END old_path
+FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 'add', 'g' || r_regionkey, NULL FROM region""")
+def folder_changes(spark, d):
+    """Two listings of a folder: files kept, changed, renamed, removed and added."""
+    n, k = table(spark, d, "nation"), C("n_nationkey")
+    before = n.select(F.concat(F.lit("f"), k).alias("path"), (k * 10).cast("long").alias("length"), F.timestamp_seconds(k).alias("modified"))
+    kept = n.where(k % 4 != 3).select(F.concat(F.lit("f"), k, F.when(k % 4 == 2, ".new").otherwise("")).alias("path"), (k * 10 + F.when(k % 4 == 1, 1).otherwise(0)).cast("long").alias("length"), F.timestamp_seconds(k).alias("modified"))
+    new = table(spark, d, "region").select(F.concat(F.lit("g"), "r_regionkey").alias("path"), (C("r_regionkey") * 1000 + 7).cast("long").alias("length"), F.timestamp_seconds(C("r_regionkey") + 99).alias("modified"))
+    return stream.changes(before, kept.unionByName(new))
+
+
+def _stream(spark, d):
+    """The events as a stream of three files."""
+    path = work_dir(spark)
+    e = table(spark, d, "events").withColumn("ts", C("ts").cast("timestamp"))
+    e.repartition(3).write.parquet(path)
+    return stream.watch(spark, path, e.schema, files_per_trigger=1)
+
+
+def _run(writer) -> None:
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) \"start\", event_type, count(*) n, round(sum(value), 3) total FROM events GROUP BY 1, 2")
+def streamed_windows(spark, d):
+    """Windows over a stream, as they stand at its end."""
+    out = work_dir(spark)
+    got = stream.tumbling(_stream(spark, d), "ts", "1 day", ["event_type"], late="3650 days", n=F.count("*"), total=F.round(F.sum("value"), 3))
+    _run(got.writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/at{i:06d}")).option("checkpointLocation", work_dir(spark)))
+    last = spark.read.option("recursiveFileLookup", "true").schema("start timestamp, end timestamp, event_type string, n long, total double").parquet(out).withColumn("at", F.regexp_extract(F.input_file_name(), r"/at(\d+)/", 1))
+    ends = F.broadcast(last.agg(F.max("at").alias("last")))  # one row
+    return last.join(ends, C("at") == C("last")).select("start", "event_type", "n", "total")
+
+
+@query("SELECT 'low' sink, count(*) n FROM events UNION ALL SELECT 'high', count(*) FROM events WHERE event_type = 'error'")
+def streamed_fan_out(spark, d):
+    """Every batch goes to two sinks, the more urgent one first."""
+    out = work_dir(spark)
+
+    def sink(name, keep):
+        return lambda b, i: b.where(keep).select(F.lit(name).alias("sink"), "event_id").write.mode("append").parquet(f"{out}/{name}")
+
+    _run(stream.fan_out(_stream(spark, d), [(1, sink("low", "true")), (5, sink("high", "event_type = 'error'"))], work_dir(spark)))
+    return spark.read.option("recursiveFileLookup", "true").schema("sink string, event_id long").parquet(out).groupBy("sink").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(*) n FROM events GROUP BY 1")
+def streamed_states(spark, d):
+    """A filter's state for each user over a stream: one estimate for each event."""
+    out = work_dir(spark)
+    got = stream.kalman(_stream(spark, d), "user_id", "ts", "value", 1.0, 25.0)
+    _run(got.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", work_dir(spark)))
+    back = spark.read.schema(got.schema).parquet(out)
+    return back.where("variance > 0 AND variance <= 25").groupBy("user_id").agg(F.count("estimate").alias("n"))

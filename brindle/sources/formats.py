@@ -418,7 +418,75 @@ def xml_rows(b: bytes) -> Iterator[tuple]:
         yield int(level), where, x.tag, _json(dict(x.attrib)), (x.text or "").strip() or None
 
 
-register(Handler("xml", ("xml", "xsd", "svg", "kml", "gml"), ("application/xml", "text/xml"), "depth int, path string, name string, attributes string, text string", xml_rows, lambda b: 2 if b.lstrip()[:5] == b"<?xml" else -1))
+register(Handler("xml", ("xml", "xsd", "svg", "kml", "gml"), ("application/xml", "text/xml"), "depth int, path string, name string, attributes string, text string", xml_rows, lambda b: 1 if b.lstrip()[:5] == b"<?xml" else -1))
+
+
+def xsd_rows(b: bytes) -> Iterator[tuple]:
+    """Declarations of an XML schema in order: depth, kind, name, type, least and most occurrences (null for unbounded), values of an enumeration.
+
+    A reference has the name it refers to; a type that is declared on the spot is
+    `complex` or `simple`, with the base that it extends or restricts behind a colon.
+    """
+    local = lambda tag: tag.rpartition("}")[2]
+
+    def walk(e, depth: int) -> Iterator[tuple]:
+        kind = local(e.tag)
+        if kind in ("element", "attribute", "complexType", "simpleType", "group", "attributeGroup", "any"):
+            own = next((local(x.tag)[:-4] for x in e if local(x.tag) in ("complexType", "simpleType")), None)
+            base = next((x.get("base") for x in e.iter() if local(x.tag) in ("extension", "restriction") and x.get("base")), None)
+            declared = e.get("type") or (f"{own}:{base}" if own and base else own) or (base if kind.endswith("Type") else None)
+            most = e.get("maxOccurs", "1")
+            least = int(e.get("minOccurs", "1")) if kind != "attribute" else int(e.get("use") == "required")
+            values = [x.get("value") for x in e.iter() if local(x.tag) == "enumeration"] if kind == "simpleType" or own == "simple" else []
+            yield depth, kind, e.get("name") or e.get("ref"), declared, least, None if most == "unbounded" else int(most), values
+            depth += 1
+        for x in e:
+            yield from walk(x, depth)
+
+    yield from walk(ET.fromstring(b), 0)
+
+
+register(Handler("xsd", ("xsd",), ("application/xml-schema",), "depth int, kind string, name string, type string, least int, most int, values array<string>", xsd_rows))
+
+#: FlatBuffers scalars: struct codes (fixed values).
+FLAT = {"bool": "?", "byte": "b", "ubyte": "B", "short": "h", "ushort": "H", "int": "i", "uint": "I", "float": "f", "long": "q", "ulong": "Q", "double": "d"}
+
+
+def flatbuffer(b: bytes, fields: list[tuple[str, str | list]], at: int | None = None) -> dict:
+    """A FlatBuffers table as a dictionary. fields are (name, type) in the order of their ids.
+
+    A type is a scalar's name, `string`, a list of fields for a table inside, or
+    `[type]` for a vector of any of these, with `[...]` as a one-element tuple for
+    a vector of tables. Missing fields are None.
+    """
+    if at is None:
+        at = struct.unpack_from("<I", b, 0)[0]
+    table = at - struct.unpack_from("<i", b, at)[0]
+    size = struct.unpack_from("<H", b, table)[0]
+
+    def value(kind, place: int):
+        if isinstance(kind, str) and kind in FLAT:
+            return struct.unpack_from("<" + FLAT[kind], b, place)[0]
+        place += struct.unpack_from("<I", b, place)[0]
+        if kind == "string":
+            n = struct.unpack_from("<I", b, place)[0]
+            return b[place + 4 : place + 4 + n].decode()
+        if isinstance(kind, list):
+            return flatbuffer(b, kind, place)
+        inner = kind[0] if isinstance(kind, tuple) else kind[1:-1]
+        step = struct.calcsize("<" + FLAT[inner]) if isinstance(inner, str) and inner in FLAT else 4
+        return [value(inner, place + 4 + step * k) for k in range(struct.unpack_from("<I", b, place)[0])]
+
+    out = {}
+    for k, (name, kind) in enumerate(fields):
+        offset = struct.unpack_from("<H", b, table + 4 + 2 * k)[0] if 4 + 2 * k < size else 0
+        out[name] = value(kind, at + offset) if offset else None
+    return out
+
+
+def flatbuffers(name: str, fields: list[tuple[str, str | list]]) -> Handler:
+    """A handler of files that are one table of a schema each; the row is JSON."""
+    return register(Handler(name, (), (), "row string", lambda b: iter([(_json(flatbuffer(b, fields)),)])))
 
 
 def xlsx_rows(b: bytes) -> Iterator[tuple]:

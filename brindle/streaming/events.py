@@ -16,6 +16,31 @@ def watch(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_pe
     return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).load(path)
 
 
+def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """A snapshot of a folder and all below it: path, length, modified. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What happened to a folder between two listings: op (add, remove, modify or rename), path, old_path.
+
+    A file that went and one that came with the same length and time, neither of
+    them with a double, are a rename.
+    """
+    b, a = (x.select(F.col("path").alias(f"{n}p"), F.struct("length", "modified").alias(f"{n}s")) for x, n in ((before, "b"), (after, "a")))
+    both = b.join(a, F.col("bp") == F.col("ap"), "full_outer")
+    modified = both.where("bp IS NOT NULL AND ap IS NOT NULL AND bs != `as`").select(F.lit("modify").alias("op"), F.col("ap").alias("path"), F.lit(None).cast("string").alias("old_path"))
+    one = both.where("bp IS NULL OR ap IS NULL").withColumn("k", F.coalesce("bs", "as"))
+    moves = one.groupBy("k").agg(F.count("bp").alias("nb"), F.count("ap").alias("na"), F.collect_list("bp").alias("was"), F.collect_list("ap").alias("now"))
+    single = (F.col("nb") == 1) & (F.col("na") == 1)
+    renamed = moves.where(single).select(F.lit("rename").alias("op"), F.col("now")[0].alias("path"), F.col("was")[0].alias("old_path"))
+    rest = moves.where(~single)
+    added = rest.select(F.lit("add").alias("op"), F.explode("now").alias("path"), F.lit(None).cast("string").alias("old_path"))
+    removed = rest.select(F.lit("remove").alias("op"), F.explode("was").alias("path"), F.lit(None).cast("string").alias("old_path"))
+    return modified.unionByName(renamed).unionByName(added).unionByName(removed)
+
+
 def by_type(df: DataFrame, column: str, *kinds: str) -> DataFrame:
     """Messages of some types."""
     return df.filter(F.col(column).isin(*kinds))

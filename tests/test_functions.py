@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from brindle.functions import arrays, convert, dates, expr, hashes, jsons, maths, regexes, strings
 from brindle.sources import files, formats
+from brindle.sources.writers import ENCODERS
 from brindle.streaming import events
 
 L = F.lit
@@ -355,3 +356,33 @@ def test_unknown_keywords_raise():
             jsons.valid(F.lit("1"), bad)
     with pytest.raises(ValueError):
         jsons.valid(F.lit("1"), {"$ref": "http://x/y"})
+
+
+def test_safe_patterns():
+    for p in ("a+b*", "[a+]+", "(?:x|y)+?", r"\d{2}", "[]a]+", "(?i)abc", r"a\+\+"):
+        assert regexes.safe(p) == p
+    for p in (r"(a)\1", "(?=x)", "(?!x)", "(?<=x)", "(?>x)", "a++", r"\k<n>"):
+        with pytest.raises(ValueError):
+            regexes.safe(p)
+
+
+def test_schema_declarations():
+    xs = b'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r"><xs:complexType><xs:sequence><xs:element ref="a" minOccurs="0" maxOccurs="unbounded"/></xs:sequence><xs:attribute name="k" use="required" type="xs:int"/></xs:complexType></xs:element><xs:simpleType name="c"><xs:restriction base="xs:string"><xs:enumeration value="x"/><xs:enumeration value="y"/></xs:restriction></xs:simpleType></xs:schema>'
+    assert list(formats.xsd_rows(xs)) == [
+        (0, "element", "r", "complex", 1, 1, []), (1, "complexType", None, None, 1, 1, []), (2, "element", "a", None, 0, None, []), (2, "attribute", "k", "xs:int", 1, 1, []), (0, "simpleType", "c", "xs:string", 1, 1, ["x", "y"]),
+    ]
+
+
+@pytest.mark.parametrize("name", sorted(ENCODERS))
+def test_written_files_are_read(spark, tmp_path, name):
+    """Empty tables give no file; others come back in as many files as their rows need."""
+    kinds = {"gedcom": "level int, id string, tag string, value string", "zip": "name string, content binary", "tar": "name string, content binary", "grid": "row int, col int, value double", "shapefile": "x double, y double"}
+    made = {"gedcom": [(0, "@A@", "INDI", "v")], "zip": [("a", b"x")], "tar": [("a", b"x")], "grid": [(0, 0, 1.5)], "shapefile": [(1.0, 2.0)]}
+    df = spark.createDataFrame(made.get(name, [(1, 2.5)]) * 5, kinds.get(name, "a long, b double")).coalesce(1)
+    files.write(df, str(tmp_path / "f"), name, rows=2)
+    assert len(list((tmp_path / "f").glob("part-*"))) == 3
+    assert files.read(spark, str(tmp_path / "f"), name, glob="part-*").count() > 0
+    known = files.identify(next((tmp_path / "f").glob("part-*")).read_bytes())
+    assert known.name in (name, "zip") if known else name == "gedcom"  # no header line here
+    files.write(df.where("false"), str(tmp_path / "e"), name)
+    assert not list((tmp_path / "e").glob("part-*")) or files.read(spark, str(tmp_path / "e"), name, glob="part-*").count() == 0
