@@ -45,6 +45,8 @@ SENT = 1_000_000
 CACHE = 200_000
 #: Pairs of a seed's places, and cells of words on diagonals, that are held at once.
 PAIRS, CELLS = 1 << 20, 1 << 21
+#: Items of a task: many small tasks would each keep a worker.
+ITEMS = 20_000
 #: Words whose windows are hashed at once.
 _GROUP = 200_000
 #: Signs of Chinese, Japanese, Thai, Lao, Burmese, Khmer and Tibetan, which put no spaces between words.
@@ -120,7 +122,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
         made = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), _HITS), strict=True)]
         return pa.RecordBatch.from_arrays([b.column(key).take(rows), b.column("item_id").take(rows), *made], names=["item", "item_id", "need", "n", "words", "seeds"])
 
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().withColumn(key, F.monotonically_increasing_id())
+    rows = cut(benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().withColumn(key, F.monotonically_increasing_id()))
+    rows = rows.coalesce(rows.count() // ITEMS + 1)
     return cut(map_arrow(rows, run, f"item long, item_id {kind}, need int, n int, words binary, seeds {_HITS_SQL}"))
 
 
@@ -156,7 +159,7 @@ def _filter(items: DataFrame) -> tuple[np.ndarray, int, list[int]]:
         at = np.concatenate([np.zeros(0, np.int64), *_probes(b.column("hash").to_numpy(), bits)])
         return pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.uint64(1) << (at & 63).astype(np.uint64)).cast(pa.int64(), safe=False)], names=["word", "bit"])
 
-    words = map_arrow(seeds.select("hash"), run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = map_arrow(seeds.select("hash").coalesce(sum(counts.values()) // PAIRS + 1), run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out, bits, sorted(counts)
@@ -309,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, extra: list[str] | None
         return pa.RecordBatch.from_arrays([*same, agree, b.column("n").take(rows), first, end], names=[*extra, "item_id", "n_agree", "item_words", "first_word", "end_word"])
 
     schema = "".join(f"{c} {kinds[c]}, " for c in extra) + f"item_id {item_kind}, n_agree int, item_words int, first_word int, end_word int"
-    return map_arrow(_candidates(docs, _items(benchmark), extra).select(*extra, "item_id", "text_words", "low", "words", "need", "n", "hits"), run, schema)
+    return map_arrow(cut(_candidates(docs, _items(benchmark), extra).select(*extra, "item_id", "text_words", "low", "words", "need", "n", "hits")), run, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
