@@ -45,6 +45,8 @@ SENT = 1_000_000
 CACHE = 200_000
 #: Pairs of a seed's places, and cells of words on diagonals, that are held at once.
 PAIRS, CELLS = 1 << 20, 1 << 21
+#: So many seeds, some 60 bytes each, are broadcast; more are joined by a shuffle.
+FEW_SEEDS = 200_000
 #: Items of a task: many small tasks would each keep a worker.
 ITEMS = 20_000
 #: Words whose windows are hashed at once.
@@ -149,8 +151,8 @@ def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield ((u * _MIX[k]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _filter(items: DataFrame) -> tuple[np.ndarray, int, list[int]]:
-    """The Bloom filter of all seeds, its bits as a power of 2, and the masks in use. The bits are gathered as words of 64 by the executors."""
+def _filter(items: DataFrame) -> tuple[np.ndarray, int, dict[int, int]]:
+    """The Bloom filter of all seeds, its bits as a power of 2, and the number of seeds of each mask in use. The bits are gathered as words of 64 by the executors."""
     seeds = items.select(F.explode("seeds").alias("s")).select("s.mask", "s.hash").distinct()
     counts = {r.mask: r["count"] for r in seeds.groupBy("mask").count().collect()}  # a few masks
     bits = min(FILTER_MOST, max(10, (sum(counts.values()) << FILTER_SHARE).bit_length()))
@@ -162,13 +164,14 @@ def _filter(items: DataFrame) -> tuple[np.ndarray, int, list[int]]:
     words = map_arrow(seeds.select("hash").coalesce(sum(counts.values()) // PAIRS + 1), run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out, bits, sorted(counts)
+    return out, bits, counts
 
 
 def _candidates(docs: DataFrame, items: DataFrame, extra: list[str]) -> DataFrame:
     """A row for each document and item that share a seed: item, the extra columns of docs, and `hits`, the places of each seed in both."""
     spark = docs.sparkSession
-    found, bits, masks = _filter(items)
+    found, bits, counts = _filter(items)
+    masks = sorted(counts)
     sent = spark.sparkContext.broadcast(found)  # 2^FILTER_MOST bits at most
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -205,7 +208,8 @@ def _candidates(docs: DataFrame, items: DataFrame, extra: list[str]) -> DataFram
     met = cut(map_arrow(part, run, "row long, " + "".join(f"{c} {kinds[c]}, " for c in extra) + f"size int, text_words binary, hits {_HITS_SQL}"))
     ours = met.select("row", F.explode("hits").alias("h")).select("row", "h.mask", "h.hash", F.col("h.at").alias("at"))
     theirs = items.select("item", F.explode("seeds").alias("s")).select("item", "s.mask", "s.hash", F.col("s.at").alias("place"))
-    pairs = ours.join(theirs, ["mask", "hash"]).groupBy("row", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"))
+    small = theirs.count() <= FEW_SEEDS
+    pairs = ours.join(F.broadcast(theirs) if small else theirs, ["mask", "hash"]).groupBy("row", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"))
     least = lambda c: F.array_min(F.transform("hits", lambda x: F.array_min(x[c])))
     most = lambda c: F.array_max(F.transform("hits", lambda x: F.array_max(x[c])))
     both = pairs.join(met.drop("hits"), "row").join(items.drop("seeds"), "item")
