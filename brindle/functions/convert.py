@@ -81,14 +81,12 @@ def default_registry() -> Registry:
     r.operation("WildCard", strings.glob_match)
     r.conversion("string", "crc32", hashes.crc32)
     r.conversion("binary", "crc32", hashes.crc32)
-    r.conversion("crc32", "long", lambda c: c)
     r.conversion("long", "boolean", lambda c: c != 0)
     r.conversion("double", "long", lambda c: c.cast("long"))
     r.conversion("boolean", "string", lambda c: c.cast("string"))
     r.conversion("string", "guid", strings.parse_guid)
     r.conversion("date", "timestamp", lambda c: c.cast("timestamp"))
     r.conversion("timestamp", "micros", dates.micros)
-    r.conversion("micros", "long", lambda c: c)
     r.conversion("timestamp", "filetime", dates.to_filetime)
     r.conversion("filetime", "timestamp", dates.from_filetime)
     r.conversion("string", "long", strings.parse_int)

@@ -138,7 +138,7 @@ def box_mean(spark, d):
     return windows.box_average(_grid(spark, d), 3, 3).select("i", "j", F.round("mean", 7).alias("mean"))
 
 
-@query(f"SELECT i // 2 i, j // 2 j, round(avg(v), 7) v FROM {_GRID} GROUP BY 1, 2")
+@query(f"SELECT (i // 2)::BIGINT i, (j // 2)::BIGINT j, round(avg(v), 7) v FROM {_GRID} GROUP BY 1, 2")
 def halved_grid(spark, d):
     return windows.halve(_grid(spark, d)).select("i", "j", F.round("v", 7).alias("v"))
 
