@@ -112,7 +112,8 @@ def _entries(fp: Column) -> list[tuple[Column, Column, Column]]:
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose transitive closure is that of all pairs within DISTANCE bits.
 
-    fps has one column fp without repeats.
+    fps has one column fp without repeats. Where no key is crowded nothing meets
+    at points; else pairs and points are written apart, each by a plan of its own.
     """
     fp = F.col("fp")
     index = fps.select("fp", F.explode(F.array(*[F.struct(k.alias("key"), r.alias("rest")) for k, _, r in _entries(fp)])).alias("e")).select("fp", "e.key", "e.rest")
@@ -124,17 +125,21 @@ def links(fps: DataFrame) -> DataFrame:
 
     probe = fps.select("fp", F.explode(F.array(*[F.struct(k.alias("key"), r.alias("rest"), cleared(b).alias("flips")) for k, b, r in _entries(fp)])).alias("e"))
     probe = probe.select("fp", "e.key", "e.rest", F.explode("e.flips").alias("flip")).select("fp", F.col("key").bitwiseXOR(F.col("flip")).alias("key"), "rest", "flip")
-    crowded = index.groupBy("key").count().where(F.col("count") > CROWD).select("key")
+    crowded = cut(index.groupBy("key").count().where(F.col("count") > CROWD).select("key"))
+    any_crowd = not crowded.isEmpty()
 
     # pairwise, at most CROWD for each look-up
-    few = index.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("a"))
+    few = (index.join(crowded, "key", "left_anti") if any_crowd else index).select("key", F.col("fp").alias("a"))
     differ = F.col("a").bitwiseXOR(F.col("fp"))
     start = F.shiftright("key", 32).cast("int")
     chain = [F.bit_count(_segment(differ, i + 1)) + F.bit_count(_segment(differ, i + 2)) for i in range(4)]
     third = F.when(start == 0, chain[0]).when(start == 1, chain[1]).when(start == 2, chain[2]).otherwise(chain[3])
     p = probe.select(F.col("key").alias("k"), "fp", "flip")
     near = (F.col("key") == F.col("k")) & ((F.col("flip") != 0) | (F.col("a") < F.col("fp"))) & (third <= 2) & (F.bit_count(differ) <= DISTANCE)
-    pairs = few.join(p, near).select("a", F.col("fp").alias("b"))
+    pairs = few.join(p, near).select(F.greatest("a", "fp").alias("u"), F.least("a", "fp").alias("v")).distinct()
+    if not any_crowd:
+        return pairs
+    pairs = cut(pairs)
 
     # at points of the other half
     one = [0, *[1 << j for j in range(32)]]
@@ -146,7 +151,7 @@ def links(fps: DataFrame) -> DataFrame:
     other = probe.where(F.col("flip") != 0).join(crowded, "key", "left_semi").select("key", "fp", "rest", F.explode(lits(one)).alias("m")).select("key", F.col("rest").bitwiseXOR(F.col("m")).alias("point"), "fp", F.lit(0).alias("hub"))
     met = at.unionByName(other).groupBy("key", "point").agg(F.min(F.when(F.col("hub") == 1, F.col("fp"))).alias("a"), F.collect_set("fp").alias("all"))
     stars = met.where(F.col("a").isNotNull() & (F.size("all") > 1)).select("a", F.explode("all").alias("b")).where("a != b")
-    return pairs.unionByName(stars).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    return pairs.unionByName(cut(stars.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), crowded)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

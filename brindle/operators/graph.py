@@ -13,33 +13,37 @@ SALTS = 16
 HUB_LEAST, HUB_SHARE = 1000, 1e-4
 
 
-def with_least(rows: DataFrame, n_edges: int) -> DataFrame:
-    """rows (u, v) with m, the least of u and all its v. Only hubs are salted."""
+def with_least(rows: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v) with m, the least of u and all its v, and the work table that they are joined with. Only hubs are salted."""
     limit = max(HUB_LEAST, int(n_edges * HUB_SHARE))
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+    least = cut(least.select("u", F.least("u", "m").alias("m"), (F.col("d") > limit).alias("hub")))
+    if least.where("hub").isEmpty():
+        return rows.join(least.select("u", "m"), "u"), least
     salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), F.col("d") > limit)
-    least = least.toDF("u", "m", "hub")
     hubs = F.broadcast(least.where("hub").select(F.col("u").alias("h")))  # at most 2 / HUB_SHARE rows
     salt = F.when(F.col("h").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(hubs, F.col("u") == F.col("h"), "left").select("u", "v", salt.alias("s"))
-    return dealt.join(least.select("u", "m", F.explode(F.when(F.col("hub"), salts).otherwise(F.array(F.lit(0)))).alias("s")), ["u", "s"])
+    return dealt.join(least.select("u", "m", F.explode(F.when(F.col("hub"), salts).otherwise(F.array(F.lit(0)))).alias("s")), ["u", "s"]), least
 
 
 def star_components(edges: DataFrame) -> DataFrame:
     """node and root, its smallest node, for the connected components of edges (u, v); nodes without an edge are absent.
 
     Large-star and small-star rounds in turn until no edge changes, which is
-    certain to come; each is written and the one before removed.
+    certain to come. Every half of a round is written, so that no plan grows
+    beyond one join, which the driver must plan anew with each of its stages,
+    and what came before is removed.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     before = n = None
     while True:
         n = e.count() if n is None else n
-        both = e.select("u", "v").union(e.select("v", "u"))
-        large = with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        both, least = with_least(e.select("u", "v").union(e.select("v", "u")), n)
+        large = cut(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), e, least)
         ends = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
-        small = with_least(large, n).select(ends).select("x.*")
-        e = cut(small.where("u != v").distinct(), e)
+        small, least = with_least(large, n)
+        e = cut(small.select(ends).select("x.*").where("u != v").distinct(), large, least)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brindle.llm import bpe, decontam, htmlextract, langid, quality, queries, rules, sharding, simhash, tokencount, urlfilter
+from brindle.operators import graph
+from brindle.operators.work import cut
 
 PATH = queries.vocab_path()
 EDGE = "doc_id long, text string, lang string, source string, n_chars long, score int, fp string, tokens int, `__hash` int"
@@ -433,6 +435,28 @@ def test_links_find_all_components(spark, monkeypatch, crowd):
     assert pairs(mine) == pairs(want)
 
 
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_plans_of_links_and_components_stay_small(spark, monkeypatch, hub):
+    joins = []
+
+    def counted(df, *spent):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df, *spent)
+
+    for m in (graph, simhash):
+        monkeypatch.setattr(m, "cut", counted)
+    monkeypatch.setattr(graph, "HUB_LEAST", hub)
+    rng = random.Random(hub)
+    fps = {0, *(1 << k for k in range(30)), *(rng.getrandbits(63) for _ in range(60))}
+    fps |= {x ^ (1 << k) for x in list(fps)[40:] for k in (3, 17)}
+    order = sorted(fps)
+    df = spark.createDataFrame([(x,) for x in order], "fp long").repartition(3)
+    got = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    mine, want = [got.get(x, x) for x in order], [order[c] for c in plain_components(order)]
+    assert mine == want
+    assert len(joins) > 4 and max(joins) <= 2
+
+
 def test_simhash_edges(spark, edge, none):
     got = sorted(((r.doc_id or 0), r.fingerprint, r.component_id) for r in simhash.near_duplicates(edge).collect())
     assert len(got) == len(ROWS) and [g[2] for g in got if g[0] in (1, 2)] == [1, 1] and [g[2] for g in got if g[0] == 3] == [3, 3]
