@@ -156,7 +156,7 @@ def similar(docs: DataFrame, sets: DataFrame) -> DataFrame:
     x = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(many.select("set_id")))
 
     both = pairs.join(x.select(F.col("set_id").alias("a"), "x"), "a").join(x.select(F.col("set_id").alias("b"), F.col("x").alias("y")), "b")
-    found = map_arrow(both.select("a", "b", "x", "y"), _confirm, "a long, b long")
+    found = cut(map_arrow(both.select("a", "b", "x", "y"), _confirm, "a long, b long"), pairs)
 
     halves = F.greatest(F.ceil(F.col("total") / HALF_SHINGLES), F.ceil(F.col("m") / HALF_SETS)).cast("long")
     dealt = many.withColumn("c", halves).withColumn("i", F.pmod(F.xxhash64("set_id"), F.col("c")))

@@ -92,7 +92,8 @@ def _similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
     same = prints.where("n > 0").select("set_id", "fp").distinct().join(of, "set_id").select(F.col("fp").alias("u"), F.col("own").alias("v"))
     pairs = cut(shingles.similar(docs, sets.select("set_id", "n", "keys")))
     a, b = of.toDF("a", "u"), of.toDF("b", "v")
-    return same.unionByName(pairs.join(a, "a").join(b, "b").select("u", "v")).where("u != v").distinct()
+    linked = cut(pairs.join(a, "a").join(b, "b").select("u", "v").distinct(), pairs)
+    return same.unionByName(linked).where("u != v").distinct()
 
 
 def _segment(fp: Column, i: int) -> Column:

@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import bpe, decontam, htmlextract, langid, quality, queries, rules, sharding, simhash, tokencount, urlfilter
+from brindle.llm import bpe, decontam, htmlextract, langid, quality, queries, rules, sharding, shingles, simhash, tokencount, urlfilter
 from brindle.operators import graph
 from brindle.operators.work import cut
 
@@ -457,6 +457,19 @@ def test_plans_of_links_and_components_stay_small(spark, monkeypatch, hub):
     assert len(joins) > 4 and max(joins) <= 2
 
 
+def test_plans_of_near_dedup_stay_small(spark, monkeypatch, docs):
+    joins = []
+
+    def counted(df, *spent):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df, *spent)
+
+    for m in (graph, simhash, shingles):
+        monkeypatch.setattr(m, "cut", counted)
+    assert 0 < simhash.keep_one(docs).count() < docs.count()
+    assert max(joins) <= 2
+
+
 def test_simhash_edges(spark, edge, none):
     got = sorted(((r.doc_id or 0), r.fingerprint, r.component_id) for r in simhash.near_duplicates(edge).collect())
     assert len(got) == len(ROWS) and [g[2] for g in got if g[0] in (1, 2)] == [1, 1] and [g[2] for g in got if g[0] == 3] == [3, 3]
