@@ -151,6 +151,25 @@ def test_quality(spark, data, docs):
     assert sum(r.predicted == r.quality for r in held) >= 0.85 * len(held)
 
 
+def test_quality_fits_on_all_labelled_rows(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(30_000):
+        y = int(rng.random() < 0.8)
+        words = rng.choices("river stone light above winter garden".split(), k=rng.randint(5, 12))
+        words += rng.choices(["#$%", "XX", "&&"], k=rng.randint(0, 2) if y else rng.randint(1, 6))
+        rows.append((i, " ".join(words), y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    m = quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    mine = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x, y = np.array([quality.features(r[1].encode()) for r in mine]), np.array([r[2] for r in mine])
+    low = int((m.latent(np.rint(x * quality.UNIT) / quality.UNIT) < m.cut).sum())
+    ties = int((m.latent(np.rint(x * quality.UNIT) / quality.UNIT) == m.cut).sum())
+    assert len(mine) > 20_000 and low <= (y == 0).sum() <= low + ties  # the quantile of them all
+    same = quality.fit(x, y)
+    assert np.allclose(m.weight, same.weight, atol=1e-2) and np.allclose(m.mean, x.mean(0), atol=1e-5)
+
+
 def test_quality_edges(spark, edge, none):
     lab = spark.createDataFrame([(1, 0, None), (3, 1, 0), (3, None, 1), (None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     m = quality.train(edge, lab)
