@@ -102,9 +102,12 @@ def files_ods(spark, d):
 
 @query("SELECT p_partkey, p_retailprice FROM part")
 def files_matlab(spark, d):
-    got = _back(spark, table(spark, d, "part").select(C("p_partkey").cast("double").alias("k"), "p_retailprice").coalesce(1), "matlab", 1)
+    """Two variables for each file, as many files as the rows need."""
+    path = work_dir(spark)
+    files.write(table(spark, d, "part").select(C("p_partkey").cast("double").alias("k"), "p_retailprice").repartition(2), path, "matlab")
+    got = files.read(spark, path, "matlab", glob="part-*", with_path=True)
     values = F.from_json(F.get_json_object("value", "$.values"), "array<double>")
-    v = got.groupBy().agg(F.max(F.when(C("name") == "k", values)).alias("k"), F.max(F.when(C("name") == "p_retailprice", values)).alias("v"))
+    v = got.groupBy("file").agg(F.max(F.when(C("name") == "k", values)).alias("k"), F.max(F.when(C("name") == "p_retailprice", values)).alias("v"))
     return v.select(F.explode(F.arrays_zip("k", "v")).alias("x")).select(C("x.k").cast("long").alias("p_partkey"), C("x.v").alias("p_retailprice"))
 
 
