@@ -146,20 +146,20 @@ def similar(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     band = sets.select("set_id", "n", F.explode("keys").alias("key"))
     shared = band.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
-    cand = cut(band.join(shared, "key"))
+    cand = cut(band.join(shared.hint("merge"), "key"))
     few = cand.where(F.col("m") <= CROWD)
     one, two = (few.select("key", F.col("set_id").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
     p, q = SIMILAR
     close = q * F.least("na", "nb") >= p * F.greatest("na", "nb")
-    pairs = cut(one.join(two, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct())
+    pairs = cut(one.join(two.hint("merge"), "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct())
     many = cand.where(F.col("m") > CROWD)
     x = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(many.select("set_id")))
 
-    both = pairs.join(x.select(F.col("set_id").alias("a"), "x"), "a").join(x.select(F.col("set_id").alias("b"), F.col("x").alias("y")), "b")
+    both = pairs.join(x.select(F.col("set_id").alias("a"), "x").hint("merge"), "a").join(x.select(F.col("set_id").alias("b"), F.col("x").alias("y")).hint("merge"), "b")
     found = cut(map_arrow(both.select("a", "b", "x", "y"), _confirm, "a long, b long"), pairs)
 
     halves = F.greatest(F.ceil(F.col("total") / HALF_SHINGLES), F.ceil(F.col("m") / HALF_SETS)).cast("long")
     dealt = many.withColumn("c", halves).withColumn("i", F.pmod(F.xxhash64("set_id"), F.col("c")))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).where("c = 1 or i != j")
-    block = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "set_id").join(x, "set_id")
+    block = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "set_id").join(x.hint("merge"), "set_id")
     return found.unionByName(block.groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long"))

@@ -89,10 +89,10 @@ def _similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Links (u, v) between fingerprints of texts whose 5-word shingles are similar or the same."""
     sets = cut(prints.where("n > 0").dropDuplicates(["set_id"]).select("set_id", "n", "fp", "keys"))
     of = sets.select("set_id", F.col("fp").alias("own"))
-    same = prints.where("n > 0").select("set_id", "fp").distinct().join(of, "set_id").select(F.col("fp").alias("u"), F.col("own").alias("v"))
+    same = prints.where("n > 0").select("set_id", "fp").distinct().join(of.hint("merge"), "set_id").select(F.col("fp").alias("u"), F.col("own").alias("v"))
     pairs = cut(shingles.similar(docs, sets.select("set_id", "n", "keys")))
     a, b = of.toDF("a", "u"), of.toDF("b", "v")
-    linked = cut(pairs.join(a, "a").join(b, "b").select("u", "v").distinct(), pairs)
+    linked = cut(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("u", "v").distinct(), pairs)
     return same.unionByName(linked).where("u != v").distinct()
 
 
@@ -115,6 +115,8 @@ def links(fps: DataFrame) -> DataFrame:
 
     fps has one column fp without repeats. Where no key is crowded nothing meets
     at points; else pairs and points are written apart, each by a plan of its own.
+    Joins are merges by hint: exploded rows are many times what Spark takes them
+    for, and broadcasting them would fill the driver.
     """
     fp = F.col("fp")
     index = fps.select("fp", F.explode(F.array(*[F.struct(k.alias("key"), r.alias("rest")) for k, _, r in _entries(fp)])).alias("e")).select("fp", "e.key", "e.rest")
@@ -130,14 +132,14 @@ def links(fps: DataFrame) -> DataFrame:
     any_crowd = not crowded.isEmpty()
 
     # pairwise, at most CROWD for each look-up
-    few = (index.join(crowded, "key", "left_anti") if any_crowd else index).select("key", F.col("fp").alias("a"))
+    few = (index.join(crowded.hint("merge"), "key", "left_anti") if any_crowd else index).select("key", F.col("fp").alias("a"))
     differ = F.col("a").bitwiseXOR(F.col("fp"))
     start = F.shiftright("key", 32).cast("int")
     chain = [F.bit_count(_segment(differ, i + 1)) + F.bit_count(_segment(differ, i + 2)) for i in range(4)]
     third = F.when(start == 0, chain[0]).when(start == 1, chain[1]).when(start == 2, chain[2]).otherwise(chain[3])
     p = probe.select(F.col("key").alias("k"), "fp", "flip")
     near = (F.col("key") == F.col("k")) & ((F.col("flip") != 0) | (F.col("a") < F.col("fp"))) & (third <= 2) & (F.bit_count(differ) <= DISTANCE)
-    pairs = few.join(p, near).select(F.greatest("a", "fp").alias("u"), F.least("a", "fp").alias("v")).distinct()
+    pairs = few.join(p.hint("merge"), near).select(F.greatest("a", "fp").alias("u"), F.least("a", "fp").alias("v")).distinct()
     if not any_crowd:
         return pairs
     pairs = cut(pairs)
@@ -146,10 +148,10 @@ def links(fps: DataFrame) -> DataFrame:
     one = [0, *[1 << j for j in range(32)]]
     two = [(1 << i) | (1 << j) for i, j in combinations(range(32), 2)]
     lits = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    own = index.join(crowded, "key", "left_semi")
+    own = index.join(crowded.hint("merge"), "key", "left_semi")
     seen = F.explode(F.concat(F.transform(lits(one), lambda m: F.struct(m.alias("m"), F.lit(1).alias("hub"))), F.transform(lits(two), lambda m: F.struct(m.alias("m"), F.lit(0).alias("hub")))))
     at = own.select("key", "fp", "rest", seen.alias("s")).select("key", F.col("rest").bitwiseXOR(F.col("s.m")).alias("point"), "fp", F.col("s.hub").alias("hub"))
-    other = probe.where(F.col("flip") != 0).join(crowded, "key", "left_semi").select("key", "fp", "rest", F.explode(lits(one)).alias("m")).select("key", F.col("rest").bitwiseXOR(F.col("m")).alias("point"), "fp", F.lit(0).alias("hub"))
+    other = probe.where(F.col("flip") != 0).join(crowded.hint("merge"), "key", "left_semi").select("key", "fp", "rest", F.explode(lits(one)).alias("m")).select("key", F.col("rest").bitwiseXOR(F.col("m")).alias("point"), "fp", F.lit(0).alias("hub"))
     met = at.unionByName(other).groupBy("key", "point").agg(F.min(F.when(F.col("hub") == 1, F.col("fp"))).alias("a"), F.collect_set("fp").alias("all"))
     stars = met.where(F.col("a").isNotNull() & (F.size("all") > 1)).select("a", F.explode("all").alias("b")).where("a != b")
     return pairs.unionByName(cut(stars.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), crowded)).distinct()
@@ -165,7 +167,7 @@ def _groups(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
     nodes = prints.select("fp").distinct()
     edges = links(nodes)
     roots = components(edges if more is None else edges.unionByName(more))
-    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots.hint("merge"), nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -180,10 +182,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = cut(fingerprints(docs))
     ids = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    group = cut(_groups(prints).join(ids, "fp"))
+    group = cut(_groups(prints).join(ids.hint("merge"), "fp"))
     first = group.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = cut(group.join(first, "root").select("fp", "component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = cut(group.join(first.hint("merge"), "root").select("fp", "component_id"))
+    return prints.join(of.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -200,8 +202,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = cut(_prints_and_sets(docs))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("place"))
     ids = prints.groupBy("fp").agg(F.min(key).alias("k"))
-    first = cut(_groups(prints, _similar(docs, prints)).join(ids, "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.place").alias("kept")))
+    first = cut(_groups(prints, _similar(docs, prints)).join(ids.hint("merge"), "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.place").alias("kept")))
     at = unused(docs, "__place")
-    gone = cut(prints.join(first, F.col("place") == F.col("kept"), "left_anti").select(F.col("place").alias(at)))
+    gone = cut(prints.join(first.hint("merge"), F.col("place") == F.col("kept"), "left_anti").select(F.col("place").alias(at)))
     tagged = docs.withColumn(at, F.monotonically_increasing_id())
     return tagged.join(F.broadcast(gone) if gone.count() <= SENT else gone, at, "left_anti").drop(at)

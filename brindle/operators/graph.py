@@ -14,17 +14,17 @@ HUB_LEAST, HUB_SHARE = 1000, 1e-4
 
 
 def with_least(rows: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
-    """rows (u, v) with m, the least of u and all its v, and the work table that they are joined with. Only hubs are salted."""
+    """rows (u, v) with m, the least of u and all its v, and the work table that they are joined with, by merge so that the driver holds none of it. Only hubs are salted."""
     limit = max(HUB_LEAST, int(n_edges * HUB_SHARE))
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
     least = cut(least.select("u", F.least("u", "m").alias("m"), (F.col("d") > limit).alias("hub")))
     if least.where("hub").isEmpty():
-        return rows.join(least.select("u", "m"), "u"), least
+        return rows.join(least.select("u", "m").hint("merge"), "u"), least
     salts = F.array(*[F.lit(i) for i in range(SALTS)])
     hubs = F.broadcast(least.where("hub").select(F.col("u").alias("h")))  # at most 2 / HUB_SHARE rows
     salt = F.when(F.col("h").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(hubs, F.col("u") == F.col("h"), "left").select("u", "v", salt.alias("s"))
-    return dealt.join(least.select("u", "m", F.explode(F.when(F.col("hub"), salts).otherwise(F.array(F.lit(0)))).alias("s")), ["u", "s"]), least
+    return dealt.join(least.select("u", "m", F.explode(F.when(F.col("hub"), salts).otherwise(F.array(F.lit(0)))).alias("s")).hint("merge"), ["u", "s"]), least
 
 
 def star_components(edges: DataFrame) -> DataFrame:
