@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import simhash
+from brindle.operators import joins
 
 
 def plan(df):
@@ -13,3 +14,15 @@ def plan(df):
 def test_fingerprint_links_broadcast_nothing(spark):
     got = simhash.links(spark.range(500).select(F.xxhash64("id").alias("fp")))
     assert "Broadcast" not in plan(got)
+
+
+def test_points_within_broadcast_nothing(spark):
+    p = spark.range(300).select(F.col("id").alias("a"), (F.col("id") % 50).alias("x"), (F.col("id") / 4).alias("y"))
+    assert "Broadcast" not in plan(joins.within(p, p.toDF("b", "u", "v"), [("x", "u"), ("y", "v")], 2.0))
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_bounds_by_frames_from_the_first_row(spark, by):
+    """A frame up to the last row is evaluated anew for each row, in the square of a range's rows."""
+    p = spark.range(300).select(F.col("id").alias("t"), (F.col("id") % 3).alias("g"))
+    assert "unboundedfollowing" not in plan(joins.lower_bound(p, p.select("g", F.col("t").alias("k")), "t", "k", by)).lower()
