@@ -28,6 +28,11 @@ def _parts(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
 
 
+def _dealt(df):
+    """df over all cores: a small file of many rows is read by one task."""
+    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism), "p_partkey")
+
+
 _PART = "SELECT p_partkey, p_name, p_size::BIGINT p_size, p_retailprice FROM part"
 
 
@@ -247,7 +252,7 @@ def flatbuffer_parts(spark, d):
         for b in batches:
             yield pd.DataFrame({"path": ["p"] * len(b), "content": [_flat_part(*r) for r in b.itertuples(index=False, name=None)]})
 
-    got = files.parse_files(_parts(spark, d).mapInPandas(made, "path string, content binary"), "flat_part")
+    got = files.parse_files(_dealt(_parts(spark, d)).mapInPandas(made, "path string, content binary"), "flat_part")
     j, v = C("row"), jsons.get
     return got.select(v(j, "key", "long").alias("key"), v(j, "name").alias("name"), v(j, "size", "long").alias("size"), v(j, "price", "double").alias("price"), v(j, "tags/0").alias("tag"), v(j, "inner/low", "long").alias("low"), v(j, "inner/high", "long").alias("high"), v(j, "gone").isNull().alias("gone"))
 

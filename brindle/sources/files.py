@@ -29,6 +29,9 @@ class Handler:
     check: Callable[[bytes], int] = lambda b: 0
 
 
+#: Bytes of small files whose rows are held together.
+HELD_BYTES = 4_000_000
+
 HANDLERS: dict[str, Handler] = {}
 
 
@@ -61,6 +64,26 @@ def read(spark: SparkSession, path: str, handler: Handler | str, glob: str | Non
     return parse_files(r.load(path).select("path", "content"), handler, with_path)
 
 
+def _rows(batches: Iterator[pd.DataFrame], parse: Parser, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of files, at most 5,000 at once; a frame costs more than a small file's rows, so that many files share one."""
+    held: list[tuple] = []
+    size = 0
+    for b in batches:
+        for p, content in zip(b["path"], b["content"], strict=True):
+            for at, row in enumerate(parse(bytes(content))):
+                held.append((p, at, *row))
+                if len(held) == 5000:
+                    yield pd.DataFrame(held, columns=["file", "ord", *names], dtype="object")
+                    held = []
+            size += len(content)
+            if held and size >= HELD_BYTES:
+                yield pd.DataFrame(held, columns=["file", "ord", *names], dtype="object")
+                held = []
+            size = size if held else 0
+    if held:
+        yield pd.DataFrame(held, columns=["file", "ord", *names], dtype="object")
+
+
 def parse_files(files: DataFrame, handler: Handler | str, with_path: bool = False) -> DataFrame:
     """Rows of files that a table holds as path and content, as read gives them."""
     h = HANDLERS[handler] if isinstance(handler, str) else handler
@@ -68,17 +91,7 @@ def parse_files(files: DataFrame, handler: Handler | str, with_path: bool = Fals
     parse = h.parse
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
-                held: list[tuple] = []
-                at = 0
-                for row in parse(bytes(content)):
-                    held.append(row)
-                    if len(held) == 5000:
-                        yield _frame(p, at, held, names)
-                        at, held = at + len(held), []
-                if held:
-                    yield _frame(p, at, held, names)
+        return _rows(batches, parse, names)
 
     out = files.mapInPandas(run, f"file string, ord long, {h.schema}")
     return out if with_path else out.drop("file")
@@ -123,13 +136,6 @@ def _value(v):
     return v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") and getattr(v, "shape", None) == () else v.tolist() if hasattr(v, "tolist") else v
 
 
-def _frame(path: str, at: int, rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names, dtype="object")
-    out.insert(0, "ord", range(at, at + len(rows)))
-    out.insert(0, "file", path)
-    return out
-
-
 def _fields(schema: str) -> list[str]:
     """A schema text cut at its outer commas."""
     out, depth, at = [], 0, 0

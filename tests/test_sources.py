@@ -1,8 +1,10 @@
 """Queries over files, on tables of more rows than one file holds."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from brindle.plans.queries import QUERIES
+from brindle.sources import files
 
 
 def parts(spark, path, n):
@@ -14,3 +16,11 @@ def parts(spark, path, n):
 def test_matlab_in_many_files(spark, tmp_path):
     got = QUERIES["files_matlab"](spark, parts(spark, tmp_path, 110_000))
     assert got.agg(F.count("*"), F.count_distinct("p_partkey"), F.count_if(F.col("p_retailprice") == F.col("p_partkey") / 4)).first() == (110_000,) * 3
+
+
+def test_small_files_share_frames():
+    many = pd.DataFrame({"path": [f"f{k}" for k in range(3000)], "content": [b"ab", b"", b"c"] * 1000})
+    got = list(files._rows(iter([many]), lambda b: ((x,) for x in b), ["x"]))
+    assert len(got) == 1 and got[0].values.tolist()[:4] == [["f0", 0, 97], ["f0", 1, 98], ["f2", 0, 99], ["f3", 0, 97]]
+    large = many.assign(content=[bytes(5001)] * 3000).head(3)
+    assert [len(x) for x in files._rows(iter([large]), lambda b: ((x,) for x in b), ["x"])] == [5000, 5000, 5000, 3]
