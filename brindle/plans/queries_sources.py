@@ -208,10 +208,9 @@ def protobuf_fields(spark, d):
         for b in batches:
             yield pd.DataFrame({"path": [str(k) for k in b.p_partkey], "content": [b"\x08" + number(k) + b"\x12" + number(len(t)) + t for k, t in zip(b.p_partkey, (x.encode() for x in b.p_name), strict=True)]})
 
-    got = files.parse_files(table(spark, d, "part").select("p_partkey", "p_name").mapInPandas(message, "path string, content binary"), "protobuf", with_path=True)
-    one = got.where("path = '/1'").select("file", C("number").alias("key"))
-    two = got.where("path = '/2'").select(C("file").alias("f"), C("bytes").cast("string").alias("name"))
-    return one.join(two, C("file") == C("f")).select("key", "name")
+    got = files.parse_files(_dealt(table(spark, d, "part").select("p_partkey", "p_name")).mapInPandas(message, "path string, content binary"), "protobuf", with_path=True)
+    key, name = F.max(F.when(C("path") == "/1", C("number"))), F.max(F.when(C("path") == "/2", C("bytes").cast("string")))
+    return got.groupBy("file").agg(key.alias("key"), name.alias("name")).select("key", "name")
 
 
 @query("SELECT n_nationkey::VARCHAR id, n_name FROM nation")

@@ -24,3 +24,9 @@ def test_small_files_share_frames():
     assert len(got) == 1 and got[0].values.tolist()[:4] == [["f0", 0, 97], ["f0", 1, 98], ["f2", 0, 99], ["f3", 0, 97]]
     large = many.assign(content=[bytes(5001)] * 3000).head(3)
     assert [len(x) for x in files._rows(iter([large]), lambda b: ((x,) for x in b), ["x"])] == [5000, 5000, 5000, 3]
+
+
+def test_messages_need_no_join(spark, tmp_path):
+    got = QUERIES["protobuf_fields"](spark, parts(spark, tmp_path, 500))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.agg(F.count("*"), F.sum("key"), F.count_if(F.col("name") == F.concat(F.lit("part "), "key"))).first() == (500, 125_250, 500)
