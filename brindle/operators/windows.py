@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import RANGE_ROWS, with_ordinal
+from .work import cut
 
 #: Rows of a block of a large group.
 BLOCK_ROWS = 50_000
@@ -135,12 +136,20 @@ def point_sample(df: DataFrame, step: int, order: list[str]) -> DataFrame:
     return with_ordinal(df, order, "__i").where(F.pmod("__i", F.lit(step)) == 0).drop("__i")
 
 
+#: Groups whose aggregates are broadcast.
+FEW_GROUPS = 50_000
+
+
 def _stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
-    """df with aggregates of each group: combined before the shuffle, then joined back, so large groups need no sort."""
+    """df with aggregates of each group: combined before the shuffle, then joined back, so large groups need no sort.
+
+    At most FEW_GROUPS groups are broadcast, so that no row moves to its group's task.
+    """
     named = [a.alias(n) for n, a in aggs.items()]
     if not by:
         return df.join(F.broadcast(df.agg(*named)), F.lit(True))  # one row
-    s = df.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(*named)
+    s = cut(df.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(*named))
+    s = F.broadcast(s) if s.count() <= FEW_GROUPS else s.hint("merge")
     return df.join(s, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]).drop(*[f"__{b}" for b in by])
 
 

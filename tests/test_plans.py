@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import simhash
-from brindle.operators import joins
+from brindle.operators import graph, joins, windows
 
 
 def plan(df):
@@ -26,3 +26,17 @@ def test_bounds_by_frames_from_the_first_row(spark, by):
     """A frame up to the last row is evaluated anew for each row, in the square of a range's rows."""
     p = spark.range(300).select(F.col("id").alias("t"), (F.col("id") % 3).alias("g"))
     assert "unboundedfollowing" not in plan(joins.lower_bound(p, p.select("g", F.col("t").alias("k")), "t", "k", by)).lower()
+
+
+def test_scaling_by_few_groups_moves_no_row(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    for got in (windows.zscore(df, "v", ["g"]), windows.rms_scale(df, "v", ["g"])):
+        assert "BroadcastHashJoin" in plan(got) and "hashpartitioning" not in plan(got)
+
+
+def test_small_components_share_a_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART_EDGES", 50)
+    e = spark.range(200).select((F.col("id") * 2).alias("src"), (F.col("id") * 2 + 1).alias("dst"))
+    got = graph.colour(e)
+    assert "__part" in plan(got)
+    assert {r.node: r.colour for r in got.collect()} == {k: k % 2 for k in range(400)}
