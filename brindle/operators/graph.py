@@ -11,6 +11,8 @@ from .work import cut
 SALTS = 16
 #: A hub has more neighbours than this, and than this share of all edges, so that there are at most 2 / HUB_SHARE hubs.
 HUB_LEAST, HUB_SHARE = 1000, 1e-4
+#: Edges of the small components that are walked together.
+PART_EDGES = 20_000
 
 
 def with_least(rows: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
@@ -154,9 +156,11 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
 
 
 def _per_component(edges: DataFrame, f, schema: str) -> DataFrame:
-    """Run f on the edges of each component, which must fit one task."""
-    comp = connected_components(edges).select(F.col("node").alias("src"), "component")
-    return edges.join(comp, "src").groupBy("component").applyInPandas(f, schema)
+    """Run f on the edges of whole components, about PART_EDGES edges at once; a component must fit one task."""
+    comp = cut(connected_components(edges).select(F.col("node").alias("src"), "component"))
+    parts = edges.count() // PART_EDGES + 1
+    part = F.pmod(F.xxhash64("component"), F.lit(parts)).alias("__part")
+    return edges.join(comp.hint("merge"), "src").select("src", "dst", part).groupBy("__part").applyInPandas(f, schema)
 
 
 def colour(edges: DataFrame) -> DataFrame:
