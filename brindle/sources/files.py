@@ -32,6 +32,9 @@ class Handler:
 #: Bytes of small files whose rows are held together.
 HELD_BYTES = 4_000_000
 
+#: Rows of a file that is written: most formats are read and written as a whole in memory.
+ROWS = 10_000
+
 HANDLERS: dict[str, Handler] = {}
 
 
@@ -97,7 +100,7 @@ def parse_files(files: DataFrame, handler: Handler | str, with_path: bool = Fals
     return out if with_path else out.drop("file")
 
 
-def write(df: DataFrame, path: str, handler: str, rows: int = 100_000) -> None:
+def write(df: DataFrame, path: str, handler: str, rows: int = ROWS) -> None:
     """Write df as files of a format, each of at most so many rows of one partition, on any file system that Spark writes.
 
     Spark's text sink puts the bytes there: each file is one line, and the line

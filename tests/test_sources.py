@@ -30,3 +30,8 @@ def test_messages_need_no_join(spark, tmp_path):
     got = QUERIES["protobuf_fields"](spark, parts(spark, tmp_path, 500))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.agg(F.count("*"), F.sum("key"), F.count_if(F.col("name") == F.concat(F.lit("part "), "key"))).first() == (500, 125_250, 500)
+
+
+def test_plist_files_are_bounded(spark, tmp_path):
+    files.write(spark.range(10_500).coalesce(1), f"{tmp_path}/out", "plist")
+    assert files.find_files(spark, f"{tmp_path}/out", "part-*").count() == 2
