@@ -27,7 +27,7 @@ from .common import map_arrow, texts
 
 #: Entries of a worker's caches of chunks, words and token pairs; at its bound a cache starts anew.
 CACHE = 600_000
-WORD_CACHE = 200_000
+WORD_CACHE = 50_000
 PAIRS = 600_000
 
 #: White space of Unicode (fixed values).

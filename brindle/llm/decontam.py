@@ -41,8 +41,8 @@ DRIFT = 4
 #: In scripts without spaces every sign is a word, and so many times as many must agree.
 NEED_SIGNS = 3
 #: Most places of overlapping documents that are broadcast, 8 bytes each; more are joined.
-SENT = 1_000_000
-CACHE = 200_000
+SENT = 200_000
+CACHE = 50_000
 #: Pairs of a seed's places, and cells of words on diagonals, that are held at once.
 PAIRS, CELLS = 1 << 20, 1 << 21
 #: So many seeds, some 60 bytes each, are broadcast; more are joined by a shuffle.
@@ -209,10 +209,10 @@ def _candidates(docs: DataFrame, items: DataFrame, extra: list[str]) -> DataFram
     ours = met.select("row", F.explode("hits").alias("h")).select("row", "h.mask", "h.hash", F.col("h.at").alias("at"))
     theirs = items.select("item", F.explode("seeds").alias("s")).select("item", "s.mask", "s.hash", F.col("s.at").alias("place"))
     small = theirs.count() <= FEW_SEEDS
-    pairs = ours.join(F.broadcast(theirs) if small else theirs, ["mask", "hash"]).groupBy("row", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"))
+    pairs = ours.join(F.broadcast(theirs) if small else theirs.hint("merge"), ["mask", "hash"]).groupBy("row", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"))
     least = lambda c: F.array_min(F.transform("hits", lambda x: F.array_min(x[c])))
     most = lambda c: F.array_max(F.transform("hits", lambda x: F.array_max(x[c])))
-    both = pairs.join(met.drop("hits"), "row").join(items.drop("seeds"), "item")
+    both = pairs.join(met.drop("hits").hint("merge"), "row").join(items.drop("seeds"), "item")
     low = F.greatest(F.lit(0), least("at") - most("place"))
     high = F.least(F.col("size"), most("at") - least("place") + F.col("n"))
     return both.withColumn("low", low).withColumn("text_words", F.substring("text_words", F.col("low") * 8 + 1, (high - F.col("low")) * 8))
@@ -329,4 +329,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = unused(docs, "__place")
     tagged = docs.withColumn(at, F.monotonically_increasing_id())
     leaks = cut(contaminated(tagged, benchmark, [at]).select(at).distinct())
-    return tagged.join(F.broadcast(leaks) if leaks.count() <= SENT else leaks, at, "left_anti").drop(at)
+    return tagged.join(F.broadcast(leaks) if leaks.count() <= SENT else leaks.hint("merge"), at, "left_anti").drop(at)

@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, l2: float = 1e-3) -> Ranker:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     mine = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.xxhash64("text").alias("h"))
-    rows = map_arrow(mine, run, f"doc_id {kind}, h long, x array<long>").join(lab, "doc_id")
+    rows = map_arrow(mine, run, f"doc_id {kind}, h long, x array<long>").join(lab.hint("merge"), "doc_id")
     rows = cut(rows.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "x")).alias("t")).select("quality", "t.x"))
     wide = [F.col("x")[k].cast("decimal(19,0)") for k in range(WIDTH)]
     got = rows.agg(F.count("*"), F.sum(1 - F.col("quality")), *[F.sum(c) for c in wide], *[F.sum(c * c) for c in wide]).first()

@@ -24,7 +24,7 @@ BANDS, ROWS = 24, 4
 CROWD = 16
 #: Shingles and sets of half a block, about.
 HALF_SHINGLES, HALF_SETS = 100_000, 400
-CACHE = 200_000
+CACHE = 50_000
 #: Bits of the map of candidates, which spares writing most other sets.
 MAP_BITS = 22
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)

@@ -35,7 +35,7 @@ SEED = 42
 #: Indexed fingerprints under one key above which they meet at points instead of pairwise.
 CROWD = 24
 #: Most places of dropped rows that are broadcast, 8 bytes each; more are joined.
-SENT = 1_000_000
+SENT = 200_000
 _BLOCK = 1 << 15
 
 
@@ -206,4 +206,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     at = unused(docs, "__place")
     gone = cut(prints.join(first.hint("merge"), F.col("place") == F.col("kept"), "left_anti").select(F.col("place").alias(at)))
     tagged = docs.withColumn(at, F.monotonically_increasing_id())
-    return tagged.join(F.broadcast(gone) if gone.count() <= SENT else gone, at, "left_anti").drop(at)
+    return tagged.join(F.broadcast(gone) if gone.count() <= SENT else gone.hint("merge"), at, "left_anti").drop(at)
