@@ -121,18 +121,25 @@ def interval_overlap(left: DataFrame, right: DataFrame, l_lo: str, l_hi: str, r_
 
     Every interval is put into the cells of `width` that it touches, cells are
     joined, and a pair is kept in the first cell both touch. `width` should be
-    near the usual length of the intervals.
+    near the usual length of the intervals. A merge join, as Spark may take the
+    exploded left side for small and broadcast it. It streams the right rows:
+    all left partners of a right row follow each other, so that Parquet keeps
+    the columns of the right side as runs and repeated partners compress.
     """
 
     def cells(df: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
         a, b = F.least(lo, hi), F.greatest(lo, hi)
         at = lambda c: F.floor(c.cast("double") / F.lit(float(width))).cast("long")
-        return df.withColumn(f"__{name}0", at(a)).withColumn(f"__{name}", F.explode(F.sequence(at(a), at(b))))
+        return df.select("*", F.posexplode(F.sequence(at(a), at(b))).alias(f"__{name}0", f"__{name}")).withColumn(f"__{name}0", F.col(f"__{name}0") == 0)
 
     a, b = cells(left, l_lo, l_hi, "l"), cells(right, r_lo, r_hi, "r")
     meets = ~((F.col(r_hi) < F.col(l_lo)) | (F.col(l_hi) < F.col(r_lo))) if not strict else (F.col(l_lo) < F.col(r_hi)) & (F.col(r_lo) < F.col(l_hi))
-    first = F.col("__l") == F.greatest("__l0", "__r0")
-    return a.join(b, (F.col("__l") == F.col("__r")) & meets & first).drop("__l", "__r", "__l0", "__r0")
+    first = F.col("__l0") | F.col("__r0")  # a cell of both is the first one if it is the first of either
+    got = b.join(a.hint("merge"), (F.col("__l") == F.col("__r")) & meets & first).drop("__l", "__r", "__l0", "__r0")
+    n, m = len(left.columns), len(right.columns)
+    got = got.toDF(*[f"__{i}" for i in range(m + n)])  # by place, as both sides may have a name
+    names = [*left.columns, *right.columns]
+    return got.select(*[F.col(f"__{(m + i) if i < n else i - n}").alias(c) for i, c in enumerate(names)])
 
 
 #: Cells of the nearest neighbour search, and points of one task's part of a cell.

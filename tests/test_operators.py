@@ -136,6 +136,18 @@ def test_interval_overlap(spark, a, b, width):
     assert got == want
 
 
+def test_interval_overlap_merges_and_keeps_partners_together(spark):
+    da = spark.range(40).selectExpr("id", "id % 7 AS lo", "id % 7 + 3 AS hi")
+    db = spark.range(50).selectExpr("id", "id % 11 AS from", "id % 11 + 2 AS to")
+    got = joins.interval_overlap(da, db, "lo", "hi", "from", "to", 4)
+    assert got.columns == ["id", "lo", "hi", "id", "from", "to"]
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted((a, a % 7, a % 7 + 3, b, b % 11, b % 11 + 2) for a in range(40) for b in range(50) if a % 7 <= b % 11 + 2 and b % 11 <= a % 7 + 3)
+    runs = 1 + sum(x[3] != y[3] for x, y in zip(rows, rows[1:]))
+    assert runs <= 2 * 50  # a right row touches two cells at most
+
+
 def test_last_wins_and_semi_keep_duplicates(spark):
     left = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
     right = spark.createDataFrame([(1, "x", 0), (1, "y", 1), (3, "z", 2)], "k2 int, v string, o int")
