@@ -90,20 +90,17 @@ def to_filetime(t: Column) -> Column:
     return (micros(t) + F.lit(FILETIME_EPOCH)) * F.lit(10)
 
 
+#: Forms of a date, that is of what stands before a T; those of less than a day have no time.
 _DATE = {
-    "day": r"^(\d{4})-?(\d{2})-?(\d{2})(?=T|\z)",
-    "ordinal": r"^(\d{4})-?(\d{3})(?=T|\z)",
-    "week": r"^(\d{4})-?W(\d{2})-?(\d)(?=T|\z)",
-    "week_only": r"^(\d{4})-?W(\d{2})\z",
-    "month": r"^(\d{4})-(\d{2})\z",
-    "year": r"^(\d{4})\z",
-    "century": r"^(\d{2})\z",
+    "day": r"^\d{4}-?\d{2}-?\d{2}\z",
+    "ordinal": r"^\d{4}-?\d{3}\z",
+    "week": r"^\d{4}-?W\d{2}-?\d\z",
+    "week_only": r"^\d{4}-?W\d{2}\z",
+    "month": r"^\d{4}-\d{2}\z",
+    "year": r"^\d{4}\z",
+    "century": r"^\d{2}\z",
 }
-_TIME = r"^[^T]*T(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?\z"
-
-
-def _int(c: Column, pattern: str, g: int) -> Column:
-    return F.regexp_extract(c, pattern, g).try_cast("int")
+_TIME = r"^\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d{1,9})?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?\z"
 
 
 def parse_iso(c: Column) -> tuple[Column, Column]:
@@ -111,33 +108,45 @@ def parse_iso(c: Column) -> tuple[Column, Column]:
 
     Calendar, ordinal (YYYY-DDD) and week (YYYY-Www-D) dates are read, with a
     time, a fraction and an offset if there are any; without an offset it is UTC.
+    One regular expression decides on a form, and its numbers are cut out by place.
     """
-    P = _DATE
-    week = lambda p, day: F.date_add(F.trunc(F.make_date(_int(c, p, 1), F.lit(1), F.lit(4)), "week"), (_int(c, p, 2) - 1) * 7 + day - 1)
-    ok_md = lambda p: _int(c, p, 2).between(1, 12)
-    day = F.when(
-        c.rlike(P["day"]),
-        F.try_to_date(F.format_string("%s-%s-%s", F.regexp_extract(c, P["day"], 1), F.regexp_extract(c, P["day"], 2), F.regexp_extract(c, P["day"], 3)), "yyyy-MM-dd"),
-    )
-    day = day.when(c.rlike(P["ordinal"]) & _int(c, P["ordinal"], 2).between(1, 366), F.date_add(F.make_date(_int(c, P["ordinal"], 1), F.lit(1), F.lit(1)), _int(c, P["ordinal"], 2) - 1))
-    day = day.when(c.rlike(P["week"]) & _int(c, P["week"], 2).between(1, 53) & _int(c, P["week"], 3).between(1, 7), week(P["week"], _int(c, P["week"], 3)))
-    day = day.when(c.rlike(P["week_only"]) & _int(c, P["week_only"], 2).between(1, 53), week(P["week_only"], F.lit(1)))
-    day = day.when(c.rlike(P["month"]) & ok_md(P["month"]), F.make_date(_int(c, P["month"], 1), _int(c, P["month"], 2), F.lit(1)))
-    day = day.when(c.rlike(P["year"]), F.make_date(_int(c, P["year"], 1), F.lit(1), F.lit(1)))
-    day = day.when(c.rlike(P["century"]) & (_int(c, P["century"], 1) > 0), F.make_date(_int(c, P["century"], 1) * 100, F.lit(1), F.lit(1)))
+    date = F.substring_index(c, "T", 1)
+    is_ = {k: date.rlike(p) for k, p in _DATE.items()}
+    digits = F.translate(date, "-W", "")
+    num = lambda text, at, n: F.substring(text, at, n).try_cast("int")
+    year = num(digits, 1, 4)
+    new_year = F.make_date(year, F.lit(1), F.lit(1))
+    two = num(digits, 5, 2)
+    week = lambda day: F.date_add(F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week"), (two - 1) * 7 + day - 1)
     timed = F.instr(c, "T") > 0
-    h, m, s = (F.coalesce(_int(c, _TIME, g), F.lit(0)) for g in (1, 2, 3))
-    frac = F.rpad(F.regexp_extract(c, _TIME, 4), 6, "0").try_cast("long")
-    zone = F.regexp_extract(c, _TIME, 5)
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    shift = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    day = F.when(is_["day"], F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date"))
+    day = day.when(is_["ordinal"] & num(digits, 5, 3).between(1, 366), F.date_add(new_year, num(digits, 5, 3) - 1))
+    day = day.when(is_["week"] & two.between(1, 53) & num(digits, 7, 1).between(1, 7), week(num(digits, 7, 1)))
+    short = F.when(is_["year"], new_year)
+    short = short.when(is_["month"] & two.between(1, 12), F.make_date(year, two, F.lit(1)))
+    short = short.when(is_["week_only"] & two.between(1, 53), week(F.lit(1)))
+    short = short.when(is_["century"] & (year > 0), F.make_date(year * 100, F.lit(1), F.lit(1)))
+    day = day.when(~timed, short)
+
+    time = F.substr(c, F.instr(c, "T") + 1)
+    clock = F.substring_index(F.substring_index(F.substring_index(time, "Z", 1), "+", 1), "-", 1)
+    zone = F.substr(time, F.length(clock) + 1)
+    plain = F.translate(clock, ",:", ".")
+    whole = F.substring_index(plain, ".", 1)
+    after = F.substr(plain, F.length(whole) + 2)
+    # what is left out becomes zeros before the cast: a cast that fails costs more than all else here
+    h, m, s = (num(F.rpad(whole, 6, "0"), at, 2) for at in (1, 3, 5))
+    frac = F.rpad(after, 6, "0").try_cast("long")
+    offset = F.rpad(F.translate(zone, "+-:Z", ""), 4, "0")
+    shift = num(offset, 1, 2) * 60 + num(offset, 3, 2)
     shift = F.when(F.startswith(zone, F.lit("-")), -shift).otherwise(shift)
-    of_day = ((h * 3600 + m * 60 + s).cast("long") - shift * 60) * F.lit(1_000_000) + F.coalesce(frac, F.lit(0))
-    good = ~timed | (c.rlike(_TIME) & (h <= 24) & (m <= 59) & (s <= 60))
-    ts = F.when(good & day.isNotNull(), F.timestamp_micros(F.unix_date(day).cast("long") * F.lit(86_400_000_000) + F.when(timed, of_day).otherwise(F.lit(0))))
-    part = lambda g: F.regexp_extract(c, _TIME, g) != ""
-    precision = F.when(timed & part(4), "fraction").when(timed & part(3), "second").when(timed & part(2), "minute").when(timed, "hour")
-    precision = precision.when(c.rlike(P["century"]), "century").when(c.rlike(P["year"]), "year").when(c.rlike(P["month"]), "month").when(c.rlike(P["week_only"]), "week").otherwise("day")
+    of_day = ((h * 3600 + m * 60 + s).cast("long") - shift * 60) * F.lit(1_000_000) + frac
+    good = ~timed | (time.rlike(_TIME) & (h <= 24) & (m <= 59) & (s <= 60))
+    ts = F.when(good, F.timestamp_micros(F.unix_date(day).cast("long") * F.lit(86_400_000_000) + F.when(timed, of_day).otherwise(F.lit(0))))
+    precision = F.when(timed & (after != ""), "fraction").when(timed & (F.length(whole) > 4), "second").when(timed & (F.length(whole) > 2), "minute").when(timed, "hour")
+    for k in ("century", "year", "month"):
+        precision = precision.when(is_[k], k)
+    precision = precision.when(is_["week_only"], "week").otherwise("day")
     return ts, F.when(ts.isNotNull(), precision)
 
 
